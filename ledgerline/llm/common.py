@@ -49,12 +49,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: MB of a batch that a task turns into Python objects at once; all slices of a batch are worked on.
+SLICE_MB = 2
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = max(1, int(b.num_rows * SLICE_MB * 2**20 / max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
+
+
 def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[..., pa.Array], needs: list[str]) -> DataFrame:
     """All columns and one more, made for each Arrow batch from the columns in needs."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, make(*(b.column(c) for c in needs))], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from .common import free_name, with_arrow_column
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct stretches of text whose ids a task remembers; a speed setting, not a limit.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: A space beside other white space.
 UNSAFE = re.compile(r" \s|\s |^ ")
 
