@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_bpe, op10_quality
+from . import op1_mtree, op3_bpe, op5_mixing, op6_parity_join, op7_warc, op9_sharding, op10_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree_search": lambda spark, d: op1_mtree.query(table(spark, d, "embeddings")),
     "op3_byte_bpe": lambda spark, d: op3_bpe.query(table(spark, d, "documents")),
+    "op5_source_mixing": lambda spark, d: op5_mixing.query(table(spark, d, "documents")),
+    "op6_parity_join": lambda spark, d: op6_parity_join.query(table(spark, d, "documents")),
+    "op7_warc_reassembly": lambda spark, d: op7_warc.query(table(spark, d, "pages")),
+    "op9_compaction": lambda spark, d: op9_sharding.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: op10_quality.query(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": op10_quality.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_search": op1_mtree.SQL,
+    "op6_parity_join": op6_parity_join.SQL,
+    "op7_warc_reassembly": op7_warc.SQL,
+    "op9_compaction": op9_sharding.SQL,
+    "op10_quality_rules": op10_quality.SQL,
+}
