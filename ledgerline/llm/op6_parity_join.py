@@ -188,7 +188,7 @@ def connect(ids: list[int], found: list[np.ndarray], parts: list[int], sides: np
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
     every = cut(sets(docs, id_col, text_col, words, percent))
-    classes = every.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("low", "high").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
+    classes = every.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("low", "high").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     classes = cut(classes)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,8 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys]).astype(np.int64))], names=["key", "id"])
 
-    keyed = classes.filter(F.octet_length("keys") > 0).select("rep", "keys").mapInArrow(unpack, "key long, id long")
+    # a class met by several tasks has the same keys from each, under the same id
+    keyed = every.filter(F.octet_length("keys") > 0).select("low", "high", "keys").join(classes, ["low", "high"]).select("rep", "keys").mapInArrow(unpack, "key long, id long")
     # a word that two or more sets share; its least id stands for it
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
     near = cut(keyed.join(shared.select("key", "a"), "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct())

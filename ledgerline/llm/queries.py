@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mtree, op3_bpe, op5_mixing, op6_parity_join, op7_warc, op9_sharding, op10_quality
+from . import op1_mtree, op2_ctw, op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op7_warc, op9_sharding, op10_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_search": lambda spark, d: op1_mtree.query(table(spark, d, "embeddings")),
+    "op2_ctw_scores": lambda spark, d: op2_ctw.query(table(spark, d, "documents")),
     "op3_byte_bpe": lambda spark, d: op3_bpe.query(table(spark, d, "documents")),
+    "op4_toxicity_chain": op4_toxicity.query,
     "op5_source_mixing": lambda spark, d: op5_mixing.query(table(spark, d, "documents")),
     "op6_parity_join": lambda spark, d: op6_parity_join.query(table(spark, d, "documents")),
     "op7_warc_reassembly": lambda spark, d: op7_warc.query(table(spark, d, "pages")),
