@@ -9,7 +9,7 @@ Documents are dealt into blocks of about BLOCK_BYTES by a hash. A block counts i
 words, and sends them compressed to shards, contexts by their last two bytes and words by their hash. A shard merges the
 counts of all blocks, weights its part of the tree and answers each block in the order asked; the two top levels of the
 tree, at most 256 * 256 rows, are joined on the driver. The block then scores its texts. Nothing that grows with the
-corpus is broadcast, and each shard holds at most 2^24 grams for each pair of bytes whatever the size of the corpus.
+corpus is broadcast, and a shard holds compressed lists of what the blocks have met.
 
 Defined cases: a null text counts as empty and has the end token only; a null id counts as training; repeated rows count
 each time; an empty table gives an empty result; further columns are ignored. Without training documents all counts are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 24 * 2**20
 PIECE = 2**21
 
@@ -91,9 +91,7 @@ def shorter(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(inverse: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     if values.ndim == 1:
-        out = np.zeros(size, values.dtype)
-        np.add.at(out, inverse, values)
-        return out
+        return np.bincount(inverse, values, size).astype(np.int64)
     return np.stack([np.bincount(inverse, values[:, k], size) for k in range(values.shape[1])], axis=1)
 
 

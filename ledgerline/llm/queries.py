@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mtree, op2_ctw, op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op7_warc, op9_sharding, op10_quality
+from . import op1_mtree, op2_ctw, op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op7_warc, op8_extract, op9_sharding, op10_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": lambda spark, d: op5_mixing.query(table(spark, d, "documents")),
     "op6_parity_join": lambda spark, d: op6_parity_join.query(table(spark, d, "documents")),
     "op7_warc_reassembly": lambda spark, d: op7_warc.query(table(spark, d, "pages")),
+    "op8_wrapper_extraction": lambda spark, d: op8_extract.query(table(spark, d, "pages")),
     "op9_compaction": lambda spark, d: op9_sharding.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: op10_quality.query(table(spark, d, "documents")),
 }
