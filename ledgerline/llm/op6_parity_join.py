@@ -3,11 +3,14 @@
 A document's set is that of its shingles, as 64-bit hashes (two different shingles of any two texts meet with a chance
 of about 2^-64 a pair). Equal sets are one class, and only one document of a class goes on. Sizes are cut into bands of
 a ratio of one to the threshold, so linked sets are in one band or in two neighbours, and for the smaller set's band the
-symmetric difference of linked sets is at most d. A sketch of that band has d + 1 words of 64 bits; a shingle's hash picks
-one bit and flips it. Each shingle that is in one set only changes one bit, so the Hamming distance of two sketches is at
-most the symmetric difference, and by the pigeonhole principle linked sets agree in a word at least. Documents that
-share a word, directly or through others, form a cluster, which holds all possible links of its members; within it,
-pairs whose sketches are within reach are verified by their sets until what is linked is connected.
+symmetric difference of linked sets is at most d. A sketch of that band is the exclusive or of the hashes of the set's
+shingles in each of d + 1 + s words, which a hash deals the shingles to: equal shingles cancel out of the difference of
+two sketches, and each shingle that is in one set only changes one word, so linked sets agree in s + 1 words at least
+(pigeonhole). So each sketch may leave out its s words of the fewest shingles, which say least (all ties stay in): as
+agreeing words have equally many, linked sets still share one. Where d is small, the same holds for pairs of words, of
+which linked sets share (s + 1) s / 2. Documents that share a word, directly or through others, form a cluster, which
+holds all possible links of its members; within it, pairs are tried by bit sketches, where each shingle flips one bit, so that the Hamming distance is at most the symmetric
+difference; pairs within reach are verified by their sets until what is linked is connected.
 
 Clusters are worked on in blocks of BLOCK documents, each with the cluster's same few hub documents; only where that
 leaves a cluster in several parts are pairs of blocks compared, all of them. No task gets more than two blocks.
@@ -20,13 +23,12 @@ columns come through keep_one() unchanged.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,8 @@ WORDS, PERCENT = 3, 90
 BLOCK = 2048
 HUBS = 32
 REMEMBERED = 200_000
+#: Up to this d, keys are of pairs of sketch words.
+PAIRED = 10
 
 _words: dict[bytes, int] = {}
 
@@ -89,12 +93,18 @@ def sketch_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0 or not most[band]:
             continue  # no difference: equal sets only, which are one class
-        n = most[band] + 1
-        at = ((s >> np.uint64(33)) % np.uint64(n)).astype(np.int64) * 64 + (s & np.uint64(63)).astype(np.int64)
-        bits = (np.bincount(at, minlength=n * 64) & 1).astype(np.uint8)
-        words = np.packbits(bits.reshape(n, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        spare = max(2, (most[band] + 1) // 4)
+        n = most[band] + 1 + spare
+        at = ((s >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+        words = np.zeros(n, np.uint64)
+        np.bitwise_xor.at(words, at, s)
         place = np.arange(n, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))
-        out.append(_mix(_mix(place + np.uint64(1)) + words))
+        weight, drop = np.bincount(at, minlength=n), spare
+        if most[band] <= PAIRED:
+            i, j = np.triu_indices(n, 1)
+            place, words, weight, drop = _mix(place[i] + np.uint64(3)) + place[j], _mix(words[i] + np.uint64(3)) + words[j], weight[i] + weight[j], (spare + 1) * spare // 2 - 1
+        heavy = weight >= np.sort(weight)[drop]
+        out.append(_mix(_mix(place[heavy] + np.uint64(1)) + words[heavy]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -196,12 +206,11 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys]).astype(np.int64))], names=["key", "id"])
 
-    # a class met by several tasks has the same keys from each, under the same id
-    keyed = every.filter(F.octet_length("keys") > 0).select("low", "high", "keys").join(classes, ["low", "high"]).select("rep", "keys").mapInArrow(unpack, "key long, id long")
-    # a word that two or more sets share; its least id stands for it
-    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
-    near = cut(keyed.join(shared.select("key", "a"), "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    clusters = cut(components(near))
+    # classes go by half of their digest here; should two agree in it, they share a cluster
+    keyed = every.filter(F.octet_length("keys") > 0).select("low", "keys").mapInArrow(unpack, "key long, id long")
+    shared = keyed.withColumn("a", F.min("id").over(Window.partitionBy("key"))).filter("id <> a")
+    near = cut(shared.select("a", F.col("id").alias("b")).distinct())
+    clusters = cut(components(near).join(classes.select(F.col("low").alias("id"), "rep"), "id").select(F.col("rep").alias("id"), "component"))
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     members = clusters.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # hubs: in a cluster of several blocks, a hash takes about HUBS of its members into every block
