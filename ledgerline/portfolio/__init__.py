@@ -1,0 +1 @@
+"""Portfolio simulation."""

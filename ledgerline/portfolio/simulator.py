@@ -1,0 +1,66 @@
+"""A daily portfolio: sells and buys at the open, lots, costs, sale from the next day on, value at the close.
+
+The state of one portfolio is sequential. Spark ranks the candidates of each day, so a portfolio's task gets only days with
+their few candidates and the bars of codes that it may hold; portfolios (of one date range or group each) run in parallel.
+Orders fill by score from the highest, then by code."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.operators.panel import top_per_date
+
+SLOTS, CASH, LOT, COMMISSION, STAMP = 10, 100_000.0, 100, 0.0006, 0.0005
+RESULT = "portfolio long, date date, value double, positions long"
+
+
+def run(days: pd.DataFrame, slots: int = SLOTS, cash: float = CASH) -> pd.DataFrame:
+    """days: portfolio, date, code, open, close, rank (NULL: no candidate), sell (leave at the next open)."""
+    out, held, sells, buys = [], {}, set(), []
+    for date, day in days.sort_values(["date", "code"]).groupby("date", sort=True):
+        bar = {r.code: r for r in day.itertuples()}
+        for code in sorted(sells & held.keys()):
+            b = bar.get(code)
+            if b is not None and b.open > 0 and held[code][1] < date:
+                cash += held.pop(code)[0] * b.open * (1 - COMMISSION - STAMP)
+                sells.discard(code)
+        for code in buys:
+            b = bar.get(code)
+            free = slots - len(held)
+            if b is None or b.open <= 0 or free <= 0 or code in held:
+                continue
+            shares = int(cash / free / (b.open * (1 + COMMISSION)) // LOT * LOT)
+            if shares:
+                cash -= shares * b.open * (1 + COMMISSION)
+                held[code] = [shares, date, b.close]
+        for code in held:
+            if code in bar:
+                held[code][2] = bar[code].close
+        sells = {c for c in held if c in bar and bar[c].sell}
+        ranked = day[day["rank"].notna()].sort_values(["rank", "code"])
+        buys = [c for c in ranked["code"] if c not in held][: slots - len(held) + len(sells)]
+        out.append((int(day["portfolio"].iloc[0]), date, cash + sum(n * p for n, _, p in held.values()), len(held)))
+    return pd.DataFrame(out, columns=["portfolio", "date", "value", "positions"])
+
+
+def simulate(rows: DataFrame, groups: int = 4, slots: int = SLOTS) -> DataFrame:
+    """rows: code, date, score, open, close. Codes are dealt over independent portfolios by their remainder."""
+    grouped = rows.withColumn("portfolio", F.col("code") % groups)
+    best = top_per_date(grouped.filter("score > 0"), "score", slots * groups).select("code", "date", "rank")
+    days = grouped.join(best, ["code", "date"], "left").select("portfolio", "date", "code", "open", "close", F.col("rank").cast("double").alias("rank"), F.coalesce(F.col("score") < 0, F.lit(False)).alias("sell"))
+    return days.groupBy("portfolio").applyInPandas(lambda g: run(g, slots), RESULT)
+
+
+def fifo_trips(trades: DataFrame) -> DataFrame:
+    """Trades (code, date, action, shares, price) as trips: each sold share against the oldest held one, by the overlap of the
+    running share counts of buys and sells."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("code", "action").orderBy("date", "price").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("hi", F.sum("shares").over(w)).withColumn("lo", F.col("hi") - F.col("shares"))
+    b, s = t.filter("action = 'BUY'").alias("b"), t.filter("action = 'SELL'").alias("s")
+    both = b.join(s, [F.col("b.code") == F.col("s.code"), F.col("b.lo") < F.col("s.hi"), F.col("s.lo") < F.col("b.hi")])
+    shares = F.least("b.hi", "s.hi") - F.greatest("b.lo", "s.lo")
+    return both.select("b.code", F.col("b.date").alias("bought"), F.col("s.date").alias("sold"), shares.alias("shares"), F.datediff("s.date", "b.date").alias("days"), (F.col("s.price") / F.col("b.price") - 1).alias("trip_return"))
