@@ -6,7 +6,8 @@ part, so that the words drawn meet the target. A tree over the output shards spl
 every node by a multivariate-hypergeometric draw, so every shard gets its exact share and all shards together the whole
 quota. Shards take disjoint stretches of each source's permuted draws and are shuffled locally by a hash.
 
-The driver sees one row for each source (counts and sums), never documents.
+The driver sees one row for each source (counts and sums), never documents. Draws go to the documents by a join with a
+written table of blocks, which Spark broadcasts if it is below its threshold, so texts are shuffled once, to the shards.
 
 Defined cases: a null or empty text has size 0 and is drawn like any other; a null source is a source of its own, the
 last; null ids hash as null and may be drawn; repeated rows are separate rows; an empty table gives an empty result; a
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, written
 
 BLOCKS = 1024
 DOCS_A_BLOCK = 64
@@ -120,14 +121,16 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHAR
         F.when(F.col("_passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1), lambda p: shard(p * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>")).alias("_all"),
         shard(F.col("_passes") * F.col("n") + F.col("rank")).alias("_last"), "whole",
     )
-    full = placed.join(draws, own)
+    full = placed.join(written(draws), own)
     return _with_parts(full, own, docs)
 
 
 def _with_parts(full: DataFrame, own: list[str], docs: DataFrame) -> DataFrame:
     """Adds the draws of blocks that are drawn in part. Rows that agree in hash and size are alike, so the choice is carried
     as how many of each (hash, size) are drawn."""
-    chosen = full.filter(F.col("_part").isNotNull()).select(F.xxhash64(*own).alias("_block_key"), "_size", "_order", "_part").groupBy("_block_key").applyInPandas(part_of_block, "_block_key long, _order long, _size long, _times long")
+    narrow = full.select(*own, "_size", "_order", "_part")
+    chosen = narrow.filter(F.col("_part").isNotNull()).select(F.xxhash64(*own).alias("_block_key"), "_size", "_order", "_part").groupBy("_block_key").applyInPandas(part_of_block, "_block_key long, _order long, _size long, _times long")
+    chosen = written(chosen)
     keyed = full.withColumn("_block_key", F.xxhash64(*own)).withColumn("_wanted", F.col("_part").isNotNull())
     whole = keyed.filter(~F.col("_wanted")).withColumn("_more", F.col("whole"))
     among = Window.partitionBy("_block_key", "_order", "_size").orderBy("_order")

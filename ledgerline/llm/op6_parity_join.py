@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, slices, written
 from .components import components
 
 WORDS, PERCENT = 3, 90
 BLOCK = 2048
 HUBS = 32
 REMEMBERED = 200_000
+#: Of the bitmap of documents in clusters, which goes to every task; a multiple of 64.
+FILTER_BITS = 1 << 23
 #: Up to this d, keys are of pairs of sketch words.
 PAIRED = 10
 
@@ -217,12 +219,21 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), (F.col("m") / HUBS).cast("long"))) == 0)
     blocks = cut(members.withColumn("ats", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).select("id", "component", "blocks", "block", "ats"))
 
+    # a bitmap of fixed size passes all members, and few others, before their sets go to a join
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = blocks.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).collect()  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in bits:
+        bitmap[r["w"]] = r["b"]
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null").withColumn("slot", slot)
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            b = b.filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = cut(texts.join(blocks.select("id"), "id", "left_semi").mapInArrow(digests, "id long, set binary").distinct())
+    own = cut(texts.mapInArrow(digests, "id long, set binary").join(blocks.select("id"), "id", "left_semi").distinct())
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["id", "set"])
@@ -254,9 +265,12 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The document of the least id of each component, once, and all without an id; the columns of docs."""
     found = linked_documents(docs, words=words, percent=percent)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    twice = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").join(gone, "doc_id", "left_anti")
+    odd = written(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))))
+    once = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
+    first = docs.join(odd.filter("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first)
 
 
 def query(docs: DataFrame) -> DataFrame:
