@@ -31,7 +31,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("byte-level BPE", encoding)]
 
-#: Toxicity is a trained model and mixing draws by a seed; the tests hold the pipeline against brute force.
+#: Toxicity is a trained model and mixing draws by a seed, so SQL can't express the rows.
 ORACLE_SQL = None
 
 
