@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import ewm, frame, shrunk_corr, staged
-from ledgerline.operators import factors, panel
+from ledgerline.operators import alphas, factors, panel
 from ledgerline.portfolio import simulator
 from ledgerline.sources import bars
 
@@ -181,8 +181,18 @@ _rank = lambda x: f"((rank() over (partition by date order by {x}) + (count(*) o
 _alpha("alpha_simple", [{"vwap": "amount / volume", "adv": f"avg(volume) {frame(20)}"}, {"ret": f"close / nullif(lag(close, 1) {_BYC}, 0) - 1"}, {
     "alpha_012": f"sign(volume - lag(volume, 1) {_BYC}) * -(close - lag(close, 1) {_BYC})", "alpha_033": _rank("round(open / nullif(close, 0), 9)"), "alpha_041": "sqrt(high * low) - vwap",
     "alpha_042": f"{_rank('round(vwap - close, 9)')} / {_rank('round(vwap + close, 9)')}", "alpha_053": f"-(((close - low) - (high - close)) / nullif(close - low, 0) - lag(((close - low) - (high - close)) / nullif(close - low, 0), 9) {_BYC})",
-    "alpha_101": "(close - open) / (high - low + 0.001D)", "alpha_009": f"case when 0 < min(close - open) {frame(5)} then close - open when max(close - open) {frame(5)} < 0 then close - open else open - close end"}])
-_alpha("alpha_correlation", [{"ro": "rank() over (partition by date order by open)", "rv": "rank() over (partition by date order by volume)"}, {"alpha_006": f"-({shrunk_corr('open', 'amount', 10)})", "alpha_003": f"-({shrunk_corr('ro', 'rv', 10)})", "alpha_013": f"-case when count(close) {frame(5)} = 5 then covar_samp(close, amount) {frame(5)} end"}])
+    "alpha_101": "(close - open) / (high - low + 0.001D)"}])
+
+def _formulas(name: str, numbers: list[int]) -> None:
+    """Half up to six decimals by the same steps in both engines: products of ranks lie on the borders of rounding."""
+    stages, out = alphas.stages_of(numbers)
+    stages[-1] = {n: f"floor(({e}) * 1000000.0D + 0.5D) / 1000000.0D" for n, e in stages[-1].items()}
+    cte, last = chain(stages)
+    query(name, lambda spark, d: staged(sup(spark, d), stages).select("code", "date", *out), f"{cte} select code, date, {r(*out)} from {last}")
+
+
+for _k in range(0, len(alphas.FORMULAS), 6):
+    _formulas(f"formulas_{_k // 6 + 1}", list(alphas.FORMULAS)[_k : _k + 6])
 
 # -- labels, masks, splits ---------------------------------------------------------------------------------------------
 _MED = lambda s, e: f"list_median(list_filter([{', '.join(f'lead(open, {k}) {_BYC}' for k in range(s, e + 1))}], lambda x: x is not null))"
