@@ -121,8 +121,8 @@ class Sheet:
         return self.kept(Term(f"case when {both} = {n} then {form.format(x=x.sql, y=y.sql, f=frame(n))} end", max(x.level, y.level)))
 
     def corr(self, x: Term, y: Term, n: int) -> Term:
-        """Pearson's; NULL where a side is constant."""
-        return self._pair(x, y, n, "covar_samp({x}, {y}) {f} / nullif(stddev_samp({x}) {f} * stddev_samp({y}) {f}, 0)")
+        """Pearson's to twelve decimals, so that pairs of rows give one exactly; NULL where a side is constant."""
+        return self._pair(x, y, n, "round(covar_samp({x}, {y}) {f} / nullif(stddev_samp({x}) {f} * stddev_samp({y}) {f}, 0), 12)")
 
     def cov(self, x: Term, y: Term, n: int) -> Term:
         return self._pair(x, y, n, "covar_samp({x}, {y}) {f}")
