@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, table, with_arrow_column
+from .common import free_name, slices, table, with_arrow_column, written
 
 CATEGORIES = ("quality", "toxic")
 SAMPLE = 8_000
 FEATURES = 400
 LEAST_G2 = 25.0
 FOLDS = 5
-RIDGE = 0.02
+RIDGE = 0.1
+#: A fit ends when no weight moves by more.
+CLOSE = 1e-3
 THRESHOLD = 0.5
 REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
@@ -74,13 +76,13 @@ class Logistic:
     bias: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> Logistic:
+    def fit(cls, x: np.ndarray, y: np.ndarray, near: Logistic | None = None) -> Logistic:
+        """near: a model to start from."""
         share = float(y.mean()) if len(y) else 0.0
         if not 0 < share < 1:
             return cls(np.zeros(x.shape[1]), 40.0 if share else -40.0)
         a = np.hstack([x, np.ones((len(x), 1))])
-        w = np.zeros(a.shape[1])
-        w[-1] = np.log(share / (1 - share))
+        w = np.append(near.weights, near.bias) if near else np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
         ridge = np.full(a.shape[1], RIDGE)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -88,7 +90,7 @@ class Logistic:
             step = np.linalg.solve((a * v[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
             size = np.abs(step).max()
             w += step * min(1.0, 4.0 / max(size, 1e-12))
-            if size < 1e-6:
+            if size < CLOSE:
                 break
         return cls(w[:-1], float(w[-1]))
 
@@ -118,15 +120,19 @@ class Chain:
         x = np.zeros((len(present), len(vocabulary)))
         for i, p in enumerate(present):
             x[i, p] = 1.0
-        models = []
+        # features that the sample can't tell apart are one column, scaled so that the fit is that of the columns apart
+        _, first, group, alike = np.unique(np.packbits(x > 0, axis=0).T, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        group, root = group.reshape(-1), np.sqrt(alike)
+        x, models = x[:, first] * root, []
         for j in range(len(categories)):
             y = labels[:, j]
             has = ~np.isnan(y)
-            models.append(Logistic.fit(x[has], y[has]))
+            m = Logistic.fit(x[has], y[has])
+            models.append(Logistic(np.append((m.weights[: len(first)] / root)[group], m.weights[len(first) :]), m.bias))
             out_of_fold = np.zeros(len(x))
             for f in range(FOLDS):
                 mine = folds == f
-                out_of_fold[mine] = Logistic.fit(x[has & ~mine], y[has & ~mine]).probability(x[mine])
+                out_of_fold[mine] = Logistic.fit(x[has & ~mine], y[has & ~mine], m).probability(x[mine])
             x = np.hstack([x, out_of_fold[:, None]])
         return cls(categories, vocabulary, models)
 
@@ -160,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     """The chain, fitted on the sample of labelled ids with the least hashes."""
     chosen = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     facts = chosen.toPandas().set_index("doc_id")  # at most sample rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in facts.index], "doc_id long")), "doc_id").dropDuplicates(["doc_id"]))
     values = {i: tuple(r) for i, r in zip(facts.index.tolist(), facts.to_numpy().tolist(), strict=True)}
     n = len(categories)
 
@@ -178,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in sums)], names=["feature", *(f"s{i}" for i in range(2 * n))])
 
     counts = rows.mapInArrow(count, "feature string, " + ", ".join(f"s{i} long" for i in range(2 * n))).groupBy("feature").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * n)))
+    counts = written(counts)
     vocabulary: dict[str, int] = {}
     for j, c in enumerate(categories):
         y = facts[c].dropna()
