@@ -1,11 +1,13 @@
 """Main text by wrapper induction.
 
-Pages meet by host, in stretches of at most STRETCH pages of a host as the shuffle delivers them. In a stretch the page
-with the most blocks is the reference; simple tree matching aligns every page's DOM with it. A node whose text stays the
-same in most of the aligned pages is template, others are slots; what varies is content. Parts whose element or class
-names another role (navigation, footer, advert, form, comments and so on) are never content. Where a page marks its
-article, all blocks of the article are content, also those that pages share, such as a passage quoted on several pages;
-elsewhere content is what is neither template nor of another role.
+Pages meet by host, in stretches of at most STRETCH pages of a host as the shuffle delivers them. The blocks of all pages of
+a stretch, marked articles included, are aligned by their path: the tags and classes of the block elements from the article,
+or else the page, down. A block whose text stays the same on most of the pages that have its path is template; what varies
+is content. So a passage that most pages of a host quote is template, marked or not.
+
+Tags and names are a further hint. Where a page marks its article, only its blocks are aligned. Parts whose element or
+class names another role (navigation, advert, form, comments and so on) are never content; inside a marked article, names that
+its own parts have as well (WEAK, such as "notice" or "related") count only for a part that is mostly links.
 
 Hosts with more than a thousandth of all pages, at most 1,000 hosts, are dealt over several tasks.
 
@@ -17,6 +19,7 @@ paragraphs, list items and cells; an empty table gives an empty result; further
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRETCH = 256
-#: A node is template if at least LEAST pages align with it and SHARE of those have its text.
+#: A block is template if at least LEAST pages have it, and SHARE of those that have its path.
 LEAST, SHARE = 4, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,15 +37,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 OTHER_ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|nav|navbar|navigation|navi|menu|breadcrumbs?|pagination|pager|sidebar|side|widget|footer|foot|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommended|login|search|skip|tags?|toolbar|topbar|masthead|copyright)(?:$|[\s_-])", re.I)
 HEADING_ROLE = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header|topnav)(?:$|[\s_-])", re.I)
+#: Names that an article's own parts have as well: inside one they count only for a part that is mostly links.
+WEAK = frozenset("alert banner copyright foot notice notices promo promos promotion promotions recommended related search side skip tag tags widget".split())
+_NAME, _NUMBER = re.compile(r"[\s_-]+"), re.compile(r"\d+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "template")
+    __slots__ = ("tag", "classes", "names", "role", "hidden", "children")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.children, self.template = tag, [], False
-        self.names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
+        self.tag, self.children, self.classes = tag, [], attrs.get("class") or ""
+        self.names = f"{self.classes} {attrs.get('id') or ''}".strip()
         self.role = (attrs.get("role") or "").lower()
         self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
@@ -103,44 +109,24 @@ def other_role(n: Node, inside: bool) -> bool:
         return False
     if not inside and (n.tag == "header" or n.names and HEADING_ROLE.search(n.names)):
         return True
-    return bool(n.names) and bool(OTHER_ROLE.search(n.names))
-
-
-def text_of(n: Node) -> str:
-    return " ".join(" ".join(x if isinstance(x, str) else text_of(x) for x in n.children).split())
-
-
-def structure(n: Node) -> list[Node]:
-    """The block elements below a node that may hold content."""
-    return [x for x in n.children if not isinstance(x, str) and x.tag not in INLINE and x.tag not in SKIPPED]
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most pairs of equal tags that keep parents and order, and the pairs."""
-    if a.tag != b.tag:
-        return 0, []
-    xs, ys = structure(a), structure(b)
-    if not xs or not ys:
-        return 1, [(a, b)]
-    below = {}
-    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs, 1):
-        for j, y in enumerate(ys, 1):
-            w = 0
-            if x.tag == y.tag:
-                below[i, j] = match(x, y) if x.children and y.children else (1, [(x, y)])
-                w = below[i, j][0]
-            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w)
-    i, j, pairs = len(xs), len(ys), [(a, b)]
-    while i and j:
-        if (i, j) in below and m[i][j] == m[i - 1][j - 1] + below[i, j][0]:
-            pairs += below[i, j][1]
-            i, j = i - 1, j - 1
-        elif m[i][j] == m[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return m[-1][-1] + 1, pairs
+    if not n.names or not OTHER_ROLE.search(n.names):
+        return False
+    return not inside or mostly_links(n) or any(OTHER_ROLE.search(w) for w in _NAME.split(n.names.lower()) if w not in WEAK)
+
+
+def mostly_links(n: Node) -> bool:
+    """Half of its characters or more are in links."""
+    size = [0, 0]
+
+    def walk(x: Node, link: bool) -> None:
+        for c in x.children:
+            if isinstance(c, str):
+                size[link] += len("".join(c.split()))
+            else:
+                walk(c, link or c.tag == "a")
+
+    walk(n, n.tag == "a")
+    return size[1] >= size[0]
 
 
 def articles(n: Node) -> list[Node]:
@@ -163,62 +149,60 @@ def articles(n: Node) -> list[Node]:
     return found or mains
 
 
-def blocks(n: Node, inside: bool) -> list[str]:
+def step(n: Node) -> str:
+    """A node in a path: its tag and classes, numbers left out, as those of page ids differ."""
+    return f"{n.tag}.{_NUMBER.sub('#', n.classes)}" if n.classes else n.tag
+
+
+def blocks(n: Node, inside: bool) -> list[tuple[str, str]]:
+    """The path of the block elements around it and the text of each block."""
     out, run = [], []
 
-    def close() -> None:
+    def close(path: str) -> None:
         if text := " ".join("".join(run).split()):
-            out.append(text)
+            out.append((path, text))
         run.clear()
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, path: str) -> None:
         for c in x.children:
             if isinstance(c, str):
                 run.append(c)
             elif c.tag == "br":
                 run.append(" ")
-            elif other_role(c, inside) or c.template:
+            elif other_role(c, inside):
                 if c.tag not in INLINE:
-                    close()
+                    close(path)
             elif c.tag in INLINE:
-                walk(c)
+                walk(c, path)
             else:
-                close()
-                walk(c)
-                close()
+                close(path)
+                below = f"{path}/{step(c)}"
+                walk(c, below)
+                close(below)
 
-    walk(n)
-    close()
+    walk(n, n.tag)
+    close(n.tag)
     return out
 
 
-def mark_templates(pages: list[Node]) -> None:
-    """Aligns pages without a marked article with a reference and marks the nodes whose text stays the same."""
-    plain = [p for p in pages if not articles(p)]
-    if len(plain) < LEAST:
-        return
-    reference = max(plain, key=lambda p: len(structure(p)))
-    votes: dict[int, dict[str, list[Node]]] = {}
-    for p in plain:
-        for a, b in match(reference, p)[1]:
-            if not any(not isinstance(c, str) and c.tag not in INLINE for c in b.children):
-                votes.setdefault(id(a), {}).setdefault(text_of(b), []).append(b)
-    for texts in votes.values():
-        total, same = sum(map(len, texts.values())), max(texts.values(), key=len)
-        if total >= LEAST and len(same) >= SHARE * total:
-            for n in same:
-                n.template = True
+def candidates(page: Node) -> list[tuple[str, str]]:
+    """The blocks of the marked articles, or else of the whole page, that are of no other role."""
+    roots = articles(page)
+    return [b for r in roots or [page] for b in blocks(r, bool(roots))]
+
+
+def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
+    """The blocks that stay the same on most of the pages that have their path."""
+    n = Counter(b for p in pages for b in set(p))
+    total = Counter(path for p in pages for path in {b[0] for b in p})
+    return {b for b, k in n.items() if k >= LEAST and k >= SHARE * total[b[0]]}
 
 
 def extract(htmls: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
-    pages = [parse(h) for h in htmls]
-    mark_templates(pages)
-    out = []
-    for p in pages:
-        roots = articles(p)
-        out.append("\n".join(b for r in roots or [p] for b in blocks(r, bool(roots))))
-    return out
+    pages = [candidates(parse(h)) for h in htmls]
+    same = template(pages)
+    return ["\n".join(b[1] for b in p if b not in same) for p in pages]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -214,6 +214,12 @@ def test_extraction(spark):
     assert sorted((str(r[0]), r[2], r[3]) for r in got) == [("1", "", 0), ("2", "", 0), ("None", "hi", 2)]
 
 
+def test_extraction_aligns_marked_articles():
+    page = lambda i: f"<body><article><h1>T{i}</h1><div class='cta'>Join us</div><p>Own {i}</p><p class='notice'>Note {i}</p><div class='related'><a href=x>See {i}</a></div></article></body>"
+    assert op8_extract.extract([page(i) for i in range(6)])[2] == "T2\nOwn 2\nNote 2"
+    assert op8_extract.extract([page(2)]) == ["T2\nJoin us\nOwn 2\nNote 2"]
+
+
 def test_compaction(spark, tmp_path):
     store = op9_sharding.ShardStore(spark, str(tmp_path / "s"))
     for k in range(3):
