@@ -1,15 +1,16 @@
 """Main text by wrapper induction.
 
-Pages meet by host, in stretches of at most STRETCH pages of a host as the shuffle delivers them. The blocks of all pages of
-a stretch, marked articles included, are aligned by their path: the tags and classes of the block elements from the article,
-or else the page, down. A block whose text stays the same on most of the pages that have its path is template; what varies
-is content. So a passage that most pages of a host quote is template, marked or not.
+The blocks of all pages of a host, marked articles included, are aligned by their path: the tags and classes of the block
+elements from the article, or else the page, down. A block whose text stays the same on most of the pages that have its path
+is template; what varies is content. So a passage that most pages of a host quote is template, marked or not.
 
 Tags and names are a further hint. Where a page marks its article, only its blocks are aligned. Parts whose element or
 class names another role (navigation, advert, form, comments and so on) are never content; inside a marked article, names that
 its own parts have as well (WEAK, such as "notice" or "related") count only for a part that is mostly links.
 
-Hosts with more than a thousandth of all pages, at most 1,000 hosts, are dealt over several tasks.
+The template of a host comes from counts of (host, path, block), summed before and after the shuffle, so that a host's pages
+never meet in one task and a page's text depends on neither the size of its host's input nor that of all. Only hashes are
+shuffled; pages are parsed twice. A host's template is joined to its pages.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null url is a host of its own; null ids
 are kept; repeated rows are extracted each; very long pages are read whole; broken markup is closed as browsers do for
@@ -18,6 +19,7 @@ paragraphs, list items and cells; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCH = 256
+from .common import slices, written
+
 #: A block is template if at least LEAST pages have it, and SHARE of those that have its path.
 LEAST, SHARE = 4, 0.8
 
@@ -205,36 +208,51 @@ def extract(htmls: list[str | None]) -> list[str]:
     return ["\n".join(b[1] for b in p if b not in same) for p in pages]
 
 
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page, its distinct paths, with no block, and its distinct blocks."""
+    for b in slices(batches):
+        hosts, paths, keys = [], [], []
+        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            found = set(candidates(parse(html)))
+            for path in {f[0] for f in found}:
+                hosts.append(host)
+                paths.append(_key(path))
+                keys.append(None)
+            for path, text in found:
+                hosts.append(host)
+                paths.append(_key(path))
+                keys.append(_key(path, text))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(keys, pa.int64())], names=["host", "path", "block"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        texts = []
+        for html, same in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
+            known = set(same or ())
+            texts.append("\n".join(text for path, text in candidates(parse(html)) if not known or _key(path, text) not in known))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """host, template: the hashes of the blocks that stay the same, by counts over all pages of the host."""
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path long, block long")
+    counts = written(votes.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST))
+    total = counts.filter("block is null").select("host", "path", F.col("n").alias("total"))
+    same = counts.filter("block is not null").join(total, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("total"))
+    return written(same.groupBy("host").agg(F.collect_set("block").alias("template")))
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = {r["host"]: -(-r["n"] * 1000 // total) for r in counts.filter(F.col("n") * 1000 > total).filter(F.col("n") > STRETCH).collect()}  # under 1,000 hosts
-    salt = F.lit(0)
-    if hot:
-        parts = F.create_map(*(F.lit(x) for h, n in hot.items() for x in (h, int(n))))
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.try_element_at(parts, F.col("host")), F.lit(1))).cast("int")
-    kind = "page_id long, url string, text string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and (held[0][3] != r[3] or len(held) == STRETCH):
-                    yield _done(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield _done(held)
-
-    dealt = rows.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id")
-    return dealt.mapInArrow(run, kind).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-
-
-def _done(held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array(extract([h[2] for h in held]), pa.string())], names=["page_id", "url", "text"])
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host)
+    texts = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "template").mapInArrow(_texts, "page_id long, url string, text string")
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -220,6 +220,14 @@ def test_extraction_aligns_marked_articles():
     assert op8_extract.extract([page(2)]) == ["T2\nJoin us\nOwn 2\nNote 2"]
 
 
+def test_extraction_by_size_of_host_and_input(spark):
+    page = lambda h, i: (i, f"http://{h}/{i}", f"<body><div><p>Menu</p></div><div><p>Own {i}</p></div></body>")
+    for many, others in ((5, 0), (258, 0), (320, 2180)):
+        rows = [page("a", i) for i in range(many)] + [page(f"h{i % 20}", i) for i in range(others)]
+        got = op8_extract.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert len(got) == many + others and all(r["text"] == f"Own {r['page_id']}" for r in got)
+
+
 def test_compaction(spark, tmp_path):
     store = op9_sharding.ShardStore(spark, str(tmp_path / "s"))
     for k in range(3):
