@@ -1,8 +1,9 @@
 """Main text by wrapper induction.
 
 The blocks of all pages of a host, marked articles included, are aligned by their path: the tags and classes of the block
-elements from the article, or else the page, down. A block whose text stays the same on most of the pages that have its path
-is template; what varies is content. So a passage that most pages of a host quote is template, marked or not.
+elements from the article, or else the page, down. A block whose text stays the same on most of the distinct pages that have
+its path is template; what varies is content. So a passage that most pages of a host quote is template, marked or not. Pages of
+the same blocks are one page in this, however many copies there are, and no page is the reference of others.
 
 Tags and names are a further hint. Where a page marks its article, only its blocks are aligned. Parts whose element or
 class names another role (navigation, advert, form, comments and so on) are never content; inside a marked article, names that
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: A block is template if at least LEAST pages have it, and SHARE of those that have its path.
+#: A block is template if at least LEAST distinct pages have it, and SHARE of those that have its path.
 LEAST, SHARE = 4, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -195,9 +196,10 @@ def candidates(page: Node) -> list[tuple[str, str]]:
 
 
 def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
-    """The blocks that stay the same on most of the pages that have their path."""
-    n = Counter(b for p in pages for b in set(p))
-    total = Counter(path for p in pages for path in {b[0] for b in p})
+    """The blocks that stay the same on most of the distinct pages that have their path."""
+    distinct = {frozenset(p) for p in pages}
+    n = Counter(b for p in distinct for b in p)
+    total = Counter(path for p in distinct for path in {b[0] for b in p})
     return {b for b, k in n.items() if k >= LEAST and k >= SHARE * total[b[0]]}
 
 
@@ -213,20 +215,17 @@ def _key(*parts: str) -> int:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page, its distinct paths, with no block, and its distinct blocks."""
+    """For each page, its distinct paths, with no block, and its distinct blocks, under a hash that pages of the same blocks share."""
     for b in slices(batches):
-        hosts, paths, keys = [], [], []
+        hosts, pages, paths, keys = [], [], [], []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             found = set(candidates(parse(html)))
-            for path in {f[0] for f in found}:
-                hosts.append(host)
-                paths.append(_key(path))
-                keys.append(None)
-            for path, text in found:
-                hosts.append(host)
-                paths.append(_key(path))
-                keys.append(_key(path, text))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(keys, pa.int64())], names=["host", "path", "block"])
+            own = [(_key(path), None) for path in {f[0] for f in found}] + [(_key(path), _key(path, text)) for path, text in found]
+            hosts += [host] * len(own)
+            pages += [_key(*map(str, sorted(k for _, k in own if k is not None)))] * len(own)
+            paths += [path for path, _ in own]
+            keys += [k for _, k in own]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.int64()), pa.array(keys, pa.int64())], names=["host", "page", "path", "block"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +238,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """host, template: the hashes of the blocks that stay the same, by counts over all pages of the host."""
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path long, block long")
+    """host, template: the hashes of the blocks that stay the same, by counts over all distinct pages of the host."""
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, page long, path long, block long").distinct()
     counts = written(votes.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST))
     total = counts.filter("block is null").select("host", "path", F.col("n").alias("total"))
     same = counts.filter("block is not null").join(total, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("total"))

@@ -228,6 +228,16 @@ def test_extraction_by_size_of_host_and_input(spark):
         assert len(got) == many + others and all(r["text"] == f"Own {r['page_id']}" for r in got)
 
 
+def test_extraction_votes_by_distinct_pages(spark):
+    page = lambda i: f"<body><div><p>Menu</p></div><div><p>Own {i}</p><p>more {i}</p></div></body>"
+    copies = [page(0)] * 40 + [page(i) for i in range(1, 5)]
+    sparse = ["<body><p>Error</p></body>"] + [page(i) for i in range(1, 7)]
+    rows = [(i, "http://c/", h) for i, h in enumerate(copies)] + [(100 + i, "http://s/", h) for i, h in enumerate(sparse)]
+    got = {r["page_id"]: r["text"] for r in op8_extract.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(44)] == op8_extract.extract(copies) == ["Own 0\nmore 0"] * 40 + [f"Own {i}\nmore {i}" for i in range(1, 5)]
+    assert [got[100 + i] for i in range(7)] == op8_extract.extract(sparse) == ["Error"] + [f"Own {i}\nmore {i}" for i in range(1, 7)]
+
+
 def test_compaction(spark, tmp_path):
     store = op9_sharding.ShardStore(spark, str(tmp_path / "s"))
     for k in range(3):
