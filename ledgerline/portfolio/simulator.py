@@ -7,11 +7,9 @@ Orders fill by score from the highest, then by code."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.panel import top_per_date
-
 SLOTS, CASH, LOT, COMMISSION, STAMP = 10, 100_000.0, 100, 0.0006, 0.0005
 RESULT = "portfolio long, date date, value double, positions long"
 
@@ -48,7 +46,9 @@ def run(days: pd.DataFrame, slots: int = SLOTS, cash: float = CASH) -> pd.DataFr
 def simulate(rows: DataFrame, groups: int = 4, slots: int = SLOTS) -> DataFrame:
     """rows: code, date, score, open, close. Codes are dealt over independent portfolios by their remainder."""
     grouped = rows.withColumn("portfolio", F.col("code") % groups)
-    best = top_per_date(grouped.filter("score > 0"), "score", slots * groups).select("code", "date", "rank")
+    w = Window.partitionBy("portfolio", "date").orderBy(F.desc("score"), "code")
+    # a portfolio buys free slots' worth of codes that it doesn't hold, so its day's best `slots` codes always suffice
+    best = grouped.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= slots).select("code", "date", "rank")
     days = grouped.join(best, ["code", "date"], "left").select("portfolio", "date", "code", "open", "close", F.col("rank").cast("double").alias("rank"), F.coalesce(F.col("score") < 0, F.lit(False)).alias("sell"))
     return days.groupBy("portfolio").applyInPandas(lambda g: run(g, slots), RESULT)
 
@@ -56,8 +56,6 @@ def simulate(rows: DataFrame, groups: int = 4, slots: int = SLOTS) -> DataFrame:
 def fifo_trips(trades: DataFrame) -> DataFrame:
     """Trades (code, date, action, shares, price) as trips: each sold share against the oldest held one, by the overlap of the
     running share counts of buys and sells."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("code", "action").orderBy("date", "price").rowsBetween(Window.unboundedPreceding, 0)
     t = trades.withColumn("hi", F.sum("shares").over(w)).withColumn("lo", F.col("hi") - F.col("shares"))
     b, s = t.filter("action = 'BUY'").alias("b"), t.filter("action = 'SELL'").alias("s")

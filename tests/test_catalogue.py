@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,52 @@ def test_fifo(spark):
     assert sorted(r[0] for r in simulator.fifo_trips(t).select("shares").collect()) == [100, 100, 300]
 
 
+def plain_loop(values, groups, slots, cash=100_000.0):
+    """(portfolio, date, value, positions) from all rows (code, date, score, open, close), without Spark or pandas."""
+    out = []
+    for p in sorted({v[0] % groups for v in values}):
+        own = [v for v in values if v[0] % groups == p]
+        money, held, last, sells, buys = cash, {}, {}, [], []
+        for d in sorted({v[1] for v in own}):
+            bar = {c: (s, o, x) for c, day, s, o, x in own if day == d}
+            for c in sells:
+                if c in bar and bar[c][1] > 0:
+                    money += held.pop(c) * bar[c][1] * (1 - 0.0006 - 0.0005)
+            for c in buys:
+                if c in bar and bar[c][1] > 0 and c not in held and len(held) < slots:
+                    n = int(money / (slots - len(held)) / (bar[c][1] * 1.0006) // 100 * 100)
+                    if n:
+                        money -= n * bar[c][1] * 1.0006
+                        held[c] = n
+            last |= {c: b[2] for c, b in bar.items()}
+            sells = sorted(c for c in held if c in bar and bar[c][0] is not None and bar[c][0] < 0)
+            wanted = sorted((-b[0], c) for c, b in bar.items() if b[0] is not None and b[0] > 0 and c not in held)
+            buys = [c for _, c in wanted][: slots - len(held) + len(sells)]
+            out.append((p, d, money + sum(n * last[c] for c, n in held.items()), len(held)))
+    return out
+
+
+def panel_of_scores(spark):
+    """Codes of remainder 0 have the high scores; some bars, opens and scores are missing."""
+    rng, day = random.Random(3), dt.date(2026, 1, 5)
+    values = []
+    for c in range(96):
+        for i in range(25):
+            if rng.random() < 0.9:
+                score = None if rng.random() < 0.05 else rng.uniform(-1, 1) + (9 if c % 4 == 0 and rng.random() < 0.8 else 0)
+                price = rng.uniform(1, 20)
+                values.append((c, day + dt.timedelta(i), score, 0.0 if rng.random() < 0.05 else price, price * rng.uniform(0.9, 1.1)))
+    return values, spark.createDataFrame(values, "code long, date date, score double, open double, close double")
+
+
+@pytest.mark.parametrize("slots", [3, 5])
+def test_simulation_against_a_plain_loop(spark, slots):
+    values, rows = panel_of_scores(spark)
+    got, want = sorted(map(tuple, simulator.simulate(rows, 4, slots).collect())), plain_loop(values, 4, slots)
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
 def test_upsert_keeps_foreign_columns(spark):
     old = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 6.0)], "code long, a double, b double")
     new = spark.createDataFrame([(2, 9.0, 1.0), (3, 8.0, 2.0)], "code long, a double, c double")
