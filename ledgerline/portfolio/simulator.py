@@ -1,11 +1,15 @@
 """A daily portfolio: sells and buys at the open, lots, costs, sale from the next day on, value at the close.
 
-The state of one portfolio is sequential. Spark ranks the candidates of each day, so a portfolio's task gets only days with
-their few candidates and the bars of codes that it may hold; portfolios (of one date range or group each) run in parallel.
+The state of one portfolio is sequential. Spark ranks the candidates of each day and sorts, so a portfolio's task reads its
+dates in order, with the bars of codes that it may hold, and keeps one day and the state; portfolios (of one date range or
+group each) run in parallel.
 Orders fill by score from the highest, then by code."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +18,18 @@ SLOTS, CASH, LOT, COMMISSION, STAMP = 10, 100_000.0, 100, 0.0006, 0.0005
 RESULT = "portfolio long, date date, value double, positions long"
 
 
-def run(days: pd.DataFrame, slots: int = SLOTS, cash: float = CASH) -> pd.DataFrame:
-    """days: portfolio, date, code, open, close, rank (NULL: no candidate), sell (leave at the next open)."""
+def run(batches: Iterator[pd.DataFrame], slots: int = SLOTS, cash: float = CASH) -> Iterator[pd.DataFrame]:
+    """Rows in order of portfolio, date and code: portfolio, date, code, open, close, rank (NULL: no candidate), sell (leave at
+    the next open), bar (false: only says that the date is there). Holds one day and the state of one portfolio."""
+    rows = (r for b in batches for r in b.itertuples(index=False))
+    for portfolio, days in groupby(rows, key=lambda r: r.portfolio):
+        yield pd.DataFrame(_values(portfolio, days, slots, cash), columns=["portfolio", "date", "value", "positions"])
+
+
+def _values(portfolio: int, rows: Iterator, slots: int, cash: float) -> list[tuple]:
     out, held, sells, buys = [], {}, set(), []
-    for date, day in days.sort_values(["date", "code"]).groupby("date", sort=True):
-        bar = {r.code: r for r in day.itertuples()}
+    for date, day in groupby(rows, key=lambda r: r.date):
+        bar = {r.code: r for r in day if r.bar}
         for code in sorted(sells & held.keys()):
             b = bar.get(code)
             if b is not None and b.open > 0 and held[code][1] < date:
@@ -37,20 +48,31 @@ def run(days: pd.DataFrame, slots: int = SLOTS, cash: float = CASH) -> pd.DataFr
             if code in bar:
                 held[code][2] = bar[code].close
         sells = {c for c in held if c in bar and bar[c].sell}
-        ranked = day[day["rank"].notna()].sort_values(["rank", "code"])
-        buys = [c for c in ranked["code"] if c not in held][: slots - len(held) + len(sells)]
-        out.append((int(day["portfolio"].iloc[0]), date, cash + sum(n * p for n, _, p in held.values()), len(held)))
-    return pd.DataFrame(out, columns=["portfolio", "date", "value", "positions"])
+        ranked = sorted((r.rank, r.code) for r in bar.values() if r.rank == r.rank)
+        buys = [c for _, c in ranked if c not in held][: slots - len(held) + len(sells)]
+        out.append((int(portfolio), date, cash + sum(n * p for n, _, p in held.values()), len(held)))
+    return out
 
 
-def simulate(rows: DataFrame, groups: int = 4, slots: int = SLOTS) -> DataFrame:
-    """rows: code, date, score, open, close. Codes are dealt over independent portfolios by their remainder."""
+def days_of(rows: DataFrame, groups: int, slots: int) -> DataFrame:
+    """What run() needs: the bars of the codes that were ever candidates of their portfolio, from the first such date on, and
+    a row for each date of a portfolio."""
     grouped = rows.withColumn("portfolio", F.col("code") % groups)
     w = Window.partitionBy("portfolio", "date").orderBy(F.desc("score"), "code")
     # a portfolio buys free slots' worth of codes that it doesn't hold, so its day's best `slots` codes always suffice
-    best = grouped.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= slots).select("code", "date", "rank")
-    days = grouped.join(best, ["code", "date"], "left").select("portfolio", "date", "code", "open", "close", F.col("rank").cast("double").alias("rank"), F.coalesce(F.col("score") < 0, F.lit(False)).alias("sell"))
-    return days.groupBy("portfolio").applyInPandas(lambda g: run(g, slots), RESULT)
+    best = grouped.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= slots).select("portfolio", "code", "date", "rank")
+    first = best.groupBy("portfolio", "code").agg(F.min("date").alias("first"))
+    bars = grouped.join(first, ["portfolio", "code"]).filter(F.col("date") >= F.col("first")).join(best, ["portfolio", "code", "date"], "left")
+    bars = bars.select("portfolio", "date", "code", "open", "close", F.col("rank").cast("double").alias("rank"), F.coalesce(F.col("score") < 0, F.lit(False)).alias("sell"), F.lit(True).alias("bar"))
+    dates = grouped.select("portfolio", "date").distinct()
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    return bars.unionByName(dates.select("portfolio", "date", F.lit(0).cast(rows.schema["code"].dataType).alias("code"), none("open"), none("close"), none("rank"), F.lit(False).alias("sell"), F.lit(False).alias("bar")))
+
+
+def simulate(rows: DataFrame, groups: int = 4, slots: int = SLOTS) -> DataFrame:
+    """rows: code, date, score, open, close. Codes are dealt over independent portfolios by their remainder."""
+    dealt = days_of(rows, groups, slots).repartition("portfolio").sortWithinPartitions("portfolio", "date", "code")
+    return dealt.mapInPandas(lambda batches: run(batches, slots), RESULT)
 
 
 def fifo_trips(trades: DataFrame) -> DataFrame:

@@ -134,6 +134,18 @@ def test_simulation_against_a_plain_loop(spark, slots):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
 
 
+def test_simulation_reads_only_bars_it_may_hold(spark):
+    d = lambda n: dt.date(2026, 1, n)
+    values = [(c, d(n), (1.0 if n == 5 else -1.0) if c == 8 else -1.0, 2.0, 2.0) for c in (0, 4, 8) for n in range(3, 8)]
+    rows = spark.createDataFrame(values, "code long, date date, score double, open double, close double")
+    read = simulator.days_of(rows, 4, 3)
+    assert sorted((r["code"], r["date"]) for r in read.filter("bar").collect()) == [(8, d(n)) for n in (5, 6, 7)]
+    assert sorted(r["date"] for r in read.filter("not bar").collect()) == [d(n) for n in range(3, 8)]
+    day = read.toPandas().sort_values(["portfolio", "date", "code"])
+    by_row = [x for b in simulator.run((day[i : i + 1] for i in range(len(day))), 3) for x in b.itertuples(index=False, name=None)]
+    assert by_row == sorted(map(tuple, simulator.simulate(rows, 4, 3).collect())) and [r[3] for r in by_row] == [0, 0, 0, 1, 0]
+
+
 def test_upsert_keeps_foreign_columns(spark):
     old = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 6.0)], "code long, a double, b double")
     new = spark.createDataFrame([(2, 9.0, 1.0), (3, 8.0, 2.0)], "code long, a double, c double")
