@@ -163,8 +163,9 @@ def _memory(vocabulary: dict[str, int]) -> dict[str, tuple[int, ...]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """The chain, fitted on the sample of labelled ids with the least hashes."""
-    chosen = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """The chain, fitted on the sample of labelled documents with the least hashes of their ids."""
+    # labels without a document neither take a place in the sample nor count in the statistic
+    chosen = labels.filter(F.col("doc_id").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     facts = chosen.toPandas().set_index("doc_id")  # at most sample rows
     rows = written(docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in facts.index], "doc_id long")), "doc_id").dropDuplicates(["doc_id"]))
     values = {i: tuple(r) for i, r in zip(facts.index.tolist(), facts.to_numpy().tolist(), strict=True)}

@@ -205,6 +205,14 @@ def test_warc_round_trip(spark, monkeypatch):
     assert op7_warc.unframed(op7_warc.chunked(b"abc" * 9000)) == b"abc" * 9000 and op7_warc.unframed(op7_warc.chunked(b"abc")[:-9]) is None
 
 
+def test_toxicity_sample_is_of_documents(spark):
+    docs = spark.createDataFrame([(i, f"some words {'foul' if i % 2 else 'fine'}") for i in range(80)], "doc_id long, text string")
+    label = lambda ids: spark.createDataFrame([(i, i % 3 % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    want, got = (op4_toxicity.train(docs, label(range(n)), sample=80) for n in (80, 8000))
+    assert "foul$" in want.vocabulary and got.vocabulary == want.vocabulary
+    assert all(np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias) for a, b in zip(got.models, want.models, strict=True))
+
+
 def test_extraction(spark):
     page = lambda i: f"<html><body><div class='topbar'>Site</div><div><p>Same on all</p></div><div><p>Own {i} &amp; x</p><p>more&nbsp;{i}</p></div><form>f</form></body></html>"
     assert op8_extract.extract([page(i) for i in range(6)])[2] == "Own 2 & x\nmore 2"
