@@ -4,16 +4,20 @@ Every byte is eight binary decisions, one for each node of its bit tree; each no
 before it. A context holds the Krichevsky-Trofimov estimate of its counts and the weighted probability
 Pw = (Pe + product of the children's Pw) / 2; the model is frozen after training, and a bit's probability is the mixture
 along its path of contexts. A context that training has not met has no say, and the one above it answers in its place.
+Before each byte and after the last, one more decision says whether the text ends there, weighted in the same way over the
+byte before it, so that the probabilities of all texts sum to one.
 
 Documents are dealt into blocks of about BLOCK_BYTES by a hash. A block counts its distinct (context, byte) grams and its
-words, and sends them compressed to shards, contexts by their last two bytes and words by their hash. A shard merges the
-counts of all blocks, weights its part of the tree and answers each block in the order asked; the two top levels of the
-tree, at most 256 * 256 rows, are joined on the driver. The block then scores its texts. Nothing that grows with the
-corpus is broadcast, and a shard holds compressed lists of what the blocks have met.
-
-Defined cases: a null text counts as empty and has the end token only; a null id counts as training; repeated rows count
-each time; an empty table gives an empty result; further columns are ignored. Without training documents all counts are
-0 and every bit has probability 1/2.
+words, and sends them compressed to shards, contexts by their last SHARED bytes and words by their hash. A shard merges
+the counts of all blocks, weights its part of the tree and sends each block its keys back with their values; the levels
+above the shards are joined on the driver: one row for each SHARED bytes met, 256^SHARED at most whatever the input (about
+18,000 in texts of four languages). The block then scores its texts by those keys. Shards are as many as SHARDS_A_ROOT
+times the root of the number of blocks, so messages grow with the power 1.5 of the input and a shard's lists with its
+root. Nothing that grows with the corpus is broadcast.
+
+Defined cases: a null text counts as empty and has the end token only; a very long text is scored whole, by one task; a null
+id counts as training; repeated rows, ties of any kind among them, count each time; an empty table gives an empty result;
+further columns are ignored. Without training documents all counts are 0 and every decision has probability 1/2.
 """
 
 from __future__ import annotations
@@ -30,10 +34,14 @@ from .common import cut, held_out
 
 DEPTH = 5
 BLOCK_BYTES = 24 * 2**20
+#: Contexts with the same last bytes, so many, share a shard; at least one less than DEPTH, at most 3.
+SHARED = 3
+#: Shards by the root of the number of blocks.
+SHARDS_A_ROOT = 4
 PIECE = 2**21
 
 _SENT = "block long, kind string, shard int, keys binary, counts binary"
-_ANSWER = "block long, kind string, shard int, values binary"
+_ANSWER = "block long, kind string, shard int, keys binary, values binary"
 _LN2 = math.log(2)
 _SMALL = np.array([math.lgamma(i / 2) if i else 0.0 for i in range(2**14)])
 
@@ -107,20 +115,22 @@ def climb(keys: np.ndarray, n: np.ndarray, below: np.ndarray | None, steps: int)
     return levels, inverses, keys, n, below
 
 
-def gram_keys(texts: list[bytes]) -> np.ndarray:
-    """For each byte of the texts in turn: the byte before it, the one before that and so on, then itself; zeros before a text."""
+def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts with DEPTH zeros before each, and where the bytes of the texts are."""
     gap = b"\0" * DEPTH
-    buf = np.frombuffer(gap + gap.join(texts), np.uint8).astype(np.uint64)
-    at = _places(texts)
-    out = buf[at]
-    for d in range(1, DEPTH + 1):
-        out |= buf[at - d] << np.uint64(8 * (DEPTH + 1 - d))
-    return out
+    n = np.array([len(t) for t in texts], np.int64)
+    at = np.arange(int(n.sum())) + np.repeat(np.arange(1, len(texts) + 1) * DEPTH, n)
+    return np.frombuffer(gap + gap.join(texts), np.uint8), at
 
 
-def _places(texts: list[bytes]) -> np.ndarray:
-    n = np.array([len(t) for t in texts], np.int64)
-    return np.arange(int(n.sum())) + np.repeat(np.arange(1, len(texts) + 1) * DEPTH, n)
+def gram_keys(texts: list[bytes]) -> np.ndarray:
+    """For each byte of the texts in turn: the byte before it, the one before that and so on, then itself; zeros before a text."""
+    buf, at = _buffer(texts)
+    whole = buf.astype(np.uint64)
+    out = whole.copy()
+    for d in range(1, DEPTH + 1):
+        out[d:] |= whole[:-d] << np.uint64(8 * (DEPTH + 1 - d))
+    return out[at]
 
 
 def _pieces(texts: list[bytes]):
@@ -146,8 +156,9 @@ def distinct_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    pair = keys >> np.uint64(8 * (DEPTH - 1))
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
+    """By the SHARED last bytes of the context."""
+    tail = keys >> np.uint64(8 * (DEPTH + 1 - SHARED))
+    return ((tail * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
 
 def word_shard(word: bytes, shards: int) -> int:
@@ -170,42 +181,46 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind)[:, 0] if len(raw) else np.zeros(0, kind)
 
 
-class Block:
-    """The distinct grams and words of a block in the order in which shards are asked."""
-
-    def __init__(self, rows: pa.Table, shards: int) -> None:
-        texts, held = rows.column("text").to_pylist(), rows.column("held_out").to_pylist()
-        self.texts = [(t or "").encode("utf-8", "replace") for t in texts]
-        train = [t for t, h in zip(self.texts, held, strict=True) if not h]
-        rest = [t for t, h in zip(self.texts, held, strict=True) if h]
-        ka, ca = distinct_grams(train)
-        kb, _ = distinct_grams(rest)
-        self.keys = np.union1d(ka, kb)
-        self.n = np.zeros(len(self.keys), np.int64)
-        self.n[np.searchsorted(self.keys, ka)] = ca
-        where = gram_shard(self.keys, shards)
-        self.gram_rows = {s: np.flatnonzero(where == s) for s in np.unique(where).tolist()}
-        counts: Counter[bytes] = Counter()
-        for t in train:
-            counts.update(t.lower().split())
-        words = set(counts).union(*(t.lower().split() for t in rest))
-        by: dict[int, list[bytes]] = {}
-        for w in sorted(words):
-            by.setdefault(word_shard(w, shards), []).append(w)
-        self.words, self.counts, self.ends = by, counts, len(train)
+def _texts(rows: pa.Table) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in rows.column("text").to_pylist()]
+
+
+def ends_of(texts: list[bytes]) -> np.ndarray:
+    """(2, 256): by the byte before, 0 at the start of a text, how often a byte followed and how often the end."""
+    out = np.zeros((2, 256), np.int64)
+    for run in _pieces(texts):
+        buf, at = _buffer(run)
+        out[0] += np.bincount(buf[at - 1], minlength=256)
+        out[1] += np.bincount([t[-1] if t else 0 for t in run], minlength=256)
+    return out
 
 
 def _send(shards: int):
     import zstandard
 
     def run(rows: pa.Table) -> pa.Table:
-        block = rows.column("block")[0].as_py()
-        b, out = Block(rows, shards), []
-        for s, at in b.gram_rows.items():
-            out.append((block, "gram", s, _pack(np.diff(b.keys[at], prepend=np.uint64(0))), _pack(b.n[at])))
-        for s, words in b.words.items():
-            out.append((block, "word", s, zstandard.compress(b"\n".join(words), 3), _pack(np.array([b.counts[w] for w in words], np.int64))))
-        out.append((block, "end", 0, b"", _pack(np.array([b.ends], np.int64))))
+        block, held = rows.column("block")[0].as_py(), rows.column("held_out").to_pylist()
+        texts, out = _texts(rows), []
+        train = [t for t, h in zip(texts, held, strict=True) if not h]
+        rest = [t for t, h in zip(texts, held, strict=True) if h]
+        known, n = distinct_grams(train)
+        keys = np.union1d(known, distinct_grams(rest)[0])
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, known)] = n
+        where = gram_shard(keys, shards)
+        for s in np.unique(where).tolist():
+            at = np.flatnonzero(where == s)
+            out.append((block, "gram", s, _pack(np.diff(keys[at], prepend=np.uint64(0))), _pack(counts[at])))
+        words: Counter[bytes] = Counter()
+        for t in train:
+            words.update(t.lower().split())
+        of_shard: list[list[bytes]] = [[] for _ in range(shards)]
+        for w in set(words).union(*(t.lower().split() for t in rest)):
+            of_shard[word_shard(w, shards)].append(w)
+        for s, own in enumerate(of_shard):
+            if own:
+                out.append((block, "word", s, zstandard.compress(b"\n".join(own), 3), _pack(np.array([words[w] for w in own], np.int64))))
+        out.append((block, "end", 0, b"", _pack(ends_of(train).ravel())))
         return _table(out, _SENT)
 
     return run
@@ -231,11 +246,11 @@ _UP = "key long, n long, " + ", ".join(f"v{k} double" for k in range(8))
 
 
 def upward(rows: pa.Table) -> pa.Table:
-    """What a shard of contexts gives to the two top levels; or a shard of words: under key -1 its distinct words and tokens."""
+    """What a shard of contexts gives to the top levels; or a shard of words: under key -1 its distinct words and tokens."""
     kind = rows.column("kind")[0].as_py()
     if kind == "gram":
         _, keys, n = _merge_grams(rows)
-        _, _, keys, n, below = climb(keys, n, None, DEPTH - 1)
+        _, _, keys, n, below = climb(keys, n, None, DEPTH + 1 - SHARED)
         return _table([(int(k), int(c), *map(float, v)) for k, c, v in zip(keys, n, below, strict=True)], _UP)
     counts, _ = _merge_words(rows)
     values = np.fromiter(counts.values(), np.int64, len(counts))
@@ -256,81 +271,117 @@ def _merge_words(rows: pa.Table) -> tuple[dict[bytes, int], list[list[bytes]]]:
 
 
 def top_levels(keys: np.ndarray, n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Depths 1 and 0 over rows (last byte, byte): sorted keys and their states."""
-    levels, inverses, root, total, sums = climb(keys, n, below, 1)
+    """The levels above the shards, over rows (last bytes, byte): sorted keys and their states."""
+    levels, inverses, root, total, sums = climb(keys, n, below, SHARED - 1)
     start = np.zeros((len(root), 8, 3))
     start[..., 1], start[..., 2] = 1.0, 0.5
     state = Level(root, total, sums).down(start)
-    return keys, levels[0].down(state[inverses[0]])
+    for level, inverse in zip(reversed(levels), reversed(inverses), strict=True):
+        state = level.down(state[inverse])
+    return keys, state
+
+
+def end_costs(n: np.ndarray) -> np.ndarray:
+    """n as of ends_of; log10 of the probability that a byte follows, or the end, by context-tree weighting over one byte."""
+    pe = log_kt(n[0], n[1])
+    all_ = n.sum(axis=1)
+    root = log_kt(*all_)
+    alpha = np.exp(root - np.logaddexp(root, pe.sum()))
+    upper, own = (all_ + 0.5) / (all_.sum() + 1), (n + 0.5) / (n.sum(axis=0) + 1)
+    # a byte that training has not met before anything leaves it to the root
+    return np.log10(np.where(n.sum(axis=0) > 0, alpha * upper[:, None] + (1 - alpha) * own, upper[:, None]))
 
 
 def _answers(top: tuple[np.ndarray, np.ndarray]):
+    """To each block its keys or words back, as they came, with their values."""
+
     def run(rows: pa.Table) -> pa.Table:
         kind, shard = rows.column("kind")[0].as_py(), rows.column("shard")[0].as_py()
-        blocks = rows.column("block").to_pylist()
+        blocks, sent = rows.column("block").to_pylist(), rows.column("keys").to_pylist()
         if kind == "gram":
             asked, keys, n = _merge_grams(rows)
-            levels, inverses, upper, _, _ = climb(keys, n, None, DEPTH - 1)
+            levels, inverses, upper, _, _ = climb(keys, n, None, DEPTH + 1 - SHARED)
             state = top[1][np.searchsorted(top[0], upper)]
             for level, inverse in zip(reversed(levels), reversed(inverses), strict=True):
                 state = level.down(state[inverse])
             score = np.log10(state[..., 0] + state[..., 1] * state[..., 2]).sum(axis=1)
-            return _table([(b, kind, shard, _pack(score[np.searchsorted(keys, a)])) for b, a in zip(blocks, asked, strict=True)], _ANSWER)
+            return _table([(b, kind, shard, k, _pack(score[np.searchsorted(keys, a)])) for b, k, a in zip(blocks, sent, asked, strict=True)], _ANSWER)
         counts, words = _merge_words(rows)
-        return _table([(b, kind, shard, _pack(np.array([counts[w] for w in ws], np.int64))) for b, ws in zip(blocks, words, strict=True)], _ANSWER)
+        return _table([(b, kind, shard, k, _pack(np.array([counts[w] for w in ws], np.int64))) for b, k, ws in zip(blocks, sent, words, strict=True)], _ANSWER)
 
     return run
 
 
+def looked_up(asked: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values of the asked keys, all of which the sorted keys hold. Sorted in stretches with their places packed below them, so
+    that the search meets its keys in order; keys have at most 48 bits."""
+    out = np.empty(len(asked))
+    for i in range(0, len(asked), 1 << 16):
+        part = asked[i : i + (1 << 16)]
+        packed = np.sort((part << np.uint64(16)) | np.arange(len(part), dtype=np.uint64))
+        out[i + (packed & np.uint64(0xFFFF)).astype(np.int64)] = values[np.searchsorted(keys, packed >> np.uint64(16))]
+    return out
+
+
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def _score(shards: int, total: int, distinct: int, ends: int):
+def _score(total: int, distinct: int, ends: np.ndarray):
+    import zstandard
+
     floor = math.log10(total + 0.1 * (distinct + 1))
+    go, stop = end_costs(ends)
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table([], _SCORE)
-        b, values, known = Block(rows, shards), None, {}
-        values = np.zeros(len(b.keys))
-        counts = {b"": ends}
-        for kind, s, blob in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "values")), strict=True):
+        keys, values, counts = [], [], {b"": int(ends[1].sum())}
+        for kind, k, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
             if kind == "gram":
-                values[b.gram_rows[s]] = _unpack(blob, "<f8")
-            elif kind == "word":
-                counts.update(zip(b.words[s], _unpack(blob, "<i8").tolist(), strict=True))
-        known = {w: math.log10(c + 0.1) - floor for w, c in counts.items()}
-        scores = []
-        for run_ in _pieces(b.texts):
-            got = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(b.keys, gram_keys(run_))])])
-            ends_ = np.cumsum([len(t) for t in run_])
-            scores += np.diff(got[ends_], prepend=0.0).tolist()
-        out = []
-        for i, h, t, s in zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), b.texts, scores, strict=True):
-            tokens = [*t.lower().split(), b""]
-            out.append((i, h, len(tokens), sum(counts[w] > 0 for w in tokens), total, sum(map(known.__getitem__, tokens)), s, len(t)))
-        return _table(out, _SCORE)
+                keys.append(np.cumsum(_unpack(k, "<u8"), dtype=np.uint64))
+                values.append(_unpack(v, "<f8"))
+            else:
+                counts.update(zip(zstandard.decompress(k).split(b"\n"), _unpack(v, "<i8").tolist(), strict=True))
+        keys, values = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0), *values])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        texts, scores, n_tokens, n_known, base = _texts(rows), [], [], [], []
+        for run_ in _pieces(texts):
+            buf, at = _buffer(run_)
+            got = np.cumsum(np.concatenate([[0.0], looked_up(gram_keys(run_), keys, values) + go[buf[at - 1]]]))
+            scores += (np.diff(got[np.cumsum([len(t) for t in run_])], prepend=0.0) + stop[[t[-1] if t else 0 for t in run_]]).tolist()
+            tokens = [[*t.lower().split(), b""] for t in run_]
+            c = np.fromiter((n for ws in tokens for n in map(counts.__getitem__, ws)), np.int64)
+            starts = np.cumsum([0, *(len(ws) for ws in tokens[:-1])])
+            n_tokens += map(len, tokens)
+            n_known += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
+            base += np.add.reduceat(np.log10(c + 0.1) - floor, starts).tolist()
+        ids, held = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist()
+        return _table([(i, h, n, k, total, b, s, len(t)) for i, h, n, k, b, s, t in zip(ids, held, n_tokens, n_known, base, scores, texts, strict=True)], _SCORE)
 
     return run
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: counts, the unigram base and the model's log10 probability of all bytes of the text."""
+    """One row for each document: counts, the unigram base and the model's log10 probability of the text, its end included."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    shards = math.ceil(SHARDS_A_ROOT * math.sqrt(blocks))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     sent = cut(dealt.groupBy("block").applyInArrow(_send(shards), _SENT))
-    ends = sum(int(_unpack(bytes(r[0]), "<i8")[0]) for r in sent.filter("kind = 'end'").select("counts").toLocalIterator())
+    ends = np.zeros((2, 256), np.int64)
+    for r in sent.filter("kind = 'end'").select("counts").toLocalIterator():
+        ends += _unpack(bytes(r[0]), "<i8").reshape(2, 256)
     asked = sent.filter("kind <> 'end'")
     up = asked.groupBy("kind", "shard").applyInArrow(upward, _UP).groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(8))).toPandas()
     words = up[up["key"] == -1]
-    total = int(words["n"].sum()) + ends
-    distinct = int(words["v0"].sum()) + (ends > 0)
+    total = int(words["n"].sum()) + int(ends[1].sum())
+    distinct = int(words["v0"].sum()) + bool(ends[1].any())
     top = up[up["key"] >= 0].sort_values("key")
     states = top_levels(top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), top[[f"v{k}" for k in range(8)]].to_numpy(float)) if len(top) else (np.zeros(0, np.uint64), np.zeros((0, 8, 3)))
     answers = asked.groupBy("kind", "shard").applyInArrow(_answers(states), _ANSWER)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, total, distinct, ends), _SCORE)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(total, distinct, ends), _SCORE)
 
 
 def query(docs: DataFrame) -> DataFrame:
