@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def own_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session has none, as in tests."""
+    """Sets a checkpoint folder where a session on one machine has none, as in tests; elsewhere one must be configured."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        import re
         import tempfile
 
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(folder)
 
@@ -48,6 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared_folder() that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column has it."""
     taken = {c.lower() for c in df.columns}
@@ -67,13 +76,17 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, n)
 
 
-def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[..., pa.Array], needs: list[str]) -> DataFrame:
-    """All columns and one more, made for each Arrow batch from the columns in needs."""
+def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[..., pa.Array], needs: list[str], end: Callable[[], None] | None = None) -> DataFrame:
+    """All columns and one more, made for each Arrow batch from the columns in needs; end() frees what make keeps in a task."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, make(*(b.column(c) for c in needs))], names=[*b.schema.names, name])
+        try:
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns, make(*(b.column(c) for c in needs))], names=[*b.schema.names, name])
+        finally:  # workers live on, with later stages in them
+            if end:
+                end()
 
     return df.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ stays a row; repeated rows give repeated rows; an empty table gives an empty tab
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, with_arrow_column
+from .common import with_arrow_column
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct stretches of text whose ids a task remembers; a speed setting, not a limit.
-REMEMBERED = 150_000
+#: Bytes of stretches of text and their ids that a task remembers; a speed setting, not a limit.
+REMEMBERED = 32 * 2**20
 #: A space beside other white space.
 UNSAFE = re.compile(r" \s|\s |^ ")
 
@@ -71,10 +72,14 @@ class Encoder:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        import public_tokenizers
+
         self.matches = regex.compile(pattern).findall
+        self.stretches = stretches if pattern == public_tokenizers.PATTERN else lambda text: [text]
         self.mapping = dict(enumerate(byte_characters()))
         self.whole = {self.sp.id_to_piece(i): [i] for i in range(self.sp.get_piece_size() - 1)}
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def learn(self, stretches: list[str]) -> None:
         """Encodes the matches in the stretches, those that are no piece themselves all in one call."""
@@ -85,20 +90,25 @@ class Encoder:
         for x, ms in zip(stretches, found, strict=True):
             out = [i for m in ms for i in (whole.get(m) or ids[m])]
             self.known[x] = struct.pack(f"<{len(out)}I", *out)
+            self.size += 200 + len(x) + 4 * len(out)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.size = 0
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Equal stretches of the texts are encoded once."""
-        cut = [stretches(t) if t else () for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        cut = [self.stretches(t) if t else () for t in texts]
+        if self.size > REMEMBERED:
+            self.forget()
         known = self.known
         self.learn([x for x in set().union(*cut) if x not in known])
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
 def stretches(text: str) -> list[str]:
-    """No match of the pattern holds a space after a character other than white space, so a text can be cut before each
-    space that stands between two such characters."""
+    """No match of public_tokenizers.PATTERN holds a space after a character other than white space, so a text can be cut
+    before each space that stands between two such characters."""
     if "\0" not in text and not UNSAFE.search(text):
         return text.replace(" ", "\0 ").split("\0")
     first, *rest = text.split(" ")
@@ -125,7 +135,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     def make(texts: pa.Array) -> pa.Array:
         return pa.array(_encoder(model, pattern).encode_all(texts.to_pylist()), pa.binary())
 
-    return with_arrow_column(docs, ids_col, T.BinaryType(), make, [text_col])
+    return with_arrow_column(docs, ids_col, T.BinaryType(), make, [text_col], _forget)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
@@ -133,8 +143,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", to_col: str = "deco
     model = model_bytes(read_ranks(path))
 
     def make(ids: pa.Array) -> pa.Array:
-        pieces = _pieces(model)
-        return pa.array([None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()], pa.binary())
+        return pa.array([None if x is None else joined(model, x) for x in ids.to_pylist()], pa.binary())
 
     return with_arrow_column(rows, to_col, T.BinaryType(), make, [ids_col])
 
@@ -142,6 +151,11 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", to_col: str = "deco
 _made: dict = {}
 
 
+def _forget() -> None:
+    if "encoder" in _made:
+        _made["encoder"].forget()
+
+
 def _encoder(model: bytes, pattern: str) -> Encoder:
     if _made.get("for") != (model, pattern):
         _made["for"], _made["encoder"] = (model, pattern), Encoder(model, pattern)
@@ -158,15 +172,25 @@ def _pieces(model: bytes) -> list[bytes]:
     return _made["pieces"]
 
 
+def joined(model: bytes, ids: bytes) -> bytes:
+    return b"".join(map(_pieces(model).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def tokenised(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and the counts and digests of ids and decoded bytes."""
     import public_tokenizers
 
-    path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
-    narrow = docs.select("doc_id", "text")
-    ids, bytes_ = free_name(narrow, "ids"), free_name(narrow, "decoded")
-    rows = decode(encode(narrow, path, pattern, ids_col=ids).drop("text"), path, ids_col=ids, to_col=bytes_)
-    return rows.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(F.col(ids), 256).alias("ids_sha256"), F.sha2(F.col(bytes_), 256).alias("decoded_sha256"), F.col(ids).alias("ids"))
+    model, pattern = model_bytes(read_ranks(path or public_tokenizers.path(VOCABULARY))), pattern or public_tokenizers.PATTERN
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids", T.BinaryType())])
+
+    def make(texts: pa.Array) -> pa.Array:
+        """Both ways in one worker, so that no decoded text leaves it."""
+        ids = _encoder(model, pattern).encode_all(texts.to_pylist())
+        decoded = (joined(model, x) for x in ids)
+        columns = [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in decoded], ids
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=kind.names)
+
+    return with_arrow_column(docs.select("doc_id", "text"), "made", kind, make, ["text"], _forget).select("doc_id", "made.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
