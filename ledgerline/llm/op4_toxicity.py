@@ -6,10 +6,12 @@ A later model also sees the probabilities of the earlier ones: in training those
 give, in scoring those of the final earlier models.
 
 Every word of every whole text is looked at in scoring. The vocabulary is chosen by the likelihood-ratio statistic of
-each feature with a category over the sample.
+each feature with a category over the sample, at most FEATURES for each category and only above LEAST_G2; the models of
+the other folds choose theirs without the fold that they predict. Word beginnings have 3 to 8 letters; whole words any.
 
-Defined cases: a null or empty text has no features; a document without a label, or whose label is null, is scored and
-not trained on; labels without a document are ignored; without labels of both kinds a category's probability is its share (0
+Defined cases: a null or empty text has no features; a very long text is read whole, as one set of features; a document
+without a label, or whose label is null, is scored and not trained on; labels without a document are ignored; of a
+repeated id the largest labels and the least text are trained on; ties in the statistic go by the feature; without labels of both kinds a category's probability is its share (0
 without labels); repeated rows are scored each; an empty table gives an empty result; a null id is scored and kept;
 further columns come through keep_clean() unchanged.
 """
@@ -23,14 +25,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, slices, table, with_arrow_column, written
 
 CATEGORIES = ("quality", "toxic")
+#: Labelled documents of the fit.
 SAMPLE = 8_000
+#: Features that the fit takes for each category, those of the highest statistic, if it is above LEAST_G2.
 FEATURES = 400
 LEAST_G2 = 25.0
 FOLDS = 5
@@ -38,7 +42,9 @@ RIDGE = 0.1
 #: A fit ends when no weight moves by more.
 CLOSE = 1e-3
 THRESHOLD = 0.5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Distinct features that a counting task holds before it passes their counts on.
+COUNTED = 50_000
 _WORD = re.compile(r"\w+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -115,28 +121,45 @@ class Chain:
         return out
 
     @classmethod
-    def fit(cls, categories: tuple[str, ...], vocabulary: dict[str, int], present: list[list[int]], labels: np.ndarray, folds: np.ndarray) -> Chain:
-        """labels: NaN where a document has none for the category."""
-        x = np.zeros((len(present), len(vocabulary)))
+    def fit(cls, categories: tuple[str, ...], vocabulary: dict[str, int], of_fold: list[list[int]], present: list[list[int]], labels: np.ndarray, folds: np.ndarray) -> Chain:
+        """vocabulary: the features of the chain, numbered from 0; of_fold: for each fold the numbers of the features chosen
+        without it, which present numbers as well; labels: NaN where a document has none for the category."""
+        x = np.zeros((len(present), 1 + max([len(vocabulary) - 1, *(i for own in of_fold for i in own), *(i for p in present for i in p)], default=-1)))
         for i, p in enumerate(present):
             x[i, p] = 1.0
-        # features that the sample can't tell apart are one column, scaled so that the fit is that of the columns apart
-        _, first, group, alike = np.unique(np.packbits(x > 0, axis=0).T, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        group, root = group.reshape(-1), np.sqrt(alike)
-        x, models = x[:, first] * root, []
+        earlier, models, every = np.zeros((len(x), 0)), [], list(range(len(vocabulary)))
         for j in range(len(categories)):
             y = labels[:, j]
             has = ~np.isnan(y)
-            m = Logistic.fit(x[has], y[has])
-            models.append(Logistic(np.append((m.weights[: len(first)] / root)[group], m.weights[len(first) :]), m.bias))
+            m = _fit_alike(x, every, earlier, y, has)
+            models.append(m)
+            near = np.zeros(x.shape[1])
+            near[every] = m.weights[: len(every)]
             out_of_fold = np.zeros(len(x))
-            for f in range(FOLDS):
+            for f in range(len(of_fold)):
                 mine = folds == f
-                out_of_fold[mine] = Logistic.fit(x[has & ~mine], y[has & ~mine], m).probability(x[mine])
-            x = np.hstack([x, out_of_fold[:, None]])
+                own = _fit_alike(x, of_fold[f], earlier, y, has & ~mine, Logistic(np.append(near[of_fold[f]], m.weights[len(every) :]), m.bias))
+                out_of_fold[mine] = own.probability(np.hstack([x[mine][:, of_fold[f]], earlier[mine]]))
+            earlier = np.hstack([earlier, out_of_fold[:, None]])
         return cls(categories, vocabulary, models)
 
 
+def _fit_alike(x: np.ndarray, columns: list[int], earlier: np.ndarray, y: np.ndarray, use: np.ndarray, near: Logistic | None = None) -> Logistic:
+    """The model over those columns of x and the earlier ones; columns that the rows can't tell apart are one in the fit, scaled
+    so that the fit is that of the columns apart."""
+    own = x[:, columns]
+    if columns:
+        _, first, group, alike = np.unique(np.packbits(own > 0, axis=0).T, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        group, root = group.reshape(-1), np.sqrt(alike)
+    else:
+        first, group, root = np.zeros(0, int), np.zeros(0, int), np.ones(0)
+    a = np.hstack([own[:, first] * root, earlier])
+    if near:
+        near = Logistic(np.append(np.bincount(group, near.weights[: len(columns)], len(first)) / root, near.weights[len(columns) :]), near.bias)
+    m = Logistic.fit(a[use], y[use], near)
+    return Logistic(np.append((m.weights[: len(first)] / root)[group], m.weights[len(first) :]), m.bias)
+
+
 _known: dict = {}
 
 
@@ -162,46 +185,78 @@ def _memory(vocabulary: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return _known["of"]
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """The chain, fitted on the sample of labelled documents with the least hashes of their ids."""
     # labels without a document neither take a place in the sample nor count in the statistic
     chosen = labels.filter(F.col("doc_id").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     facts = chosen.toPandas().set_index("doc_id")  # at most sample rows
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in facts.index], "doc_id long")), "doc_id").dropDuplicates(["doc_id"]))
+    wanted = docs.sparkSession.createDataFrame([(int(i),) for i in facts.index], "doc_id long")
+    # of the texts of a repeated id the least, so that reruns agree
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    ids = sorted(facts.index.tolist())
     values = {i: tuple(r) for i, r in zip(facts.index.tolist(), facts.to_numpy().tolist(), strict=True)}
+    fold_of = {i: k % FOLDS for k, i in enumerate(ids)}
     n = len(categories)
+    sums = [f"s{i}" for i in range(2 * n)]  # for each category: documents with the feature, and those of them labelled 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [Counter() for _ in range(2 * n)]  # for each category: documents with the feature, and those of them labelled 1
+        held: dict[int, list[Counter]] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for fold, own in held.items():
+                keys = list(set().union(*own))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([fold] * len(keys), pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in own)], names=["feature", "fold", *sums])
+            held.clear()
+
         for b in slices(batches):
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                f = all_features(text)
+                f, own = all_features(text), held.setdefault(fold_of[i], [Counter() for _ in sums])
                 for j, y in enumerate(values[i]):
                     if y == y:
-                        sums[2 * j].update(f)
+                        own[2 * j].update(f)
                         if y >= 0.5:
-                            sums[2 * j + 1].update(f)
-        keys = list(set().union(*sums))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in sums)], names=["feature", *(f"s{i}" for i in range(2 * n))])
-
-    counts = rows.mapInArrow(count, "feature string, " + ", ".join(f"s{i} long" for i in range(2 * n))).groupBy("feature").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * n)))
-    counts = written(counts)
-    vocabulary: dict[str, int] = {}
+                            own[2 * j + 1].update(f)
+            if sum(len(own[0]) for own in held.values()) > COUNTED:
+                yield from emptied()
+        yield from emptied()
+
+    without = {(s, f): f"{s}_{f}" for s in sums for f in range(FOLDS)}
+    counts = rows.mapInArrow(count, "feature string, fold int, " + ", ".join(f"{s} long" for s in sums)).groupBy("feature").agg(*(F.sum(s).alias(s) for s in sums), *(F.coalesce(F.sum(F.when(F.col("fold") != f, F.col(s))), F.lit(0)).alias(c) for (s, f), c in without.items()))
+    statistics = {}
     for j, c in enumerate(categories):
-        y = facts[c].dropna()
-        total, ones = float(len(y)), float((y >= 0.5).sum())
-        if not 0 < ones < total:
-            continue
-        a, b = F.col(f"s{2 * j + 1}").cast("double"), F.col(f"s{2 * j}").cast("double")
-        part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-        g2 = 2 * (part(a, b * (ones / total)) + part(b - a, b * (1 - ones / total)) + part(F.lit(ones) - a, (total - b) * (ones / total)) + part(total - ones - b + a, (total - b) * (1 - ones / total)))
-        for r in counts.withColumn("g2", F.when(b < total, g2)).filter(F.col("g2") > LEAST_G2).orderBy(F.col("g2").desc(), "feature").limit(FEATURES).select("feature").collect():
-            vocabulary.setdefault(r[0], len(vocabulary))
-    present = _present(rows, vocabulary)
+        for f in [None, *range(FOLDS)]:
+            y = np.array([values[i][j] for i in ids if fold_of[i] != f])
+            y = y[~np.isnan(y)]
+            name = [sums[2 * j + k] if f is None else without[sums[2 * j + k], f] for k in (1, 0)]
+            if 0 < (y >= 0.5).sum() < len(y):
+                statistics[f, c] = _g2(*name, float((y >= 0.5).sum()), float(len(y)))
+    chosen_features: dict[int | None, set[str]] = {f: set() for f in [None, *range(FOLDS)]}
+    if statistics:
+        names = {k: f"g{i}" for i, k in enumerate(statistics)}
+        likely = written(counts.select("feature", *(g.alias(names[k]) for k, g in statistics.items())).filter(F.greatest(*(F.coalesce(c, F.lit(0.0)) for c in names.values()), F.lit(0.0)) > LEAST_G2))
+        for (f, _), name in names.items():
+            chosen_features[f] |= {r[0] for r in likely.filter(F.col(name) > LEAST_G2).orderBy(F.col(name).desc(), "feature").limit(FEATURES).select("feature").collect()}
+    vocabulary = {x: k for k, x in enumerate(sorted(chosen_features[None]))}
+    every = dict(vocabulary)
+    for f in range(FOLDS):
+        for x in sorted(chosen_features[f]):
+            every.setdefault(x, len(every))
+    present = _present(rows, every)
     ids = sorted(present)
     y = np.array([values[i] for i in ids], float).reshape(len(ids), n)
-    folds = np.arange(len(ids)) % FOLDS
-    return Chain.fit(categories, vocabulary, [present[i] for i in ids], y, folds)
+    return Chain.fit(categories, vocabulary, [sorted(every[x] for x in chosen_features[f]) for f in range(FOLDS)], [present[i] for i in ids], y, np.array([fold_of[i] for i in ids], int))
+
+
+def _g2(ones_with: str, with_: str, ones: float, total: float) -> Column:
+    """The likelihood-ratio statistic of a feature with a category, NULL for one that all documents have."""
+    a, b = F.col(ones_with).cast("double"), F.col(with_).cast("double")
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    g2 = 2 * (part(a, b * (ones / total)) + part(b - a, b * (1 - ones / total)) + part(F.lit(ones) - a, (total - b) * (ones / total)) + part(total - ones - b + a, (total - b) * (1 - ones / total)))
+    return F.when((b > 0) & (b < total), g2)
 
 
 def _present(rows: DataFrame, vocabulary: dict[str, int]) -> dict[int, list[int]]:
@@ -209,7 +264,7 @@ def _present(rows: DataFrame, vocabulary: dict[str, int]) -> dict[int, list[int]
         known = _memory(vocabulary)
         return pa.array([present_in(t, vocabulary, known) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return {r[0]: list(r[1]) for r in with_arrow_column(rows, "present", T.ArrayType(T.IntegerType()), make, ["text"]).select("doc_id", "present").collect()}
+    return {r[0]: list(r[1]) for r in with_arrow_column(rows, "present", T.ArrayType(T.IntegerType()), make, ["text"], _forget).select("doc_id", "present").collect()}
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, name: str, text_col: str = "text") -> DataFrame:
@@ -220,7 +275,7 @@ def with_probabilities(docs: DataFrame, chain: Chain, name: str, text_col: str =
         p = chain.predict([present_in(t, chain.vocabulary, known) for t in texts.to_pylist()])
         return pa.StructArray.from_arrays([pa.array(p[:, j], pa.float64()) for j in range(p.shape[1])], names=list(chain.categories))
 
-    return with_arrow_column(docs, name, T.StructType([T.StructField(c, T.DoubleType()) for c in chain.categories]), make, [text_col])
+    return with_arrow_column(docs, name, T.StructType([T.StructField(c, T.DoubleType()) for c in chain.categories]), make, [text_col], _forget)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
