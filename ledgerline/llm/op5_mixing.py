@@ -8,10 +8,14 @@ quota. Shards take disjoint stretches of each source's permuted draws and are sh
 
 The driver sees one row for each source (counts and sums), never documents. Draws go to the documents by a join with a
 written table of blocks, which Spark broadcasts if it is below its threshold, so texts are shuffled once, to the shards.
-
-Defined cases: a null or empty text has size 0 and is drawn like any other; a null source is a source of its own, the
-last; null ids hash as null and may be drawn; repeated rows are separate rows; an empty table gives an empty result; a
-source without words has target 0 and is not drawn; further columns come through shards() unchanged.
+Sizes and hashes are written once, and all but the last step read those. The one block of a source that is drawn in part
+is one task's, as hashes and sizes: about 1/BLOCKS of the source.
+
+Defined cases: a null or empty text has size 0 and is drawn like any other; a very long text counts whole, and may be all
+that a target leaves out; a null source is a source of its own, the last; a null id is dealt by its text and may be drawn;
+repeated rows are separate rows, and of rows that tie in hash and size any one is as good; an empty table gives an empty
+result; a source without words has target 0 and is not drawn; further columns, whatever their names, come through shards()
+unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, written
+from .common import written
 
 BLOCKS = 1024
 DOCS_A_BLOCK = 64
@@ -72,9 +76,9 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def part_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block that fill what is left of a source's target: largest first while they fit, then the smallest
     other one if that comes nearer."""
-    rows = rows.sort_values(["_size", "_order"], ascending=[False, True], kind="stable")
-    left = float(rows["_part"].iloc[0])
-    sizes = rows["_size"].to_numpy()
+    rows = rows.sort_values(["size", "order"], ascending=[False, True], kind="stable")
+    left = float(rows["part"].iloc[0])
+    sizes = rows["size"].to_numpy()
     take = np.zeros(len(rows), bool)
     for i, n in enumerate(sizes):
         if n <= left:
@@ -83,72 +87,67 @@ def part_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     other = np.flatnonzero(~take)
     if len(other) and sizes[other[-1]] - left < left:
         take[other[-1]] = True
-    return rows[take].groupby(["_block_key", "_order", "_size"]).size().rename("_times").reset_index()
+    return rows[take].groupby(["block_key", "order", "size"]).size().rename("times").reset_index()
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = 5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents with size, source_size, target and shards, an array with one shard for each time the mix takes the row;
-    in a struct column `mix`, as the last column."""
+    """row: a struct of the document's own columns; mix: a struct of size, source_size, target, shards, an array with one shard for
+    each time the mix takes the row, and order, a hash of the row's id."""
     spark = docs.sparkSession
-    source, key = F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(seed))
-    per = docs.select(source.cast("string").alias("source"), words(F.col(f"`{text_col}`")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    table = per.orderBy(F.col("source").asc_nulls_last()).toPandas()
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
+    # the columns of docs go in a struct, so that no name of theirs can meet one used here
+    order = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), text), F.lit(seed))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if docs.columns else F.lit(None)
+    sized = docs.select(row.alias("row"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("null"), words(text).alias("size"), order.alias("order"))
+    facts = written(sized.drop("row"))
+    table = facts.groupBy("source", "null").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("null", "source").toPandas()  # a row a source
     sizes, counts = table["size"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
     target = fill(sizes, np.array([weights[i % len(weights)] for i in range(len(table))]))
     blocks = np.clip(counts // DOCS_A_BLOCK, 1, BLOCKS)
     passes = np.where(sizes > 0, np.minimum(np.floor(target / np.maximum(sizes, 1) + 1e-9), MOST), 0).astype(np.int64)
-    facts = pd.DataFrame({"_source": table["source"], "_null": table["source"].isna(), "_source_size": sizes, "_target": target, "_blocks": blocks, "_passes": passes, "_rest": np.maximum(target - passes * sizes, 0.0)})
-    facts["_source"] = facts["_source"].fillna("")
-    of_source = spark.createDataFrame(facts, "_source string, _null boolean, _source_size long, _target double, _blocks int, _passes long, _rest double")
-
-    sized = docs.withColumns({"_source": F.coalesce(source.cast("string"), F.lit("")), "_null": source.isNull(), "_size": words(F.col(f"`{text_col}`")), "_order": key})
-    placed = sized.join(of_source, ["_source", "_null"]).withColumn("_block", F.pmod(F.col("_order"), F.col("_blocks")).cast("int"))
-    own = ["_source", "_null", "_block"]
-    by = Window.partitionBy("_source", "_null").orderBy(F.xxhash64("_source", "_block", F.lit(seed + 1)), "_block")
+    of_source = pd.DataFrame({"source": table["source"], "null": table["null"], "source_size": sizes, "target": target, "blocks": blocks, "passes": passes, "rest": np.maximum(target - passes * sizes, 0.0)})
+    of_source = written(spark.createDataFrame(of_source, "source string, null boolean, source_size long, target double, blocks int, passes long, rest double"))
+
+    block = F.pmod(F.col("order"), F.col("blocks")).cast("int").alias("block")
+    own = ["source", "null", "block"]
+    by = Window.partitionBy("source", "null").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
+    placed = facts.join(of_source, ["source", "null"]).select("source", "null", "size", "order", "passes", "rest", block)
     drawn = (
-        placed.groupBy(*own).agg(F.sum("_size").alias("words"), *(F.first(c).alias(c) for c in ("_passes", "_rest")))
-        .withColumns({"rank": F.row_number().over(by) - 1, "upto": F.sum("words").over(by), "n": F.count(F.lit(1)).over(Window.partitionBy("_source", "_null"))})
-        .withColumns({"whole": F.col("upto") <= F.col("_rest"), "_part": F.when((F.col("upto") > F.col("_rest")) & (F.col("upto") - F.col("words") < F.col("_rest")), F.col("_rest") - F.col("upto") + F.col("words"))})
-        .select(*own, "rank", "n", "_passes", "whole", "_part")
+        placed.groupBy(*own).agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("passes", "rest")))
+        .withColumns({"rank": F.row_number().over(by) - 1, "upto": F.sum("words").over(by), "n": F.count(F.lit(1)).over(Window.partitionBy("source", "null"))})
+        .withColumns({"whole": F.col("upto") <= F.col("rest"), "part": F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("words"))})
+        .select(*own, "rank", "n", "passes", "whole", "part")
     )
-    drawn = cut(drawn)
-    quota = drawn.groupBy("_source", "_null").agg((F.max("_passes") * F.max("n") + F.count(F.when(F.col("whole") | F.col("_part").isNotNull(), 1))).alias("q")).toPandas().sort_values(["_null", "_source"])
+    drawn = written(drawn)
+    quota = drawn.groupBy("source", "null").agg((F.max("passes") * F.max("n") + F.count(F.when(F.col("whole") | F.col("part").isNotNull(), 1))).alias("q")).toPandas().sort_values(["null", "source"])
     ends = split(quota["q"].to_numpy(np.int64), shards, seed).cumsum(axis=0).T
-    bounds = spark.createDataFrame(pd.DataFrame({"_source": quota["_source"], "_null": quota["_null"], "_ends": ends.tolist()}), "_source string, _null boolean, _ends array<long>")
-    shard = lambda draw: F.size(F.filter("_ends", lambda e: e <= draw))
-    draws = drawn.join(bounds, ["_source", "_null"]).select(
-        *own, "_part",
-        F.when(F.col("_passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1), lambda p: shard(p * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>")).alias("_all"),
-        shard(F.col("_passes") * F.col("n") + F.col("rank")).alias("_last"), "whole",
+    bounds = written(spark.createDataFrame(pd.DataFrame({"source": quota["source"], "null": quota["null"], "ends": ends.tolist()}), "source string, null boolean, ends array<long>"))
+    shard = lambda draw: F.size(F.filter("ends", lambda e: e <= draw))
+    draws = drawn.join(bounds, ["source", "null"]).select(
+        *own, "part",
+        F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: shard(p * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>")).alias("all"),
+        shard(F.col("passes") * F.col("n") + F.col("rank")).alias("last"), "whole",
     )
-    full = placed.join(written(draws), own)
-    return _with_parts(full, own, docs)
-
-
-def _with_parts(full: DataFrame, own: list[str], docs: DataFrame) -> DataFrame:
-    """Adds the draws of blocks that are drawn in part. Rows that agree in hash and size are alike, so the choice is carried
-    as how many of each (hash, size) are drawn."""
-    narrow = full.select(*own, "_size", "_order", "_part")
-    chosen = narrow.filter(F.col("_part").isNotNull()).select(F.xxhash64(*own).alias("_block_key"), "_size", "_order", "_part").groupBy("_block_key").applyInPandas(part_of_block, "_block_key long, _order long, _size long, _times long")
+    draws = written(draws.join(of_source.select("source", "null", "source_size", "target"), ["source", "null"]))
+    # of blocks that are drawn in part: how many of each (hash, size) are drawn, as rows that agree in both are alike
+    part = draws.filter("part is not null").select(*own, "part")
+    chosen = placed.join(part, own).select(F.xxhash64(*own).alias("block_key"), "size", "order", "part").groupBy("block_key").applyInPandas(part_of_block, "block_key long, order long, size long, times long")
     chosen = written(chosen)
-    keyed = full.withColumn("_block_key", F.xxhash64(*own)).withColumn("_wanted", F.col("_part").isNotNull())
-    whole = keyed.filter(~F.col("_wanted")).withColumn("_more", F.col("whole"))
-    among = Window.partitionBy("_block_key", "_order", "_size").orderBy("_order")
-    partly = keyed.filter("_wanted").join(chosen, ["_block_key", "_order", "_size"], "left").withColumn("_more", F.row_number().over(among) <= F.coalesce("_times", F.lit(0).cast("long"))).drop("_times")
-    both = whole.unionByName(partly)
-    took = F.when(F.col("_more"), F.concat("_all", F.array("_last"))).otherwise(F.col("_all"))
-    mix = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), took.alias("shards"), F.col("_order").alias("order"))
-    return both.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias(free_name(docs, "mix")))
+    full = sized.join(of_source.select("source", "null", "blocks"), ["source", "null"]).select("row", "source", "null", "size", "order", block).join(draws, own)
+    keyed = full.withColumn("block_key", F.xxhash64(*own)).withColumn("wanted", F.col("part").isNotNull())
+    among = Window.partitionBy("block_key", "order", "size").orderBy("order")
+    partly = keyed.filter("wanted").join(chosen, ["block_key", "order", "size"], "left").withColumn("more", F.row_number().over(among) <= F.coalesce("times", F.lit(0).cast("long"))).drop("times")
+    both = keyed.filter("not wanted").withColumn("more", F.col("whole")).unionByName(partly)
+    took = F.when(F.col("more"), F.concat("all", F.array("last"))).otherwise(F.col("all"))
+    return both.select("row", F.struct("size", "source_size", "target", took.alias("shards"), "order").alias("mix"))
 
 
 def shards(docs: DataFrame, **how) -> DataFrame:
     """One row for each time the mix takes a document: its own columns, grouped by shard and shuffled within it."""
-    planned = plan(docs, **how)
-    m = planned.columns[-1]
-    each = planned.select(*(F.col(f"`{c}`") for c in docs.columns), F.posexplode(f"{m}.shards").alias("_copy", "_shard"), F.xxhash64(f"{m}.order", "_copy").alias("_at"))
-    return each.repartition(F.col("_shard"), F.pmod("_at", F.lit(16))).sortWithinPartitions("_shard", "_at").select(*(F.col(f"`{c}`") for c in docs.columns))
+    each = plan(docs, **how).select("row", "mix.order", F.posexplode("mix.shards").alias("copy", "shard")).select("row", "shard", F.xxhash64("order", "copy").alias("at"))
+    return each.repartition(F.col("shard"), F.pmod("at", F.lit(16))).sortWithinPartitions("shard", "at").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     planned = plan(docs.select("doc_id", "source", "text"))
-    return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.size("mix.shards")).cast("long").alias("taken"), F.col("mix.shards").alias("shards"))
+    return planned.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.size("mix.shards")).cast("long").alias("taken"), F.col("mix.shards").alias("shards"))
