@@ -6,31 +6,42 @@ The reader parses whole archive files, groups the segments by origin, orders the
 length, decodes the framing and resolves revisits through the response that they refer to. Spark writes and reads the
 files, so they can be in any store that Spark reaches.
 
-Defined cases: a null html counts as empty; a null page id is kept as a null id and never referred to; rows with the
-same page id and payload are each a response if the id is the largest; an empty table gives an empty archive; a broken
-or incomplete record gives a null payload, never a wrong one; further columns are not archived.
+Defined cases: a null html counts as empty; a null page id is kept as a null id and never referred to, but revisits an equal
+payload that has an id; rows with the same page id and payload are each a response if the id is the largest; very long
+payloads are cut into segments, and joined in one task; an empty table gives an empty archive; a record that is broken,
+incomplete or has numbers that are none gives a null payload, never a wrong one, and what a truncated archive lacks is
+left out; further columns, whatever their names, are not archived.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
+import re
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import shared_folder, slices, written
 
 SEGMENT = 65_536
 CHUNK = 8_192
 LEAST = 1_000
 RECORDS_A_FILE = 8_000
+LONGEST_LINE = 2**20
+_NUMBER = re.compile(r"-?[0-9]{1,18}")
 
 RECORD = "page_id long, url string, type string, record_id string, origin_id string, segment int, total long, digest string, refers_to long, block binary"
 PAGE = "page_id long, url string, type string, digest string, refers_to long, payload binary"
 
 
+_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;.*)?$", re.S)
+
+
 def chunked(payload: bytes) -> bytes:
     """An HTTP response with the payload in chunked transfer framing."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -43,16 +54,17 @@ def unframed(block: bytes) -> bytes | None:
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         return None
-    if b"transfer-encoding: chunked" not in head.lower():
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    if fields.get(b"transfer-encoding") != b"chunked":
         return body
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        try:
-            n = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
-        except ValueError:
+        size = _SIZE.match(body, at, end) if end >= 0 else None
+        if not size:
             return None
-        if n < 0 or n and body[end + 2 + n : end + 4 + n] != b"\r\n":
+        n = int(size[1], 16)
+        if n and body[end + 2 + n : end + 4 + n] != b"\r\n":
             return None
         if n == 0:
             return b"".join(out)
@@ -102,20 +114,36 @@ def write(pages: DataFrame, path: str) -> None:
     marked.mapInArrow(make, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of one archive, as rows of RECORD."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(f.get("content-length", 0))
-        block = data[end + 4 : end + 4 + n]
-        number = lambda k: int(f[k]) if k in f else None  # noqa: E731, B023
-        yield (number("x-page-id"), f.get("warc-target-uri"), f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), f.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-refers-to-page-id"), block if len(block) == n else None)
-        at = end + 4 + n
+def parse(archive: BinaryIO) -> Iterator[tuple]:
+    """The records of one archive, as rows of RECORD, one after the other; what isn't a record is passed over, and a record that
+    the file doesn't hold whole, or whose numbers aren't numbers, has no block."""
+    try:
+        while line := archive.readline(LONGEST_LINE):
+            if line.startswith(b"WARC/1."):
+                yield _record(archive)
+    except (EOFError, OSError, zlib.error):
+        return
+
+
+def _record(archive: BinaryIO) -> tuple:
+    f: dict[str, str] = {}
+    whole = True
+    try:
+        while (line := archive.readline(LONGEST_LINE).rstrip(b"\r\n")):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            f[k.strip().lower()] = v.strip()
+    except (EOFError, OSError, zlib.error):
+        whole = False
+    bad = [k for k in ("content-length", "x-page-id", "warc-segment-number", "warc-segment-total-length", "x-refers-to-page-id") if k in f and not _NUMBER.fullmatch(f[k])]
+    number = lambda k: int(f[k]) if k in f and k not in bad else None
+    n, block = number("content-length"), None
+    if whole and n is not None:
+        try:
+            block = archive.read(n)
+        except (EOFError, OSError, zlib.error):
+            block = None
+    sound = block is not None and len(block) == n and not bad
+    return (number("x-page-id"), f.get("warc-target-uri"), f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), f.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-refers-to-page-id"), block if sound else None)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 * 2**20) -> Iterator[pa.RecordBatch]:
@@ -145,7 +173,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     schema = _arrow(RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for content in b.column(0) for r in parse(gzip.decompress(content.as_py())))
+        rows = (r for b in batches for content in b.column(0) for r in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))))
         yield from _batches(rows, schema)
 
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInArrow(run, RECORD)
@@ -197,8 +225,8 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """Counts and digests of full payloads; a revisit takes those of its response."""
-    found = pages.select("page_id", "url", F.col("type").alias("record_type"), "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "digest")
+    """pages: as reassembled, with payload_bytes and payload_digest. A revisit takes those of its response."""
+    found = pages.select("page_id", "url", F.col("type").alias("record_type"), "refers_to", "payload_bytes", "payload_digest", "digest")
     stored = found.filter("record_type = 'response'")
     known = stored.filter(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
     again = found.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(known, ["refers_to", "digest"], "left").withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("digest")))
@@ -208,14 +236,14 @@ def resolve(pages: DataFrame) -> DataFrame:
 def query(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "warc")
     write(pages, folder)
-    return resolve(reassemble(read_records(pages.sparkSession, folder)))
+    return resolve(written(reassemble(read_records(pages.sparkSession, folder)).select("page_id", "url", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))))
 
 
 SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as payload_digest from p),
 m as (select *, max(page_id) over (partition by payload_digest) as top from d)
-select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id is distinct from top then top end as refers_to
 from m
 """
