@@ -13,9 +13,11 @@ holds all possible links of its members; within it, pairs are tried by bit sketc
 difference; pairs within reach are verified by their sets until what is linked is connected.
 
 Clusters are worked on in blocks of BLOCK documents, each with the cluster's same few hub documents; only where that
-leaves a cluster in several parts are pairs of blocks compared, all of them. No task gets more than two blocks.
+leaves a cluster in several parts are pairs of blocks compared, all of them: first by sketches of SKETCH_BITS, then by the
+sets of the documents that those leave within reach of another part. No task gets more than two blocks.
 
-Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than a
+Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a very long text has
+the set of all its shingles; ties at the threshold are links; fewer words than a
 shingle are one shingle; a null id has a row with a null component and links with nothing; rows that repeat an id count
 as one document with the set of each row, and each row is in the result; an empty table gives an empty result; further
 columns come through keep_one() unchanged.
@@ -41,6 +43,8 @@ HUBS = 32
 REMEMBERED = 200_000
 #: Of the bitmap of documents in clusters, which goes to every task; a multiple of 64.
 FILTER_BITS = 1 << 23
+#: Of a sketch that goes to pairs of blocks.
+SKETCH_BITS = 1024
 #: Up to this d, keys are of pairs of sketch words.
 PAIRED = 10
 
@@ -118,13 +122,15 @@ _SET = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.Lon
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, n, two halves of a digest of the set, and its sketch keys, left out where the task has met the set before."""
+    """id, n, two halves of a digest of the set, and its sketch keys, left out where the task remembers the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         met: set[bytes] = set()
         for b in slices(batches):
+            if len(met) > REMEMBERED:
+                met.clear()
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
@@ -137,6 +143,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
                 rows.append((i, len(s), low, high, keys))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_SET.names)
+        _words.clear()  # workers live on, with later stages in them
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, _SET)
 
@@ -197,11 +204,51 @@ def connect(ids: list[int], found: list[np.ndarray], parts: list[int], sides: np
     return out
 
 
+def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, set: of the rows of texts (id, text) whose id wanted has, and few others: a bitmap of fixed size passes them."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = wanted.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).collect()  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in bits:
+        bitmap[r["w"]] = r["b"]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            b = b.filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+        _words.clear()
+
+    return texts.select("id", "text", slot.alias("slot")).mapInArrow(digests, "id long, set binary")
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        found = [np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s, SKETCH_BITS).tobytes() for s in found], pa.binary())], names=["id", "n", "sketch"])
+
+
+def within_reach(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The documents of two blocks that one of the other block and another part may be linked with, by sizes and sketches."""
+    side, size, part = g["side"].to_numpy(), g["n"].to_numpy(), g["part"].to_numpy()
+    sketches = np.stack([np.frombuffer(s, np.uint64) for s in g["sketch"]])
+    hit = np.zeros(len(g), bool)
+    other = np.flatnonzero(side != side[0])
+    for i in np.flatnonzero(side == side[0]).tolist():
+        low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        rest = other[(100 * low >= percent * high) & (part[other] != part[i])]
+        apart = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        rest = rest[(100 + percent) * apart <= (100 - percent) * (size[rest] + size[i])]
+        hit[rest] = True
+        hit[i] |= len(rest) > 0
+    return g.loc[hit, ["component", "lo", "hi", "id", "part", "side"]]
+
+
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
-    every = cut(sets(docs, id_col, text_col, words, percent))
+    every = written(sets(docs, id_col, text_col, words, percent))
     classes = every.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("low", "high").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    classes = cut(classes)
+    classes = written(classes)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -217,23 +264,9 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = clusters.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # hubs: in a cluster of several blocks, a hash takes about HUBS of its members into every block
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), (F.col("m") / HUBS).cast("long"))) == 0)
-    blocks = cut(members.withColumn("ats", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).select("id", "component", "blocks", "block", "ats"))
-
-    # a bitmap of fixed size passes all members, and few others, before their sets go to a join
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = blocks.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).collect()  # at most FILTER_BITS / 64 rows
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in bits:
-        bitmap[r["w"]] = r["b"]
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null").withColumn("slot", slot)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            b = b.filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
-
-    own = cut(texts.mapInArrow(digests, "id long, set binary").join(blocks.select("id"), "id", "left_semi").distinct())
+    blocks = written(members.withColumn("ats", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).select("id", "component", "blocks", "block", "ats"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
+    task = "a long, b long"
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["id", "set"])
@@ -242,19 +275,24 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = connect(g["id"].tolist(), found, g["part"].tolist(), sides, percent)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    first = blocks.select("id", "component", F.explode("ats").alias("at")).join(own, "id").withColumn("part", F.col("id")).groupBy("component", "at").applyInPandas(work, "a long, b long")
+    placed = blocks.select("id", "component", F.explode("ats").alias("at"))
+    first = sets_of(texts, blocks, words).join(placed, "id").withColumn("part", F.col("id")).groupBy("component", "at").applyInPandas(work, task)
     links = cut(first)
-    # clusters of several blocks that are still in parts: all pairs of blocks
+    # clusters of several blocks that are still in parts: all pairs of blocks, by sketches of one size, then by the sets of those within reach
     parted = blocks.filter("blocks > 1")
     if parted.take(1):
         part = components(links)
-        state = parted.join(part.withColumnRenamed("component", "p"), "id", "left").withColumn("part", F.coalesce("p", "id"))
+        state = written(parted.join(part.withColumnRenamed("component", "p"), "id", "left").withColumn("part", F.coalesce("p", "id")).select("id", "component", "blocks", "block", "part"))
         open_ = state.groupBy("component").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("component")
-        mine, other = F.col("block"), F.col("o")
-        pairs = state.join(open_, "component", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(mine != other)
-        pairs = pairs.select("id", "component", "part", F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"), F.col("block").alias("side"))
-        second = pairs.join(own, "id").groupBy("component", "lo", "hi").applyInPandas(work, "a long, b long")
-        links = cut(links.unionByName(second))
+        state = written(state.join(open_, "component", "left_semi"))
+        if state.take(1):
+            own = written(sets_of(texts, state, words).join(state.select("id"), "id", "left_semi"))
+            mine, other = F.col("block"), F.col("o")
+            pairs = state.join(own.mapInArrow(_sketched, "id long, n long, sketch binary"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(mine != other)
+            pairs = pairs.select("id", "n", "sketch", "component", "part", F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"), F.col("block").alias("side"))
+            by = ["component", "lo", "hi"]
+            near = written(pairs.groupBy(*by).applyInPandas(lambda g: within_reach(g, percent), "component long, lo int, hi int, id long, part long, side int"))
+            links = cut(links.unionByName(near.join(own, "id").groupBy(*by).applyInPandas(work, task)))
     # repeated ids with several sets tie the classes of those sets together
     groups = every.filter((F.col("n") > 0) & F.col("id").isNotNull()).join(classes.select("low", "high", "rep"), ["low", "high"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     part = components(links.unionByName(groups.filter("a <> b").distinct()))
