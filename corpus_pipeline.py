@@ -1,11 +1,18 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, mixing, encoding; each stage on all its predecessor kept."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, mixing, encoding; each stage on all its predecessor kept.
+
+Defined cases: a document with a null or empty text has too few words and goes in the first stage; very long texts pass all
+stages whole; a null id is judged like any other, has no near duplicates and may be mixed; rows that repeat an id are each
+judged, and one of them stays; equal texts are near duplicates, of which the least id stays; further columns, whatever
+their names, come through all stages but the last, which has columns of its own; an empty table, or one of which nothing
+is kept, gives an empty result. A stage's table is deleted when the next but one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op10_quality
-from ledgerline.llm.common import shared_folder, table
+from ledgerline.llm.common import dropped, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = shared_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            dropped(spark, last)
+        last = path
     return docs
