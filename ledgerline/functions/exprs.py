@@ -3,6 +3,8 @@ formulas share is computed once and windows of one shape meet in one operator.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +63,22 @@ def sanitised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.when(~bad(c), F.col(c)) for c in columns})
 
 
-def ewm(x: str, span: int, depth: int = 500) -> Column:
-    """Exponentially weighted mean, weights normalised over the rows so far; values must not be NULL. Rows beyond depth weigh
-    less than 1e-16 for spans up to 26."""
+def ewm(rows: DataFrame, x: str, span: int, to: str) -> DataFrame:
+    """rows with the exponentially weighted mean of x over all rows of a code so far, weights normalised; x must not be NULL.
+
+    Rows are dealt into stretches of a code in which the oldest weight is still above 2^-500, so that sums of x / decay^k stay
+    exact; what comes before a stretch is the running sum of one row a stretch."""
     decay = 1 - 2 / (span + 1)
-    w = Window.partitionBy("code").orderBy("date").rowsBetween(-(depth - 1), 0)
-    seen = F.collect_list(F.struct(F.col(x).alias("x"))).over(w)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    step = lambda a, e: F.struct((a["s"] * decay + e["x"]).alias("s"), (a["w"] * decay + 1.0).alias("w"))
-    return F.aggregate(seen, start, step, lambda a: a["s"] / a["w"])
+    long = max(1, int(500 * math.log(2) / -math.log(decay))) if decay > 0 else 1
+    code = Window.partitionBy("code").orderBy("date")
+    n = rows.withColumn("_n", F.row_number().over(code) - 1).withColumns({"_s": F.floor(F.col("_n") / long), "_k": F.col("_n") % long})
+    within = Window.partitionBy("code", "_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    grown = n.withColumns({"_x": F.sum(F.col(x) * F.pow(F.lit(decay), -F.col("_k"))).over(within) * F.pow(F.lit(decay), F.col("_k")), "_w": F.sum(F.pow(F.lit(decay), -F.col("_k"))).over(within) * F.pow(F.lit(decay), F.col("_k"))})
+    # a stretch's last sums reach the next one's rows decayed by a whole stretch or more: 2^-500, so only the next needs them
+    last = grown.groupBy("code", "_s").agg(F.max_by("_x", "_k").alias("_bx"), F.max_by("_w", "_k").alias("_bw")).withColumn("_s", F.col("_s") + 1)
+    back = F.pow(F.lit(decay), F.col("_k") + 1)
+    both = grown.join(last, ["code", "_s"], "left").withColumn(to, (F.col("_x") + F.coalesce(F.col("_bx"), F.lit(0.0)) * back) / (F.col("_w") + F.coalesce(F.col("_bw"), F.lit(0.0)) * back))
+    return both.select(*rows.columns, to)
 
 
 def decay_linear(x: str, n: int) -> str:

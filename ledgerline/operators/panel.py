@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import sdiv
 
+#: Of the ratios of a weighted median.
+RANGES = 64
+
+
 def by_code():
     return Window.partitionBy("code").orderBy("date")
 
@@ -148,7 +152,9 @@ def missing_dates(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def latest_events(events: DataFrame, keys: list[str], by: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last())
+    """The row of the greatest `by` for each key; of equal ones the least by the other columns, so that reruns agree."""
+    rest = [F.col(c).asc_nulls_last() for c in events.columns if c not in (*keys, by)]
+    w = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last(), *rest)
     return events.distinct().withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -168,9 +174,15 @@ def ic_summary(ics: DataFrame) -> DataFrame:
 
 
 def deciles(rows: DataFrame, score: str, label: str) -> DataFrame:
-    pct = average_rank(score, "date") / F.count(score).over(by_date())
+    """Mean label of each tenth of a date's rows by score; rows that lack either are left out before the ranking. rho: the rank
+    correlation of tenth and mean label, where there are all ten."""
     both = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return both.withColumn("decile", F.least(F.floor(pct * 10), F.lit(9)).cast("long")).groupBy("decile").agg(F.avg(label).alias("mean_label"), F.count(F.lit(1)).alias("n"))
+    pct = average_rank(score, "date") / F.count(F.lit(1)).over(by_date())
+    means = both.withColumn("decile", F.least(F.floor(pct * 10), F.lit(9)).cast("long")).groupBy("decile").agg(F.avg(label).alias("mean_label"), F.count(F.lit(1)).alias("n"))
+    ten = Window.partitionBy()  # ten rows
+    ranked = means.withColumn("_r", average_rank("mean_label"))
+    rho = sdiv(F.covar_pop("decile", "_r").over(ten), F.stddev_pop("decile").over(ten) * F.stddev_pop("_r").over(ten))
+    return ranked.select("decile", "mean_label", "n", F.when(F.count(F.lit(1)).over(ten) == 10, rho).alias("rho"))
 
 
 def blend(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
@@ -187,23 +199,52 @@ def blend(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
 
 
 def l1_slope(rows: DataFrame, p: str, y: str) -> DataFrame:
-    """The slope through the origin of least absolute error: the first ratio y / p by size at which the running |p| reaches half.
-    Running sums meet by blocks of ratios, so no task holds more than one block."""
+    """The slope through the origin of least absolute error: the first ratio y / p by size at which the running |p| reaches half;
+    1 where it isn't above 0. Running sums meet by RANGES of ratios of about equal weight, from a sketch of their quantiles,
+    so one row a range meets in one task, whatever the ratios."""
     r = rows.filter(F.abs(p) > 1e-12).select((F.col(y) / F.col(p)).alias("r"), F.abs(p).alias("w")).filter("r is not null")
     per = r.groupBy("r").agg(F.sum("w").alias("w"))
-    block = F.floor(F.col("r") * 64).cast("long")
-    b = per.withColumn("b", block)
-    sums = b.groupBy("b").agg(F.sum("w").alias("bw")).withColumns({"before": F.coalesce(F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
-    sums = sums.join(b.agg((F.sum("w") / 2).alias("half")), F.lit(True))
+    cuts = per.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
+    b = per.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("r")))).select("r", "w", "b")
+    sums = b.groupBy("b").agg(F.sum("w").alias("bw"))
+    sums = sums.withColumns({"before": F.coalesce(F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "half": F.sum("bw").over(Window.partitionBy()) / 2})
     at = sums.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("bw") >= F.col("half")))
-    inside = b.join(at, "b").withColumn("cw", F.col("before") + F.sum("w").over(Window.partitionBy("b").orderBy("r")))
+    inside = b.join(F.broadcast(at), "b").withColumn("cw", F.col("before") + F.sum("w").over(Window.partitionBy("b").orderBy("r")))
     return inside.filter("cw >= half").agg(F.min("r").alias("k")).select(F.when(F.col("k") > 0, F.col("k")).otherwise(1.0).alias("slope"))
 
 
-def equity_stats(equity: DataFrame, rf: float = 0.025, year: float = 252.0) -> DataFrame:
-    """equity: date, value; one row a date."""
+def calibration(rows: DataFrame, p: str, y: str, end: Column, tail: int = 60, least: int = 20) -> DataFrame:
+    """The slope over the last `tail` dates before end, 1 if they are fewer than `least`, and the median of the scores times it."""
+    dates = rows.select("date").distinct().filter(F.col("date") < end).orderBy(F.desc("date")).limit(tail)
+    used = rows.join(F.broadcast(dates), "date", "left_semi").filter(F.col(y).isNotNull() & (F.abs(p) > 1e-12))
+    enough = dates.agg(F.count(F.lit(1)).alias("n_days"))
+    k = l1_slope(used, p, y).crossJoin(enough).select("n_days", F.when(F.col("n_days") >= least, F.col("slope")).otherwise(1.0).alias("slope"))
+    return used.agg(F.median(p).alias("m")).crossJoin(k).select("n_days", "slope", F.when(F.col("n_days") >= least, F.col("m") * F.col("slope")).alias("median"))
+
+
+def equity_stats(equity: DataFrame, rf: float = 0.025, year: float = 252.0, least: int = 5) -> DataFrame:
+    """equity: date, value; one row a date. Sharpe and Sortino from the mean daily return, Calmar from the compound annual return;
+    0 where a denominator is 0. Fewer than `least` returns give n_days only."""
     w = Window.orderBy("date")
     d = equity.withColumns({"r": sdiv(F.col("value"), F.lag("value").over(w)) - 1, "top": F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    a = d.agg(F.min_by("value", "date").alias("v0"), F.max_by("value", "date").alias("v1"), F.count("r").alias("n"), F.stddev_samp("r").alias("sd"), F.min(F.col("value") / F.col("top") - 1).alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate_all"), F.count(F.when(F.col("r") > 0, 1)).alias("wins"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"))
+    a = d.agg(F.min_by("value", "date").alias("v0"), F.max_by("value", "date").alias("v1"), F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min(sdiv(F.col("value"), F.col("top")) - 1).alias("dd"), F.count(F.when(F.col("r") > 0, 1)).alias("wins"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"))
+    or_zero = lambda x: F.coalesce(x, F.lit(0.0))
     annual = F.pow(F.col("v1") / F.col("v0"), F.lit(year) / F.col("n")) - 1
-    return a.select((F.col("v1") / F.col("v0") - 1).alias("total_return"), annual.alias("annual_return"), sdiv(annual - rf, F.col("sd") * F.sqrt(F.lit(year))).alias("sharpe"), sdiv(annual - rf, F.col("down") * F.sqrt(F.lit(year))).alias("sortino"), "max_drawdown", sdiv(annual, F.abs("max_drawdown")).alias("calmar"), sdiv(F.col("wins"), F.col("n")).alias("win_rate"))
+    root = F.sqrt(F.lit(year))
+    out = {
+        "total_return": F.col("v1") / F.col("v0") - 1, "annual_return": annual,
+        "sharpe": or_zero(sdiv(F.col("mean") * year - rf, F.col("sd") * root)), "sortino": or_zero(sdiv(F.col("mean"), F.col("down")) * root),
+        "max_drawdown": or_zero(F.col("dd")), "calmar": or_zero(sdiv(annual, F.abs("dd"))), "win_rate": sdiv(F.col("wins"), F.col("n")),
+    }
+    return a.select(*(F.when(F.col("n") >= least, c).alias(n) for n, c in out.items()), F.col("n").alias("n_days"))
+
+
+def fifo_trips(trades: DataFrame) -> DataFrame:
+    """Trades (code, date, action, shares, price) as trips: each sold share against the oldest held one, by the overlap of the
+    running share counts of buys and sells."""
+    w = Window.partitionBy("code", "action").orderBy("date", "price").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("hi", F.sum("shares").over(w)).withColumn("lo", F.col("hi") - F.col("shares"))
+    b, s = t.filter("action = 'BUY'").alias("b"), t.filter("action = 'SELL'").alias("s")
+    both = b.join(s, [F.col("b.code") == F.col("s.code"), F.col("b.lo") < F.col("s.hi"), F.col("s.lo") < F.col("b.hi")])
+    shares = F.least("b.hi", "s.hi") - F.greatest("b.lo", "s.lo")
+    return both.select("b.code", F.col("b.date").alias("bought"), F.col("s.date").alias("sold"), shares.alias("shares"), F.datediff("s.date", "b.date").alias("days"), (F.col("s.price") / F.col("b.price") - 1).alias("trip_return"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import ewm, frame, shrunk_corr, staged
 from ledgerline.operators import alphas, factors, panel
-from ledgerline.portfolio import simulator
 from ledgerline.sources import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,8 +80,8 @@ query("factor_skew", lambda spark, d: staged(sup(spark, d), [factors.FIRST, fact
 
 
 def _macd(spark: SparkSession, d: str) -> DataFrame:
-    dif = usr(spark, d).withColumn("dif", ewm("close", 12) - ewm("close", 26))
-    return dif.withColumn("signal", ewm("dif", 9)).select("code", "date", F.try_divide(F.col("dif") - F.col("signal"), "close").alias("macd_hist_pct"))
+    dif = ewm(ewm(usr(spark, d).select("code", "date", "close"), "close", 12, "fast"), "close", 26, "slow").withColumn("dif", F.col("fast") - F.col("slow"))
+    return ewm(dif, "dif", 9, "signal").select("code", "date", F.try_divide(F.col("dif") - F.col("signal"), "close").alias("macd_hist_pct"))
 
 
 def _ewm_sql(x: str, span: int, to: str, source: str) -> str:
@@ -126,16 +125,18 @@ _CAL = "c as (select distinct cast(l_shipdate as date) as date from lineitem whe
 
 
 def _calendar_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Days to the next open day, and open days until the next third Friday rolled forward to an open day."""
+    """Days to the next open day, and calendar days until the next third Friday rolled forward to an open day."""
     c, w = calendar(spark, d), Window.orderBy("date")
-    third = c.select(F.trunc("date", "month").alias("m")).distinct().select(F.expr("date_add(m, (6 - dayofweek(m) + 7) % 7 + 14)").alias("f"))
-    rolled = third.join(c, [F.col("date") >= F.col("f"), F.col("date") < F.date_add("f", 31)]).groupBy("f").agg(F.min("date").alias("date")).select("date").distinct().withColumn("delivery", F.lit(True))
-    n = c.withColumn("n", F.row_number().over(w)).join(rolled, "date", "left")
-    nxt = F.min(F.when(F.col("delivery"), F.col("n"))).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return n.select("date", (F.datediff(F.lead("date").over(w), "date") - 1).cast("long").alias("days_to_next_trading"), (nxt - F.col("n")).cast("long").alias("days_to_delivery"))
+    third = c.select(F.year("date").alias("y")).distinct().select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"), "y").select(F.make_date("y", "m", F.lit(1)).alias("m")).select(F.expr("date_add(m, (6 - dayofweek(m) + 7) % 7 + 14)").alias("date"))
+    # on one axis of open days and third Fridays, an open day is a delivery if a third Friday lies after the open day before it, up to it
+    axis = c.withColumn("open", F.lit(True)).unionByName(third.withColumn("open", F.lit(False))).groupBy("date").agg(F.max("open").alias("open"), F.count(F.when(~F.col("open"), 1)).alias("fridays"))
+    so_far = F.sum("fridays").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    n = axis.withColumn("k", so_far).filter("open").withColumn("delivery", F.col("k") > F.coalesce(F.lag("k").over(w), F.lit(0)))
+    nxt = F.min(F.when(F.col("delivery"), F.col("date"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return n.select("date", (F.datediff(F.lead("date").over(w), "date") - 1).cast("long").alias("days_to_next_trading"), F.datediff(nxt, "date").cast("long").alias("days_to_delivery"))
 
 
-query("calendar_gaps_ahead", _calendar_gaps, f"with {_CAL}, m as (select distinct cast(date_trunc('month', date) as date) as m from c), f as (select m + cast((5 - dayofweek(m) + 7) % 7 + 14 as integer) as f from m), r as (select distinct min(date) as date from f join c on date >= f and date < f + 31 group by f), n as (select date, row_number() over (order by date) as n from c) select n.date, date_diff('day', n.date, lead(n.date) over (order by n.date)) - 1 as days_to_next_trading, min(case when r.date is not null then n end) over (order by n.date rows between current row and unbounded following) - n as days_to_delivery from n left join r using (date)")
+query("calendar_gaps_ahead", _calendar_gaps, f"with {_CAL}, m as (select distinct make_date(extract(year from date), k, 1) as m from c, range(1, 13) t(k)), f as (select m + cast((5 - dayofweek(m) + 7) % 7 + 14 as integer) as f from m), r as (select distinct (select min(date) from c where date >= f) as date from f) select date, date_diff('day', date, lead(date) over (order by date)) - 1 as days_to_next_trading, date_diff('day', date, (select min(r.date) from r where r.date >= c.date)) as days_to_delivery from c")
 
 
 def st_events(spark: SparkSession, d: str) -> DataFrame:
@@ -147,9 +148,11 @@ def _st(spark: SparkSession, d: str) -> DataFrame:
     """1 on days inside [open, end): the earliest lift on or after the opening, or the next opening. Joined on code, so each
     code's few intervals meet only its own days."""
     e = st_events(spark, d)
-    opens = e.filter("kind = 'open'").withColumn("next_open", F.lead("start_date").over(Window.partitionBy("code").orderBy("start_date")))
-    lifts = e.filter("kind = 'lift'").select(F.col("code"), F.col("start_date").alias("lift"))
-    spans = opens.join(lifts, ["code"], "left").groupBy("code", "start_date", "next_open").agg(F.min(F.when(F.col("lift") >= F.col("start_date"), F.col("lift"))).alias("lift")).withColumn("end", F.coalesce(F.least("next_open", "lift"), F.lit("9999-12-31").cast("date")))
+    # a lift of the same day is one on or after the opening; an opening of the same day isn't the next
+    later = lambda least: Window.partitionBy("code").orderBy(F.datediff("start_date", F.lit("1970-01-01").cast("date"))).rangeBetween(least, Window.unboundedFollowing)
+    only = lambda kind: F.when(F.col("kind") == kind, F.col("start_date"))
+    both = e.withColumns({"next_open": F.min(only("open")).over(later(1)), "lift": F.min(only("lift")).over(later(0))})
+    spans = both.filter("kind = 'open'").withColumn("end", F.coalesce(F.least("next_open", "lift"), F.lit("9999-12-31").cast("date")))
     inside = [F.col("b.code") == F.col("s.code"), F.col("b.date") >= F.col("s.start_date"), F.col("b.date") < F.col("s.end")]
     hit = usr(spark, d).alias("b").join(spans.alias("s"), inside).select("b.code", "b.date").distinct().withColumn("is_st", F.lit(1).cast("long"))
     return usr(spark, d).select("code", "date").join(hit, ["code", "date"], "left").withColumn("is_st", F.coalesce("is_st", F.lit(0).cast("long")))
@@ -229,9 +232,11 @@ query("listed_open_days", lambda spark, d: (lambda b: b.groupBy("code").agg(F.mi
 
 # -- tables ------------------------------------------------------------------------------------------------------------
 K = ["code", "date"]
-old_rows = lambda spark, d: usr(spark, d).filter("code % 3 <> 0").select("code", "date", "close", "volume")
-new_rows = lambda spark, d: usr(spark, d).filter("code % 2 = 0").select("code", "date", (F.col("close") * 2).alias("close"), F.col("high").alias("extra"))
-_OLD, _NEW = "o as (select code, date, close, volume from b where code % 3 <> 0)", "n as (select code, date, close * 2 as close, high as extra from b where code % 2 = 0)"
+# the table as it stood before each code's latest week, and an arrival that overlaps it by two weeks: every bar is in one or both
+_LAST = "max(date) over (partition by code)"
+old_rows = lambda spark, d: usr(spark, d).withColumn("l", F.expr(_LAST)).filter("date < l - interval 7 day").select("code", "date", "close", "volume")
+new_rows = lambda spark, d: usr(spark, d).withColumn("l", F.expr(_LAST)).filter("date >= l - interval 21 day").select("code", "date", (F.col("close") * 2).alias("close"), F.col("high").alias("extra"))
+_OLD, _NEW = f"o as (select code, date, close, volume from (select *, {_LAST} as l from b) where date < l - interval 7 day)", f"n as (select code, date, close * 2 as close, high as extra from (select *, {_LAST} as l from b) where date >= l - interval 21 day)"
 query("upsert_replace", lambda spark, d: panel.upsert(old_rows(spark, d), new_rows(spark, d), K).select("code", "date", "close", "volume"),
       f"with {U}, {_OLD}, {_NEW} select code, date, round(close, 6) + 0.0 as close, null::double as volume from n union all select code, date, {r('close', 'volume')} from o where not exists (select 1 from n where n.code = o.code and n.date = o.date)")
 query("upsert_panel", lambda spark, d: panel.upsert_columns(old_rows(spark, d), new_rows(spark, d), K),
@@ -239,7 +244,7 @@ query("upsert_panel", lambda spark, d: panel.upsert_columns(old_rows(spark, d),
 query("fill_nulls", lambda spark, d: panel.fill_nulls(old_rows(spark, d).withColumn("close", F.when(F.col("volume") > 1, F.col("close"))), new_rows(spark, d), K, "close").select("code", "date", "close"),
       f"with {U}, {_OLD}, {_NEW} select o.code, o.date, round(coalesce(case when o.volume > 1 then o.close end, n.close), 6) + 0.0 as close from o left join n using (code, date)")
 query("dedup_events", lambda spark, d: panel.latest_events(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("code"), F.to_date("ts").alias("start_date"), "ts", "event_type"), ["code", "start_date"], "ts").select("code", "start_date", "event_type"),
-      "select code, start_date, event_type from (select user_id as code, cast(ts as date) as start_date, event_type, row_number() over (partition by user_id, cast(ts as date) order by ts desc) as n from events) where n = 1")
+      "select code, start_date, event_type from (select user_id as code, cast(ts as date) as start_date, event_type, row_number() over (partition by user_id, cast(ts as date) order by ts desc, event_type) as n from events) where n = 1")
 _PANEL = "p as (select * from b where date >= date '1997-01-01' and extract(day from date) <> 13)"
 panel_rows = lambda spark, d: sup(spark, d).filter("date >= date '1997-01-01' and day(date) <> 13")
 query("missing_dates", lambda spark, d: panel.missing_dates(sup(spark, d), panel_rows(spark, d)), f"with {B}, {_PANEL} select distinct date from b where date >= (select min(date) from p) except select date from p")
@@ -265,22 +270,22 @@ _IC = f"{_scte}, q as (select date, {_AVG('score')} as x, {_AVG('label')} as y f
 query("rank_ic", lambda spark, d: panel.rank_ic(scored(spark, d), "score", "label"), f"{_IC} select date, n, {r('ic')} from i where ic is not null")
 query("ic_summary", lambda spark, d: panel.ic_summary(panel.rank_ic(scored(spark, d), "score", "label")),
       f"{_IC} select count(ic) as n_periods, round(avg(ic), 6) + 0.0 as mean, round(stddev_samp(ic), 6) + 0.0 as std, round(avg(case when ic > 0 then 1.0D else 0.0D end), 6) + 0.0 as hit_rate, round(min(ic), 6) + 0.0 as min, round(max(ic), 6) + 0.0 as max, round(coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0), 6) + 0.0 as ir from i where ic is not null")
-query("deciles", lambda spark, d: panel.deciles(scored(spark, d).filter("score is not null and label is not null"), "score", "label"),
-      f"{_scte}, q as (select label, least(floor((({_AVG('score')}) / count(*) over (partition by date)) * 10), 9) as decile from {_slast} where score is not null and label is not null) select cast(decile as bigint) as decile, round(avg(label), 6) + 0.0 as mean_label, count(*) as n from q group by 1")
+query("deciles", lambda spark, d: panel.deciles(scored(spark, d), "score", "label"),
+      f"{_scte}, q as (select label, least(floor((({_AVG('score')}) / count(*) over (partition by date)) * 10), 9) as decile from {_slast} where score is not null and label is not null), m as (select cast(decile as bigint) as decile, avg(label) as mean_label, count(*) as n from q group by decile), k as (select *, rank() over (order by mean_label) + (count(*) over (partition by mean_label) - 1) / 2.0 as rk from m) select decile, round(mean_label, 6) + 0.0 as mean_label, n, round(case when (select count(*) from k) = 10 then (select corr(decile, rk) from k) end, 6) + 0.0 as rho from k")
 query("top_daily", lambda spark, d: panel.top_per_date(scored(spark, d), "score", 3).select("date", "rank", "code", "score"),
       f"{_scte}, q as (select date, code, score, row_number() over (partition by date order by score desc, code) as rank from {_slast} where score is not null) select date, rank, code, {r('score')} from q where rank <= 3")
+_TAIL = "t as (select distinct date from {s} where date < date '2024-12-31' order by date desc limit 60), u as (select label / score as k, abs(score) as w, score from {s} where abs(score) > 1e-12 and label is not null and date in (select date from t)), v as (select k, sum(w) over (order by k) as cw, sum(w) over () / 2 as half from u), z as (select case when (select count(*) from t) < 20 then 1.0e0 when min(k) > 0 then min(k) else 1.0e0 end as slope from v where cw >= half)"
+query("calibration_tail", lambda spark, d: panel.calibration(scored(spark, d), "score", "label", F.expr("date '2024-12-31'")),
+      f"{_scte}, {_TAIL.format(s=_slast)} select (select count(*) from t) as n_days, round(slope, 6) + 0.0 as slope, round(case when (select count(*) from t) >= 20 then (select median(score) from u) * slope end, 6) + 0.0 as median from z")
 query("calibration_slope", lambda spark, d: panel.l1_slope(scored(spark, d), "score", "label"),
       f"{_scte}, q as (select round(label / score, 12) as r, label / score as k, abs(score) as w from {_slast} where abs(score) > 1e-12 and label is not null), c as (select k, sum(w) over (order by k) as cw, sum(w) over () / 2 as half from q) select round(case when min(k) > 0 then min(k) else 1.0D end, 6) + 0.0 as slope from c where cw >= half")
 query("blend_scores", lambda spark, d: panel.blend({"a": (scored(spark, d).filter("score is not null and code % 2 = 0"), 0.3), "b": (scored(spark, d).filter("score is not null and code % 3 = 0"), 0.4), "c": (scored(spark, d).filter("score is not null and code % 5 <> 0").withColumn("score", F.col("score") * 2), 0.3)}).select("code", "date", "blend"),
       f"{_scte}, s as (select code, date, case when code % 2 = 0 then score end as a, case when code % 3 = 0 then score end as b, case when code % 5 <> 0 then score * 2 end as c from {_slast} where score is not null) select code, date, round((coalesce(a * 0.3D, 0) + coalesce(b * 0.4D, 0) + coalesce(c * 0.3D, 0)) / ((case when a is null then 0 else 0.3D end) + (case when b is null then 0 else 0.4D end) + (case when c is null then 0 else 0.3D end)), 6) + 0.0 as blend from s where coalesce(a, b, c) is not null")
 query("score_quantiles", lambda spark, d: scored(spark, d).agg(*(F.percentile("score", q).alias(n) for n, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99), ("q999", 0.999)))),
       f"{_scte} select {', '.join(f'round(quantile_cont(score, {q}), 6) + 0.0 as {n}' for n, q in (('q01', 0.01), ('q50', 0.5), ('q99', 0.99), ('q999', 0.999)))} from {_slast}")
-_EQ = f"q as (select date, avg(close) as value from b group by date), w as (select *, value / lag(value) {_O} - 1 as x, max(value) over (order by date rows unbounded preceding) as top from q), t as (select arg_min(value, date) as v0, arg_max(value, date) as v1, count(x) as n, stddev_samp(x) as sd, min(value / top - 1) as dd, count(*) filter (where x > 0) as wins, stddev_samp(case when x < 0 then x end) as down from w), z as (select *, pow(v1 / v0, 252.0D / n) - 1 as an from t)"
+_EQ = f"q as (select date, avg(close) as value from b group by date), w as (select *, value / lag(value) {_O} - 1 as x, max(value) over (order by date rows unbounded preceding) as top from q), t as (select arg_min(value, date) as v0, arg_max(value, date) as v1, count(x) as n, avg(x) as mean, stddev_samp(x) as sd, min((value - top) / top) as dd, count(*) filter (where x > 0) as wins, stddev_samp(x) filter (where x < 0) as down from w), z as (select *, pow(v1 / v0, 252.0D / n) - 1 as an from t where n >= 5)"
 query("equity_stats", lambda spark, d: panel.equity_stats(sup(spark, d).groupBy("date").agg(F.avg("close").alias("value"))),
-      f"with {B}, {_EQ} select round(v1 / v0 - 1, 6) + 0.0 as total_return, round(an, 6) + 0.0 as annual_return, round((an - 0.025D) / (sd * sqrt(252.0D)), 6) + 0.0 as sharpe, round((an - 0.025D) / (down * sqrt(252.0D)), 6) + 0.0 as sortino, round(dd, 6) + 0.0 as max_drawdown, round(an / nullif(abs(dd), 0), 6) + 0.0 as calmar, round(wins / n, 6) + 0.0 as win_rate from z")
-
-# -- portfolios ------------------------------------------------------------------------------------------------------
-query("portfolio_simulation", lambda spark, d: simulator.simulate(scored(spark, d).join(usr(spark, d), K)))
+      f"with {B}, {_EQ} select round(v1 / v0 - 1, 6) + 0.0 as total_return, round(an, 6) + 0.0 as annual_return, round((252 * mean - 0.025D) / (sd * sqrt(252.0D)), 6) + 0.0 as sharpe, round(mean / down * sqrt(252.0D), 6) + 0.0 as sortino, round(dd, 6) + 0.0 as max_drawdown, round(an / nullif(abs(dd), 0), 6) + 0.0 as calmar, round(wins / n, 6) + 0.0 as win_rate, n as n_days from z")
 
 
 def _flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -7,10 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions.exprs import staged
+from ledgerline.functions.exprs import ewm, staged
 from ledgerline.operators import factors, panel
-from ledgerline.plans import catalogue
-from ledgerline.portfolio import simulator
+from ledgerline.plans import catalogue, upkeep  # noqa: F401 - registers its queries in the catalogue
 from ledgerline.sources import bars
 
 SF = "/root/testdata/sf0.001"
@@ -85,65 +84,60 @@ def test_adjusted_null_and_zero_factor(spark):
 def test_fifo(spark):
     d = lambda n: dt.date(2026, 1, n)
     t = spark.createDataFrame([(1, d(1), "BUY", 300, 1.0), (1, d(2), "BUY", 200, 2.0), (1, d(3), "SELL", 400, 3.0), (1, d(4), "SELL", 100, 4.0)], "code long, date date, action string, shares long, price double")
-    assert sorted(r[0] for r in simulator.fifo_trips(t).select("shares").collect()) == [100, 100, 300]
-
-
-def plain_loop(values, groups, slots, cash=100_000.0):
-    """(portfolio, date, value, positions) from all rows (code, date, score, open, close), without Spark or pandas."""
-    out = []
-    for p in sorted({v[0] % groups for v in values}):
-        own = [v for v in values if v[0] % groups == p]
-        money, held, last, sells, buys = cash, {}, {}, [], []
-        for d in sorted({v[1] for v in own}):
-            bar = {c: (s, o, x) for c, day, s, o, x in own if day == d}
-            for c in sells:
-                if c in bar and bar[c][1] > 0:
-                    money += held.pop(c) * bar[c][1] * (1 - 0.0006 - 0.0005)
-            for c in buys:
-                if c in bar and bar[c][1] > 0 and c not in held and len(held) < slots:
-                    n = int(money / (slots - len(held)) / (bar[c][1] * 1.0006) // 100 * 100)
-                    if n:
-                        money -= n * bar[c][1] * 1.0006
-                        held[c] = n
-            last |= {c: b[2] for c, b in bar.items()}
-            sells = sorted(c for c in held if c in bar and bar[c][0] is not None and bar[c][0] < 0)
-            wanted = sorted((-b[0], c) for c, b in bar.items() if b[0] is not None and b[0] > 0 and c not in held)
-            buys = [c for _, c in wanted][: slots - len(held) + len(sells)]
-            out.append((p, d, money + sum(n * last[c] for c, n in held.items()), len(held)))
-    return out
-
-
-def panel_of_scores(spark):
-    """Codes of remainder 0 have the high scores; some bars, opens and scores are missing."""
-    rng, day = random.Random(3), dt.date(2026, 1, 5)
-    values = []
-    for c in range(96):
-        for i in range(25):
-            if rng.random() < 0.9:
-                score = None if rng.random() < 0.05 else rng.uniform(-1, 1) + (9 if c % 4 == 0 and rng.random() < 0.8 else 0)
-                price = rng.uniform(1, 20)
-                values.append((c, day + dt.timedelta(i), score, 0.0 if rng.random() < 0.05 else price, price * rng.uniform(0.9, 1.1)))
-    return values, spark.createDataFrame(values, "code long, date date, score double, open double, close double")
-
-
-@pytest.mark.parametrize("slots", [3, 5])
-def test_simulation_against_a_plain_loop(spark, slots):
-    values, rows = panel_of_scores(spark)
-    got, want = sorted(map(tuple, simulator.simulate(rows, 4, slots).collect())), plain_loop(values, 4, slots)
-    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
-    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
-
-
-def test_simulation_reads_only_bars_it_may_hold(spark):
-    d = lambda n: dt.date(2026, 1, n)
-    values = [(c, d(n), (1.0 if n == 5 else -1.0) if c == 8 else -1.0, 2.0, 2.0) for c in (0, 4, 8) for n in range(3, 8)]
-    rows = spark.createDataFrame(values, "code long, date date, score double, open double, close double")
-    read = simulator.days_of(rows, 4, 3)
-    assert sorted((r["code"], r["date"]) for r in read.filter("bar").collect()) == [(8, d(n)) for n in (5, 6, 7)]
-    assert sorted(r["date"] for r in read.filter("not bar").collect()) == [d(n) for n in range(3, 8)]
-    day = read.toPandas().sort_values(["portfolio", "date", "code"])
-    by_row = [x for b in simulator.run((day[i : i + 1] for i in range(len(day))), 3) for x in b.itertuples(index=False, name=None)]
-    assert by_row == sorted(map(tuple, simulator.simulate(rows, 4, 3).collect())) and [r[3] for r in by_row] == [0, 0, 0, 1, 0]
+    assert sorted(r[0] for r in panel.fifo_trips(t).select("shares").collect()) == [100, 100, 300]
+
+
+def curve(spark, values):
+    return spark.createDataFrame([(dt.date(2026, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(values)], "date date, value double")
+
+
+def test_equity_stats_by_hand(spark):
+    values = [100, 110, 99, 105, 103, 120]
+    got = panel.equity_stats(curve(spark, values)).first()
+    r = [b / a - 1 for a, b in zip(values, values[1:])]
+    mean = sum(r) / 5
+    sd = (sum((x - mean) ** 2 for x in r) / 4) ** 0.5
+    low = [x for x in r if x < 0]
+    down = (sum((x - sum(low) / 2) ** 2 for x in low)) ** 0.5
+    annual = 1.2 ** (252 / 5) - 1
+    assert got["sharpe"] == pytest.approx((252 * mean - 0.025) / (sd * 252**0.5)) and got["sortino"] == pytest.approx(mean / down * 252**0.5)
+    assert got["max_drawdown"] == pytest.approx(-0.1) and got["calmar"] == pytest.approx(annual / 0.1) and got["win_rate"] == pytest.approx(0.6)
+    flat = panel.equity_stats(curve(spark, [5] * 7)).first()
+    assert (flat["sharpe"], flat["sortino"], flat["calmar"], flat["max_drawdown"]) == (0, 0, 0, 0)
+    few = panel.equity_stats(curve(spark, [1, 2, 3])).first()
+    assert few["n_days"] == 2 and few["sharpe"] is None
+
+
+def test_deciles_drop_rows_before_they_rank(spark):
+    rows = [(dt.date(2026, 1, 1), float(i), float(i)) for i in range(20)] + [(dt.date(2026, 1, 1), 100.0 + i, None) for i in range(20)]
+    got = sorted(map(tuple, panel.deciles(spark.createDataFrame(rows, "date date, s double, y double"), "s", "y").collect()))
+    assert [g[0] for g in got] == list(range(10)) and all(g[3] == pytest.approx(1) for g in got)
+
+
+def test_exponential_means_over_long_series(spark):
+    rng = random.Random(6)
+    values = [rng.uniform(1, 9) for _ in range(3000)]
+    rows = spark.createDataFrame([(1, dt.date(2000, 1, 1) + dt.timedelta(i), x) for i, x in enumerate(values)], "code long, date date, x double")
+    for span in (2, 26, 400):
+        decay, s, w, want = 1 - 2 / (span + 1), 0.0, 0.0, []
+        for x in values:
+            s, w = s * decay + x, w * decay + 1
+            want.append(s / w)
+        assert [r[0] for r in ewm(rows, "x", span, "m").orderBy("date").select("m").collect()] == pytest.approx(want)
+
+
+def test_weighted_median_of_any_ratios(spark):
+    rng = random.Random(8)
+    pairs = [(rng.choice([1e-9, 1e-3, 1.0, 50.0]) * rng.choice([-1, 1]), rng.uniform(-2, 3)) for _ in range(999)]
+    ratios = sorted((y / p, abs(p)) for p, y in pairs)
+    half, run, want = sum(w for _, w in ratios) / 2, 0.0, None
+    for k, w in ratios:
+        run += w
+        if run >= half:
+            want = k
+            break
+    got = panel.l1_slope(spark.createDataFrame(pairs, "p double, y double"), "p", "y").first()[0]
+    assert got == pytest.approx(want if want > 0 else 1.0)
 
 
 def test_upsert_keeps_foreign_columns(spark):
