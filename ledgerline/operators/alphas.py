@@ -54,7 +54,9 @@ class Sheet:
         self.vwap = self.kept(Term(div("amount", "volume")))
         self.cap = self.kept(Term("sum(amount) over (partition by code order by date rows between unbounded preceding and current row)"))
         self.returns = self.kept(self.close / self.delay(self.close, 1) - 1)
-        self.adv20 = self.mean(self.volume, 20)
+        self.mid = (self.high + self.low) / 2
+        self.amount = Term("amount")
+        self.adv20 = self.adv(20)
 
     def kept(self, x: Term) -> Term:
         """As a column."""
@@ -86,6 +88,10 @@ class Sheet:
     def mean(self, x: Term, n: int) -> Term:
         return self.roll("avg", x, n)
 
+    def adv(self, n: int) -> Term:
+        """Mean traded amount, not number of shares, of n rows."""
+        return self.mean(self.amount, n)
+
     def std(self, x: Term, n: int) -> Term:
         return self.roll("stddev_samp", x, n)
 
@@ -104,9 +110,15 @@ class Sheet:
         """The share of the n rows that don't exceed this one."""
         return self.lags(x, n, lambda c: f"({' + '.join(f'case when {k} <= {c[0]} then 1 else 0 end' for k in c)}) / {n}.0D")
 
-    def ts_argmax(self, x: Term, n: int) -> Term:
+    def _place(self, f: str, x: Term, n: int) -> Term:
         """1 to n from the oldest row; the newest of equals."""
-        return self.lags(x, n, lambda c: f"case {' '.join(f'when {k} = max({c[0]}) {frame(n)} then {n - i}.0D' for i, k in enumerate(c))} end")
+        return self.lags(x, n, lambda c: f"case {' '.join(f'when {k} = {f}({c[0]}) {frame(n)} then {n - i}.0D' for i, k in enumerate(c))} end")
+
+    def ts_argmax(self, x: Term, n: int) -> Term:
+        return self._place("max", x, n)
+
+    def ts_argmin(self, x: Term, n: int) -> Term:
+        return self._place("min", x, n)
 
     def product(self, x: Term, n: int) -> Term:
         return self.lags(x, n, lambda c: " * ".join(c))
@@ -122,7 +134,8 @@ class Sheet:
 
     def corr(self, x: Term, y: Term, n: int) -> Term:
         """Pearson's to twelve decimals, so that pairs of rows give one exactly; NULL where a side is constant."""
-        return self._pair(x, y, n, "round(covar_samp({x}, {y}) {f} / nullif(stddev_samp({x}) {f} * stddev_samp({y}) {f}, 0), 12)")
+        form = "round(covar_samp({x}, {y}) {f} / nullif(stddev_samp({x}) {f} * stddev_samp({y}) {f}, 0), 12)"
+        return self._pair(x, y, n, "case when min({x}) {f} < max({x}) {f} and min({y}) {f} < max({y}) {f} then " + form + " end")
 
     def cov(self, x: Term, y: Term, n: int) -> Term:
         return self._pair(x, y, n, "covar_samp({x}, {y}) {f}")
@@ -141,8 +154,32 @@ class Sheet:
         return self.window(x, lambda c: f"{c} - avg({c}) over (partition by date, {group})")
 
 
-#: Stands in for an industry code, which bars lack.
-GROUP = "code % 5"
+#: Stand in for industry codes of three nested levels, which bars lack.
+SECTOR, INDUSTRY, SUBINDUSTRY = "code % 5", "code % 10", "code % 20"
+
+
+def mix(x: Term, y: Term, share: float) -> Term:
+    return x * share + y * (1 - share)
+
+
+def larger(x: Term, y: Term) -> Term:
+    """NULL where either is."""
+    return pick(x < y, y, x)
+
+
+def smaller(x: Term, y: Term) -> Term:
+    """NULL where either is."""
+    return pick(x < y, x, y)
+
+
+def flag(test: Term) -> Term:
+    return pick(test, 1, 0)
+
+
+def powered(x: Term, y: Term) -> Term:
+    """x to the power of y for positive x; NULL where the result's logarithm is over 20, as price changes as exponents go beyond
+    any double."""
+    return Term(f"case when abs({y.sql} * ln({x.sql})) <= 20 then pow({x.sql}, {y.sql}) end", max(x.level, y.level))
 
 
 def _slope(s: Sheet) -> Term:
@@ -156,7 +193,7 @@ def _turn(s: Sheet, n: int) -> Term:
     return pick(0 * d < s.low_of(d, n), d, pick(s.high_of(d, n) < 0, d, -d))
 
 
-#: The published formulas by number.
+#: The published formulas by number; windows that aren't whole are cut to whole rows.
 FORMULAS: dict[int, Callable[[Sheet], Term]] = {
     1: lambda s: s.rank(s.ts_argmax(pick(s.returns < 0, s.std(s.returns, 20), s.close) ** 2, 5)) - 0.5,
     2: lambda s: -s.corr(s.rank(s.delta(fn("ln", s.volume), 2)), s.rank((s.close - s.open) / s.open), 6),
@@ -205,7 +242,7 @@ FORMULAS: dict[int, Callable[[Sheet], Term]] = {
     45: lambda s: -(s.rank(s.mean(s.delay(s.close, 5), 20)) * s.corr(s.close, s.volume, 2) * s.rank(s.corr(s.sum(s.close, 5), s.sum(s.close, 20), 2))),
     46: lambda s: pick(0.25 + 0 * s.close < _slope(s), -1, pick(_slope(s) < 0, 1, -s.delta(s.close, 1))),
     47: lambda s: s.rank(1 / s.close) * s.volume / s.adv20 * (s.high * s.rank(s.high - s.close) / s.mean(s.high, 5)) - s.rank(s.delta(s.vwap, 5)),
-    48: lambda s: s.neutral(s.corr(s.delta(s.close, 1), s.delta(s.delay(s.close, 1), 1), 250) * s.delta(s.close, 1) / s.close, GROUP) / s.sum((s.delta(s.close, 1) / s.delay(s.close, 1)) ** 2, 250),
+    48: lambda s: s.neutral(s.corr(s.delta(s.close, 1), s.delta(s.delay(s.close, 1), 1), 250) * s.delta(s.close, 1) / s.close, SUBINDUSTRY) / s.sum((s.delta(s.close, 1) / s.delay(s.close, 1)) ** 2, 250),
     49: lambda s: pick(_slope(s) < -0.1, 1, -s.delta(s.close, 1)),
     50: lambda s: -s.high_of(s.rank(s.corr(s.rank(s.volume), s.rank(s.vwap), 5)), 5),
     51: lambda s: pick(_slope(s) < -0.05, 1, -s.delta(s.close, 1)),
@@ -215,7 +252,49 @@ FORMULAS: dict[int, Callable[[Sheet], Term]] = {
     55: lambda s: -s.corr(s.rank((s.close - s.low_of(s.low, 12)) / (s.high_of(s.high, 12) - s.low_of(s.low, 12))), s.rank(s.volume), 6),
     56: lambda s: -(s.rank(s.sum(s.returns, 10) / s.sum(s.sum(s.returns, 2), 3)) * s.rank(s.returns * s.cap)),
     57: lambda s: -((s.close - s.vwap) / s.decay(s.rank(s.ts_argmax(s.close, 30)), 2)),
+    58: lambda s: -s.ts_rank(s.decay(s.corr(s.neutral(s.vwap, SECTOR), s.volume, 3), 7), 5),
+    59: lambda s: -s.ts_rank(s.decay(s.corr(s.neutral(mix(s.vwap, s.vwap, 0.728317), INDUSTRY), s.volume, 4), 16), 8),
     60: lambda s: -(2 * s.scale(s.rank(((s.close - s.low) - (s.high - s.close)) / (s.high - s.low) * s.volume)) - s.scale(s.rank(s.ts_argmax(s.close, 10)))),
+    61: lambda s: flag(s.rank(s.vwap - s.low_of(s.vwap, 16)) < s.rank(s.corr(s.vwap, s.adv(180), 17))),
+    62: lambda s: -flag(s.rank(s.corr(s.vwap, s.sum(s.adv20, 22), 9)) < s.rank(flag(s.rank(s.open) + s.rank(s.open) < s.rank(s.mid) + s.rank(s.high)))),
+    63: lambda s: -(s.rank(s.decay(s.delta(s.neutral(s.close, INDUSTRY), 2), 8)) - s.rank(s.decay(s.corr(mix(s.vwap, s.open, 0.318108), s.sum(s.adv(180), 37), 13), 12))),
+    64: lambda s: -flag(s.rank(s.corr(s.sum(mix(s.open, s.low, 0.178404), 12), s.sum(s.adv(120), 12), 16)) < s.rank(s.delta(mix(s.mid, s.vwap, 0.178404), 3))),
+    65: lambda s: -flag(s.rank(s.corr(mix(s.open, s.vwap, 0.00817205), s.sum(s.adv(60), 8), 6)) < s.rank(s.open - s.low_of(s.open, 13))),
+    66: lambda s: -(s.rank(s.decay(s.delta(s.vwap, 3), 7)) + s.ts_rank(s.decay((mix(s.low, s.low, 0.96633) - s.vwap) / (s.open - s.mid), 11), 6)),
+    67: lambda s: -(s.rank(s.high - s.low_of(s.high, 2)) ** s.rank(s.corr(s.neutral(s.vwap, SECTOR), s.neutral(s.adv20, SUBINDUSTRY), 6))),
+    68: lambda s: -flag(s.ts_rank(s.corr(s.rank(s.high), s.rank(s.adv(15)), 8), 13) < s.rank(s.delta(mix(s.close, s.low, 0.518371), 1))),
+    69: lambda s: -(s.rank(s.high_of(s.delta(s.neutral(s.vwap, INDUSTRY), 2), 4)) ** s.ts_rank(s.corr(mix(s.close, s.vwap, 0.490655), s.adv20, 4), 9)),
+    70: lambda s: -(s.rank(s.delta(s.vwap, 1)) ** s.ts_rank(s.corr(s.neutral(s.close, INDUSTRY), s.adv(50), 17), 17)),
+    71: lambda s: larger(s.ts_rank(s.decay(s.corr(s.ts_rank(s.close, 3), s.ts_rank(s.adv(180), 12), 18), 4), 15), s.ts_rank(s.decay(s.rank((s.low + s.open) - (s.vwap + s.vwap)) ** 2, 16), 4)),
+    72: lambda s: s.rank(s.decay(s.corr(s.mid, s.adv(40), 8), 10)) / s.rank(s.decay(s.corr(s.ts_rank(s.vwap, 3), s.ts_rank(s.volume, 18), 6), 2)),
+    73: lambda s: -larger(s.rank(s.decay(s.delta(s.vwap, 4), 2)), s.ts_rank(s.decay(-(s.delta(mix(s.open, s.low, 0.147155), 2) / mix(s.open, s.low, 0.147155)), 3), 16)),
+    74: lambda s: -flag(s.rank(s.corr(s.close, s.sum(s.adv(30), 37), 15)) < s.rank(s.corr(s.rank(mix(s.high, s.vwap, 0.0261661)), s.rank(s.volume), 11))),
+    75: lambda s: flag(s.rank(s.corr(s.vwap, s.volume, 4)) < s.rank(s.corr(s.rank(s.low), s.rank(s.adv(50)), 12))),
+    76: lambda s: -larger(s.rank(s.decay(s.delta(s.vwap, 1), 11)), s.ts_rank(s.decay(s.ts_rank(s.corr(s.neutral(s.low, SECTOR), s.adv(81), 8), 19), 17), 19)),
+    77: lambda s: smaller(s.rank(s.decay((s.mid + s.high) - (s.vwap + s.high), 20)), s.rank(s.decay(s.corr(s.mid, s.adv(40), 3), 5))),
+    78: lambda s: s.rank(s.decay(s.corr(s.vwap, s.sum(s.adv(5), 26), 4), 7)) ** s.rank(s.corr(s.rank(s.vwap), s.rank(s.volume), 5)),
+    79: lambda s: flag(s.rank(s.delta(s.neutral(mix(s.close, s.open, 0.60733), SECTOR), 1)) < s.rank(s.corr(s.ts_rank(s.vwap, 3), s.ts_rank(s.adv(150), 9), 14))),
+    80: lambda s: -(s.rank(fn("sign", s.delta(s.neutral(mix(s.open, s.high, 0.868128), INDUSTRY), 4))) ** s.ts_rank(s.corr(s.high, s.adv(10), 5), 5)),
+    81: lambda s: -flag(s.rank(fn("ln", s.product(s.rank(s.rank(s.corr(s.vwap, s.sum(s.adv(10), 49), 8)) ** 4), 14))) < s.rank(s.corr(s.rank(s.vwap), s.rank(s.volume), 5))),
+    82: lambda s: -smaller(s.rank(s.decay(s.delta(s.open, 1), 14)), s.ts_rank(s.decay(s.corr(s.neutral(s.volume, SECTOR), mix(s.open, s.open, 0.634196), 17), 6), 13)),
+    83: lambda s: s.rank(s.delay((s.high - s.low) / (s.sum(s.close, 5) / 5), 2)) * s.rank(s.rank(s.volume)) / ((s.high - s.low) / (s.sum(s.close, 5) / 5) / (s.vwap - s.close)),
+    84: lambda s: powered(s.ts_rank(s.vwap - s.high_of(s.vwap, 15), 20), s.delta(s.close, 4)),
+    85: lambda s: s.rank(s.corr(mix(s.high, s.close, 0.876703), s.adv(30), 9)) ** s.rank(s.corr(s.ts_rank(s.mid, 3), s.ts_rank(s.volume, 10), 7)),
+    86: lambda s: -flag(s.ts_rank(s.corr(s.close, s.sum(s.adv20, 14), 6), 20) < s.rank((s.open + s.close) - (s.vwap + s.open))),
+    87: lambda s: -larger(s.rank(s.decay(s.delta(mix(s.close, s.vwap, 0.369701), 1), 2)), s.ts_rank(s.decay(fn("abs", s.corr(s.neutral(s.adv(81), INDUSTRY), s.close, 13)), 4), 14)),
+    88: lambda s: smaller(s.rank(s.decay((s.rank(s.open) + s.rank(s.low)) - (s.rank(s.high) + s.rank(s.close)), 8)), s.ts_rank(s.decay(s.corr(s.ts_rank(s.close, 8), s.ts_rank(s.adv(60), 20), 8), 6), 2)),
+    89: lambda s: s.ts_rank(s.decay(s.corr(mix(s.low, s.low, 0.967285), s.adv(10), 6), 5), 3) - s.ts_rank(s.decay(s.delta(s.neutral(s.vwap, INDUSTRY), 3), 10), 15),
+    90: lambda s: -(s.rank(s.close - s.high_of(s.close, 4)) ** s.ts_rank(s.corr(s.neutral(s.adv(40), SUBINDUSTRY), s.low, 5), 3)),
+    91: lambda s: -(s.ts_rank(s.decay(s.decay(s.corr(s.neutral(s.close, INDUSTRY), s.volume, 9), 16), 3), 4) - s.rank(s.decay(s.corr(s.vwap, s.adv(30), 4), 2))),
+    92: lambda s: smaller(s.ts_rank(s.decay(flag(s.mid + s.close < s.low + s.open), 14), 18), s.ts_rank(s.decay(s.corr(s.rank(s.low), s.rank(s.adv(30)), 7), 6), 6)),
+    93: lambda s: s.ts_rank(s.decay(s.corr(s.neutral(s.vwap, INDUSTRY), s.adv(81), 17), 19), 7) / s.rank(s.decay(s.delta(mix(s.close, s.vwap, 0.524434), 2), 16)),
+    94: lambda s: -(s.rank(s.vwap - s.low_of(s.vwap, 11)) ** s.ts_rank(s.corr(s.ts_rank(s.vwap, 19), s.ts_rank(s.adv(60), 4), 18), 2)),
+    95: lambda s: flag(s.rank(s.open - s.low_of(s.open, 12)) < s.ts_rank(s.rank(s.corr(s.sum(s.mid, 19), s.sum(s.adv(40), 19), 12)) ** 5, 11)),
+    96: lambda s: -larger(s.ts_rank(s.decay(s.corr(s.rank(s.vwap), s.rank(s.volume), 3), 4), 8), s.ts_rank(s.decay(s.ts_argmax(s.corr(s.ts_rank(s.close, 7), s.ts_rank(s.adv(60), 4), 3), 12), 14), 13)),
+    97: lambda s: -(s.rank(s.decay(s.delta(s.neutral(mix(s.low, s.vwap, 0.721001), INDUSTRY), 3), 20)) - s.ts_rank(s.decay(s.ts_rank(s.corr(s.ts_rank(s.low, 7), s.ts_rank(s.adv(60), 17), 4), 18), 15), 6)),
+    98: lambda s: s.rank(s.decay(s.corr(s.vwap, s.sum(s.adv(5), 26), 4), 7)) - s.rank(s.decay(s.ts_rank(s.ts_argmin(s.corr(s.rank(s.open), s.rank(s.adv(15)), 20), 8), 6), 8)),
+    99: lambda s: -flag(s.rank(s.corr(s.sum(s.mid, 19), s.sum(s.adv(60), 19), 8)) < s.rank(s.corr(s.low, s.volume, 6))),
+    100: lambda s: -((1.5 * s.scale(s.neutral(s.neutral(s.rank(((s.close - s.low) - (s.high - s.close)) / (s.high - s.low) * s.volume), SUBINDUSTRY), SUBINDUSTRY)) - s.scale(s.neutral(s.corr(s.close, s.rank(s.adv20), 5) - s.rank(s.ts_argmin(s.close, 30)), SUBINDUSTRY))) * (s.volume / s.adv20)),
     101: lambda s: (s.close - s.open) / (s.high - s.low + 0.001),
 }
 
