@@ -29,7 +29,7 @@ query("with_factor", lambda spark, d: serving.with_factor(sup(spark, d).select("
 query("unknown_codes", lambda spark, d: serving.unknown_codes(usr(spark, d), read(spark, d, "supplier").select(F.col("s_suppkey").alias("code"))),
       f"with {U} select distinct code from b where code not in (select s_suppkey from supplier)")
 
-_AGAIN = [{"return_5d": f"{div('close', lag('close', 5))} - 1", "mean_20d": roll("avg", "close", 20)}]
+_AGAIN = [{"return_5d": f"{div('close', lag('close', 5))} - 1", "mean_20d": roll("avg", "close", 20, 20)}]
 _DAYS = "select distinct date from b order by date desc limit 15"
 query("recomputed", lambda spark, d: serving.recomputed(sup(spark, d), sup(spark, d).select("date").distinct().orderBy(F.desc("date")).limit(15), 260, _AGAIN, ["return_5d", "mean_20d"]),
       f"""with {B}, t as ({_DAYS}), a as (select min(date) as a from (select distinct date from b where date <= (select min(date) from t) order by date desc limit 260)),

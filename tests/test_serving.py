@@ -27,7 +27,7 @@ def test_retries_double_the_wait_and_raise_the_last():
 
 def test_recomputed_equals_the_whole_where_the_look_back_suffices(spark):
     rows = spark.createDataFrame([(c, DAY(1) + dt.timedelta(k), float(k * c % 7)) for c in (1, 2) for k in range(30)], "code long, date date, close double")
-    stages = [{"m": roll("avg", "close", 5)}]
+    stages = [{"m": roll("avg", "close", 5, 5)}]
     targets = rows.filter(F.col("date") > DAY(25)).select("date")
     whole = sorted(map(tuple, staged(rows, stages).join(targets.distinct(), "date").select("code", "date", "m").collect()))
     assert sorted(map(tuple, serving.recomputed(rows, targets, 5, stages, ["m"]).collect())) == whole
