@@ -94,3 +94,9 @@ def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text is divisible by 10; a null id is training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII expression, bit by bit."""
+    steps = "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: case when d & 1 = 1 then xor(d >> 1, 3988292384) else d >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda c, b: {steps}), 4294967295)"
