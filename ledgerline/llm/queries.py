@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mtree, op2_ctw, op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op7_warc, op8_extract, op9_sharding, op10_quality, op12_runs, op13_repair
+from . import op1_mtree, op2_ctw, op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op7_warc, op8_extract, op9_sharding, op10_quality, op11_substrings, op12_runs, op13_repair
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper_extraction": lambda spark, d: op8_extract.query(table(spark, d, "pages")),
     "op9_compaction": lambda spark, d: op9_sharding.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: op10_quality.query(table(spark, d, "documents")),
+    "op11_repeated_passages": lambda spark, d: op11_substrings.query(table(spark, d, "documents")),
     "op12_periodic_runs": lambda spark, d: op12_runs.query(table(spark, d, "documents")),
     "op13_conversation_repair": lambda spark, d: op13_repair.query(table(spark, d, "conversations")),
 }
@@ -30,6 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc_reassembly": op7_warc.SQL,
     "op9_compaction": op9_sharding.SQL,
     "op10_quality_rules": op10_quality.SQL,
+    "op11_repeated_passages": op11_substrings.SQL,
     "op12_periodic_runs": op12_runs.SQL,
     "op13_conversation_repair": op13_repair.SQL,
 }
