@@ -273,8 +273,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = narrow.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, partitions = max(4 * least, -(-total // BLOCK_BYTES)), max(least, -(-total // (8 * BLOCK_BYTES)))
-    groups = max(2 * least, -(-total // (6 * GROUP)))
+    # messages are as many as blocks times groups at most, so small tables get few of both
+    blocks, partitions = max(2 * least, -(-total // BLOCK_BYTES)), max(least, -(-total // (8 * BLOCK_BYTES)))
+    groups = max(3 * least // 2, -(-total // (6 * GROUP)))
     dealt = narrow.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(partitions, "block")
     at_home = lambda: dealt.groupBy("block")
     names = at_home().applyInArrow(_name_prefixes(window, prefix, groups), _ddl(_NAMES))
