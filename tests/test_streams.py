@@ -20,7 +20,7 @@ def streamed(spark, batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     upsert_stream(stream, f"{folder}/table", ["code", "date"], "date", ["seen"], f"{folder}/log", F.col("price") > 0, f"{folder}/dead").awaitTermination()
-    table = read_table(spark, f"{folder}/table", stream.schema)
+    table = read_table(spark, f"{folder}/table", stream.schema, "date")
     dead = spark.read.schema(SCHEMA).parquet(f"{folder}/dead").select("code", "date", "seen", "price")
     return sorted(map(tuple, table.select("code", "date", "seen", "price").collect())), sorted(map(tuple, dead.collect()), key=str), {r[0] for r in table.select(MONTH).distinct().collect()}
 
