@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import sdiv
+from ledgerline.operators.asof import asof
 from ledgerline.operators.panel import date_axis, intervals, members_only, top_per_date
 
 
@@ -48,6 +51,52 @@ def seasoned(listings: DataFrame, calendar: DataFrame, cuts: DataFrame, least: i
     return listings.join(upto(days, "list_date"), "list_date").crossJoin(F.broadcast(upto(cuts.select("cut"), "cut"))).filter(F.col("_cut") - F.col("_list_date") >= least).select("cut", "code")
 
 
+@dataclass(frozen=True)
+class Universe:
+    """Who belongs to a universe: a board, by market or by how a code's mark begins; a band of sizes that shrinks by `ratio` over `years` before
+    base_year, in units of 1 / per_unit (low None: no band); at least `seasoned` open days since listing."""
+
+    board: str
+    prefixes: tuple[str, ...]
+    low: float | None
+    high: float | None
+    base_year: int
+    ratio: float
+    years: float
+    seasoned: int
+    per_unit: int = 10000
+
+
+def decimal_year(day: Column) -> Column:
+    """The year and how much of it has gone by."""
+    days = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
+    return F.year(day) + (F.dayofyear(day) - F.lit(1)) / days
+
+
+def decay(day: Column, u: Universe) -> Column:
+    """What the band's limits are times on the day; 1 from the base year on."""
+    return F.pow(F.lit(u.ratio), F.greatest(F.lit(0.0), F.lit(u.base_year) - decimal_year(day)) / F.lit(u.years))
+
+
+def build_snapshots(calendar: DataFrame, basics: DataFrame, info: DataFrame, u: Universe, from_year: int) -> DataFrame:
+    """effective_date (the first open day of a June or December), cutoff_date (the last one of the month before), code. Chosen on the cutoff from the rows
+    that basics (code, date, size) has then, so what is gone by then isn't in; info: code, market, mark, list_date."""
+    axis = date_axis(calendar)
+    months = axis.groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("first"), F.max(F.struct("date", "pos")).alias("last"))
+    eff = months.filter(F.month("m").isin(6, 12) & (F.year("m") >= from_year)).select(F.add_months("m", -1).alias("m"), F.col("first").alias("effective_date"))
+    cuts = eff.join(months, "m").select("effective_date", F.col("last.date").alias("cutoff_date"), F.col("last.pos").alias("_cut"))
+    low, high = (None if x is None else F.round(F.lit(x) * decay(F.col("cutoff_date"), u) * u.per_unit, 0) for x in (u.low, u.high))
+    own = info.filter(on_board(F.col("market"), F.col("mark"), u.board, u.prefixes) & F.col("list_date").isNotNull()).select("code", F.col("list_date").alias("date"))
+    # the open days up to the listing, by one lookup for each listing date
+    listed = asof(own.select("date").distinct(), axis.withColumn("_listed", F.col("pos")).select("date", "_listed"), [], "date", ["_listed"])
+    aged = own.join(listed, "date").select("code", F.coalesce("_listed", F.lit(-1)).alias("_listed"))
+    there = basics.select("code", F.col("date").alias("cutoff_date"), "size").join(cuts, "cutoff_date").join(aged, "code")
+    kept = there.filter(F.col("_cut") - F.col("_listed") >= u.seasoned)
+    if low is not None:
+        kept = kept.filter((F.col("size") > low) & (F.col("size") < high))
+    return kept.select("effective_date", "cutoff_date", "code").distinct()
+
+
 def codes_on(snapshots: DataFrame, day: Column) -> DataFrame:
     """Members of the newest snapshot in force on the day."""
     return intervals(snapshots).filter((F.col("effective_date") <= day) & (F.col("next_eff").isNull() | (F.col("next_eff") > day))).select("code")
