@@ -14,8 +14,8 @@ integer score.
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; vectors
 of unequal length count as padded with zeros; a null id is a candidate with a null id, last among ties, and no query;
 rows that repeat an id are candidates each, but never for a query of that id, and the first of them by vector order is
-the query; an empty table gives no rows; further columns are ignored. Squared norms of the integer vectors must stay below
-2^62.
+the query; an empty table gives no rows; further columns are ignored; very long vectors are taken whole. Vectors whose squared norm, as
+integers, reaches LARGEST take no part either: a score with one may not be a long, and all scores of the others are.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ K = 5
 PIVOTS = 64
 SAMPLE = 4096
 TREE = 4096
+#: A product of two vectors is at most the product of their lengths.
+LARGEST = 2**62
 PAGE = 64
 FAN = 32
 
@@ -43,6 +45,9 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """id and v, floor(256 * x) of each component, for vectors that take part."""
     v = F.col(f"`{vector_col}`")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    size = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * 256).cast("double"), F.lit(2.0)))
+    small = F.forall(v, lambda x: F.abs(x.cast("double")) < 2.0**31)  # a longer one can't be small enough, and its floor may not be a long
+    sound = sound & small & F.when(sound & small, size < LARGEST * (1 - 1e-9))
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(sound, F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long"))).alias("v")).filter(F.col("v").isNotNull())
 
 
