@@ -3,9 +3,9 @@
 A page is a tree of blocks: the block elements of its marked articles, or else of the whole page, labelled by tag and classes,
 with the texts between them as leaves. For each host, one page is the reference, and every page's tree is aligned with it
 by simple tree matching. A text that pairs with a text of the reference is in that text's slot, wherever siblings come or
-go before it; each text is also in the slot of its path of labels, which is all that a text without a pair has. Slots whose
-text stays the same on most of the distinct pages that have the slot are template; what varies, or has no slot on enough
-pages, is content. So a passage that most pages of a host quote is template, marked or not. Pages of the same blocks are
+go before it; each text is also in the slot of its path of labels, which is all that a text without a pair has. Texts
+that stay the same in their slot on most of the host's distinct pages are template; what varies, or is on fewer pages, is content, so a
+sentence that a few pages quote at one place stays. So a passage that most pages of a host quote is template, marked or not. Pages of the same blocks are
 one page in this, however many copies there are. What a reference lacks can still be template, by its path.
 
 Tags and names are a further hint. Parts whose element or class names another role (navigation, advert, form, comments and
@@ -18,7 +18,8 @@ of its host's input nor that of all. Only hashes are shuffled. A host's referenc
 template is as large as what LEAST pages of a host share.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null url is a host of its own; null ids
-are kept; repeated rows are extracted each; very long pages are read whole, and very deep ones flat below DEEPEST elements;
+are kept; repeated rows are extracted each; very long pages are read whole, and very deep ones flat below DEEPEST elements, where
+parts of another role are still left out;
 of equally good references the greatest by hash and text is taken; broken markup is closed as browsers do for paragraphs,
 list items and cells; an empty table gives an empty result; further columns are ignored.
 """
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: A block is template if at least LEAST distinct pages have it, and SHARE of those that have its path.
+#: A block is template if at least LEAST distinct pages have it in its slot, and SHARE of all of the host's.
 LEAST, SHARE = 4, 0.8
 
 #: A reference has at most so many blocks if its host has such a page.
@@ -82,17 +83,24 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open, self.n, self.over = [self.root], Counter(), 0
+        self.muted = 0  # open elements from one of another role on that lies too deep to be kept apart
 
     def updatepos(self, i: int, j: int) -> int:
         """Lines and columns aren't asked for."""
         return j
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.muted:
+            self.muted += tag not in VOID
+            return
         if tag not in INLINE and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
             self._close({"p"}, {"table", "td", "th", "button"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         node = Node(tag, dict(attrs))
+        if len(self.open) >= DEEPEST and tag not in VOID and deep_role(node):
+            self.muted = 1
+            return
         self.open[-1].children.append(node)
         if tag in VOID:
             return
@@ -124,13 +132,16 @@ class Tree(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if self.over:
+        if self.muted:
+            self.muted -= tag not in VOID
+        elif self.over:
             self.over -= 1
         elif self.n[tag]:
             self._cut(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if not self.muted:
+            self.open[-1].children.append(data)
 
 
 def parse(html: str | None) -> Node:
@@ -154,6 +165,13 @@ def other_role(n: Node, inside: bool) -> bool:
     return not inside or mostly_links(n) or any(OTHER_ROLE.search(w) for w in _NAME.split(n.names.lower()) if w not in WEAK)
 
 
+def deep_role(n: Node) -> bool:
+    """Of another role by itself, whatever is in it and around it."""
+    if n.tag in SKIPPED or n.hidden or n.role in ROLES:
+        return True
+    return bool(n.names) and any(OTHER_ROLE.search(w) for w in _NAME.split(n.names.lower()) if w not in WEAK)
+
+
 def mostly_links(n: Node) -> bool:
     """Half of its characters or more are in links."""
     size = [0, 0]
@@ -371,12 +389,11 @@ def slots(page: Blocks, reference: Blocks) -> list[tuple[int, str, Hashable | No
 
 
 def template(pages: list[Blocks], reference: Blocks) -> set[tuple[str, str]]:
-    """The (slot, text) that stay the same on most of the distinct pages that have the slot."""
+    """The (slot, text) that stay the same on most of the distinct pages."""
     distinct = {frozenset((p.paths[i], t) for i, t in enumerate(p.texts) if t is not None): p for p in pages}
     found = [{(slot, t) for _, slot, t in slots(p, reference)} for p in distinct.values()]
     n = Counter(x for f in found for x in f if x[1] is not None)
-    total = Counter(slot for f in found for slot in {x[0] for x in f})
-    return {x for x, k in n.items() if k >= LEAST and k >= SHARE * total[x[0]]}
+    return {x for x, k in n.items() if k >= LEAST and k >= SHARE * len(distinct)}
 
 
 def page_key(rows: list[tuple]) -> int:
@@ -456,22 +473,22 @@ def _pair(slot: int, mark: int) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-_VOTE = pa.schema([("host", pa.string()), ("page", pa.int64()), ("slot", pa.int64()), ("block", pa.int64())])
+_VOTE = pa.schema([("host", pa.string()), ("page", pa.int64()), ("block", pa.int64())])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page, its distinct slots, with no block, and its distinct blocks."""
+    """For each page a row without a block, and its distinct blocks."""
     out: list[tuple] = []
     keys: dict[str, int] = {}
     for (host, page), found in _aligned(batches):
-        own = set()
+        own = {(host, page, None)}
         for _, slot, mark in found:
+            if mark is None:
+                continue
             k = keys.get(slot)
             if k is None:
                 k = keys[slot] = _key(slot)
-            own.add((host, page, k, None))
-            if mark is not None:
-                own.add((host, page, k, _pair(k, mark)))
+            own.add((host, page, _pair(k, mark)))
         out += own
         if len(out) > 20_000:
             yield _batch(out, _VOTE)
@@ -516,10 +533,10 @@ def with_references(parsed: DataFrame) -> DataFrame:
 def templates(aligned: DataFrame) -> DataFrame:
     """host, template: the hashes of the blocks that stay the same, by counts over all distinct pages of the host."""
     tree = [f"{r}{c}" for r in ("", "r_") for c in ("depths", "labels", "marks")]
-    votes = aligned.select("host", "page", *tree).mapInArrow(_votes, "host string, page long, slot long, block long").distinct()
-    counts = written(votes.groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST))
-    total = counts.filter("block is null").select("host", "slot", F.col("n").alias("total"))
-    same = counts.filter("block is not null").join(total, ["host", "slot"]).filter(F.col("n") >= SHARE * F.col("total"))
+    votes = aligned.select("host", "page", *tree).mapInArrow(_votes, "host string, page long, block long").distinct()
+    counts = written(votes.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST))
+    total = counts.filter("block is null").select("host", F.col("n").alias("total"))
+    same = counts.filter("block is not null").join(total, "host").filter(F.col("n") >= SHARE * F.col("total"))
     return written(same.groupBy("host").agg(F.collect_set("block").alias("template")))
 
 
