@@ -13,7 +13,7 @@ def test_vectors_beyond_a_long(spark):
     got = op1_mtree.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
     fit = {i: v for i, v in whole.items() if sum(x * x for x in v) < 2**62}
-    assert set(fit) == {50, 1, 4, 150, 5}
+    assert set(fit) == {50, 1, 4, 150}  # 5 is just too long
     for q in (50, 150):
         want = sorted(((-sum(a * b for a, b in zip(fit[q], fit[i], strict=True)), i) for i in fit if i != q))[:5]
         assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
