@@ -198,11 +198,16 @@ def blend(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     return out.withColumn("blend", F.try_divide(total, F.when(weight > 0, weight)))
 
 
+def finite(c: str) -> Column:
+    """Neither NULL nor NaN nor infinite."""
+    return F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+
+
 def l1_slope(rows: DataFrame, p: str, y: str) -> DataFrame:
     """The slope through the origin of least absolute error: the first ratio y / p by size at which the running |p| reaches half;
-    1 where it isn't above 0. Running sums meet by RANGES of ratios of about equal weight, from a sketch of their quantiles,
+    1 where it isn't above 0. Rows of which either isn't finite are left out. Running sums meet by RANGES of ratios of about equal weight, from a sketch of their quantiles,
     so one row a range meets in one task, whatever the ratios."""
-    r = rows.filter(F.abs(p) > 1e-12).select((F.col(y) / F.col(p)).alias("r"), F.abs(p).alias("w")).filter("r is not null")
+    r = rows.filter(finite(p) & finite(y) & (F.abs(p) > 1e-12)).select((F.col(y) / F.col(p)).alias("r"), F.abs(p).alias("w")).filter("r is not null")
     per = r.groupBy("r").agg(F.sum("w").alias("w"))
     cuts = per.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
     b = per.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("r")))).select("r", "w", "b")
@@ -216,7 +221,7 @@ def l1_slope(rows: DataFrame, p: str, y: str) -> DataFrame:
 def calibration(rows: DataFrame, p: str, y: str, end: Column, tail: int = 60, least: int = 20) -> DataFrame:
     """The slope over the last `tail` dates before end, 1 if they are fewer than `least`, and the median of the scores times it."""
     dates = rows.select("date").distinct().filter(F.col("date") < end).orderBy(F.desc("date")).limit(tail)
-    used = rows.join(F.broadcast(dates), "date", "left_semi").filter(F.col(y).isNotNull() & (F.abs(p) > 1e-12))
+    used = rows.join(F.broadcast(dates), "date", "left_semi").filter(finite(p) & finite(y) & (F.abs(p) > 1e-12))
     enough = dates.agg(F.count(F.lit(1)).alias("n_days"))
     k = l1_slope(used, p, y).crossJoin(enough).select("n_days", F.when(F.col("n_days") >= least, F.col("slope")).otherwise(1.0).alias("slope"))
     return used.agg(F.median(p).alias("m")).crossJoin(k).select("n_days", "slope", F.when(F.col("n_days") >= least, F.col("m") * F.col("slope")).alias("median"))

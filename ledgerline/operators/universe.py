@@ -48,7 +48,7 @@ def seasoned(listings: DataFrame, calendar: DataFrame, cuts: DataFrame, least: i
     axis = date_axis(calendar)
     upto = lambda rows, c: rows.join(axis.withColumnRenamed("date", "_d"), F.col("_d") <= F.col(c), "left").groupBy(*rows.columns).agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias(f"_{c}"))
     days = listings.select("list_date").filter("list_date is not null").distinct()
-    return listings.join(upto(days, "list_date"), "list_date").crossJoin(F.broadcast(upto(cuts.select("cut"), "cut"))).filter(F.col("_cut") - F.col("_list_date") >= least).select("cut", "code")
+    return listings.join(upto(days, "list_date"), "list_date").crossJoin(upto(cuts.select("cut"), "cut")).filter(F.col("_cut") - F.col("_list_date") >= least).select("cut", "code")
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def day_report(scores: DataFrame, names: DataFrame, out: DataFrame, day: Column,
     """The day's k best with names, and how many of the day's scores lie above the zero and at or below it."""
     own = scores.filter(F.col("date") == day).join(out.select("code"), "code", "left_anti")
     n = own.agg(F.count(F.when(F.col("score") > zero, 1)).alias("above"), F.count(F.when(F.col("score") <= zero, 1)).alias("below"))
-    return top_per_date(own, "score", k).join(F.broadcast(names), "code", "left").crossJoin(n).select("rank", "code", "name", "score", "above", "below")
+    return top_per_date(own, "score", k).join(names, "code", "left").crossJoin(n).select("rank", "code", "name", "score", "above", "below")
 
 
 def sell_zero(medians: dict[str, float | None], weights: dict[str, float]) -> float:

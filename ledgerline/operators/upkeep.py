@@ -1,4 +1,4 @@
-"""Upkeep of keyed tables: ranges, columns, counters, rebuilds, and audits of what they hold."""
+"""Upkeep of keyed tables: ranges, columns, counters, rebuilds, and sets of rows."""
 
 from __future__ import annotations
 
@@ -46,8 +46,10 @@ def ensure_columns(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def rebuild(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """new instead of old, of rows of one key the last by order; columns that only old has keep their values by key."""
-    last = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    """new instead of old, of rows of one key the last by order, of equal ones that with the largest other columns; columns that only old has keep their values by
+    key."""
+    rest = [F.col(c).desc_nulls_last() for c in new.columns if c not in (*keys, order)]
+    last = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *rest)
     once = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", order)
     foreign = [c for c in old.columns if c not in new.columns]
     return once.join(old.select(*keys, *foreign), keys, "left")
@@ -92,56 +94,7 @@ def every_nth_date(rows: DataFrame, step: int, most: int) -> DataFrame:
     return rows.select("date").distinct().withColumn("_k", F.row_number().over(w) - 1).filter((F.col("_k") % step == 0) & (F.col("_k") < step * most)).select("date")
 
 
-# -- audits ----------------------------------------------------------------------------------------------------------------
-def stale_cells(stored: DataFrame, fresh: DataFrame, columns: list[str], rtol: float = 1e-4, atol: float = 1e-12) -> DataFrame:
-    """Per column: cells of keys that both have, and those whose stored value differs from the fresh one. NULLs and NaNs equal
-    each other."""
-    long = lambda rows, to: rows.select(*KEYS, F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast({c} as double)" for c in columns)}) as (column, {to})"))
-    both = long(stored, "s").join(long(fresh, "f"), [*KEYS, "column"])
-    no = lambda c: F.col(c).isNull() | F.isnan(c)
-    same = F.when(no("s") | no("f"), no("s") & no("f")).otherwise(F.abs(F.col("s") - F.col("f")) <= atol + rtol * F.abs("f"))
-    return both.groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(~same, 1)).alias("stale"))
-
-
-def integrity_report(panel: DataFrame, calendar: DataFrame, bars: DataFrame, columns: list[str], null_share: float = 0.3, window: int = 250, coverage: float = 0.95) -> DataFrame:
-    """check, severity, found: duplicate keys are hard; the others are soft: days of the calendar without rows, days without a
-    calendar day, days whose rows differ by 30 % from the upper median of the 20 before, columns with too many NULLs in the
-    last days, columns without any value, codes of bars without rows, and codes with too few."""
-    one = lambda name, hard, rows: rows.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("check"), F.lit("hard" if hard else "soft").alias("severity"), "found")
-    days = panel.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sort_array(F.collect_list("n").over(Window.orderBy("date").rowsBetween(-20, -1)))
-    drift = days.withColumn("l", before).withColumn("usual", F.try_element_at("l", (F.size("l") / 2).cast("int") + 1)).filter(F.abs(F.col("n") - F.col("usual")) > 0.3 * F.col("usual"))
-    recent = panel.join(F.broadcast(days.orderBy(F.desc("date")).limit(window).select("date")), "date", "left_semi")
-    as_rows = lambda rows, test: rows.agg(F.count(F.lit(1)).alias("_n"), *(F.count(c).alias(c) for c in columns)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("k"), F.col("_n").alias("n")) for c in columns))).alias("r")).select("r.*").filter(test)
-    own = panel.groupBy("code").agg(F.count(F.lit(1)).alias("f"))
-    wide = bars.groupBy("code").agg(F.count(F.lit(1)).alias("k")).join(own, "code", "left")
-    parts = [
-        one("duplicate keys", True, panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")),
-        one("missing days", False, calendar_gaps(calendar, panel)),
-        one("closed days", False, days.join(calendar, "date", "left_anti")),
-        one("row drift", False, drift),
-        one("null share", False, as_rows(recent, F.col("k") < (1 - null_share) * F.col("n"))),
-        one("empty columns", False, as_rows(panel, F.col("k") == 0)),
-        one("missing codes", False, wide.filter("f is null")),
-        one("short codes", False, wide.filter(F.col("f") < coverage * F.col("k"))),
-    ]
-    return reduce(DataFrame.union, parts)
-
-
-def pull_checks(rows: DataFrame, column: str, drop: float = 0.7, nulls: float = 0.01) -> DataFrame:
-    """Per date: rows, the upper median of the 20 dates before, and what is wrong: too few rows, or too many NULLs in the column."""
-    days = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(column)).alias("n_null"))
-    before = F.sort_array(F.collect_list("n").over(Window.orderBy("date").rowsBetween(-20, -1)))  # one row a date
-    d = days.withColumn("_l", before).withColumn("usual", F.try_element_at("_l", (F.size("_l") / 2).cast("int") + 1)).drop("_l")
-    few, null = F.coalesce(F.col("n") < drop * F.col("usual"), F.lit(False)), F.col("n_null") > nulls * F.col("n")
-    return d.withColumn("wrong", F.concat_ws(",", F.when(few, "rows"), F.when(null, "nulls"))).filter("wrong <> ''")
-
-
-def look_ahead(full: DataFrame, cut: DataFrame, columns: list[str]) -> DataFrame:
-    """Values on dates of cut that change when later rows are taken away: per column, how many. Anything above 0 leaks."""
-    return stale_cells(cut, full, columns, rtol=1e-9).select("column", "cells", F.col("stale").alias("leaks"))
-
-
+# -- cells and codes ---------------------------------------------------------------------------------------------------------
 def null_out(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in which all of the columns are NULL are dropped."""
     return rows.dropna("all", subset=columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import frame
-from ledgerline.operators import panel, universe, upkeep
+from ledgerline.operators import audits, panel, universe, upkeep
 from ledgerline.plans.catalogue import B, U, K, _SNAP, query, r, scored, snapshots, sup, usr
 from ledgerline.plans.catalogue import _scte, _slast
 from ledgerline.sources import scans
@@ -44,7 +44,7 @@ query("market_values", lambda spark, d: scans.market_values(sup(spark, d), _valu
 query("calendar_days", lambda spark, d: scans.calendar_days(sup(spark, d).agg(F.min("date").alias("start"), F.max("date").alias("end"))), f"with {B} select cast(unnest(generate_series(min(date)::timestamp, max(date)::timestamp, interval 1 day)) as date) as date from b")
 query("industry_codes", lambda spark, d: scans.looked_up(read(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), read(spark, d, "nation").join(scans.encoded(read(spark, d, "nation").filter("n_nationkey % 6 <> 1"), "n_name", "industry"), "n_name"), "n_nationkey", "industry").select(F.col("s_suppkey").alias("code"), "industry"),
       "select s_suppkey as code, case when n.n_name is null then -1 else (select count(*) from nation o where o.n_name < n.n_name and o.n_nationkey % 6 <> 1) end as industry from supplier left join (select * from nation where n_nationkey % 6 <> 1) n on n_nationkey = s_nationkey")
-query("industry_levels", lambda spark, d: read(spark, d, "supplier").join(F.broadcast(read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(read(spark, d, "region").filter("r_regionkey > 0")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("s_suppkey").alias("code"), F.substring("s_name", 1, 8).alias("name"), F.col("n_name").alias("level_2"), F.col("r_name").alias("level_1")),
+query("industry_levels", lambda spark, d: read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(read(spark, d, "region").filter("r_regionkey > 0"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("s_suppkey").alias("code"), F.substring("s_name", 1, 8).alias("name"), F.col("n_name").alias("level_2"), F.col("r_name").alias("level_1")),
       "select s_suppkey as code, substr(s_name, 1, 8) as name, n_name as level_2, r_name as level_1 from supplier left join nation on n_nationkey = s_nationkey left join (select * from region where r_regionkey > 0) on r_regionkey = n_regionkey")
 query("event_props", lambda spark, d: read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("long")).groupBy(F.col("user_id").alias("code")).agg(F.sum("k").alias("k"), F.count_distinct("event_type").alias("kinds")),
       "select user_id as code, cast(sum(try_cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k, count(distinct event_type) as kinds from events group by 1")
@@ -81,25 +81,41 @@ query("every_nth_date", lambda spark, d: upkeep.every_nth_date(sup(spark, d), 7,
 
 # -- audits ----------------------------------------------------------------------------------------------------------------
 fresh = lambda spark, d: sup(spark, d).selectExpr("code", "date", "case when code % 11 = 0 then close * 1.01D else close end as close", "case when day(date) = 2 then cast(null as double) else volume end as volume", "amount * (1 + 0.00001D) as amount")
-query("stale_cells", lambda spark, d: upkeep.stale_cells(sup(spark, d).select("code", "date", "close", "volume", "amount"), fresh(spark, d), ["close", "volume", "amount"]),
-      f"with {B} select 'close' as column, count(*) as cells, count(*) filter (where code % 11 = 0 and abs(close * 0.01) > 1e-12 + 1e-4 * abs(close * 1.01)) as stale from b union all select 'volume', count(*), count(*) filter (where extract(day from date) = 2) from b union all select 'amount', count(*), 0 from b")
-audited = lambda spark, d: sup(spark, d).filter("day(date) <> 13 and (code % 9 > 0 or day(date) > 20) and code % 17 > 0").selectExpr("code", "date", "close", "case when year(date) < 1998 then volume end as volume", "cast(null as double) as empty")
-query("integrity_report", lambda spark, d: upkeep.integrity_report(audited(spark, d).unionByName(audited(spark, d).filter("code = 2 and day(date) = 5")), sup(spark, d).select("date").distinct().filter("dayofweek(date) > 1"), sup(spark, d), ["close", "volume", "empty"]),
-      f"""with {B}, a as (select code, date, close, case when extract(year from date) < 1998 then volume end as volume, cast(null as double) as empty from b where extract(day from date) <> 13 and (code % 9 > 0 or extract(day from date) > 20) and code % 17 > 0),
-      p as (select * from a union all select * from a where code = 2 and extract(day from date) = 5), c as (select distinct date from b where dayofweek(date) > 0), n as (select date, count(*) as n from p group by 1),
-      l as (select *, list_sort(list(n) over (order by date rows between 20 preceding and 1 preceding)) as l from n), w as (select * from p where date in (select date from n order by date desc limit 250)), f as (select code, count(*) as f from p group by 1), k as (select code, count(*) as k from b group by 1)
-      select 'duplicate keys' as "check", 'hard' as severity, (select count(*) from (select 1 from p group by code, date having count(*) > 1)) as found
-      union all select 'missing days', 'soft', (select count(*) from c where date between (select min(date) from p) and (select max(date) from p) and date not in (select date from p))
-      union all select 'closed days', 'soft', (select count(*) from n where date not in (select date from c))
-      union all select 'row drift', 'soft', (select count(*) from l where abs(n - l[len(l) // 2 + 1]) > 0.3 * l[len(l) // 2 + 1])
-      union all select 'null share', 'soft', (select cast(count(close) < 0.7 * count(*) as int) + cast(count(volume) < 0.7 * count(*) as int) + cast(count(empty) < 0.7 * count(*) as int) from w)
-      union all select 'empty columns', 'soft', (select cast(count(close) = 0 as int) + cast(count(volume) = 0 as int) + cast(count(empty) = 0 as int) from p)
-      union all select 'missing codes', 'soft', (select count(*) from k where code not in (select code from f))
-      union all select 'short codes', 'soft', (select count(*) from k join f using (code) where f < 0.95 * k)""")
-query("pull_checks", lambda spark, d: upkeep.pull_checks(sup(spark, d).withColumn("adj_factor", F.expr("case when code % 50 <> 7 then 1.0D end")), "adj_factor"),
-      f"with {B}, n as (select date, count(*) as n, count(*) filter (where code % 50 = 7) as n_null from b group by 1), l as (select *, list_sort(list(n) over (order by date rows between 20 preceding and 1 preceding)) as l from n), u as (select date, n, n_null, l[len(l) // 2 + 1] as usual from l) select date, n, n_null, usual, case when coalesce(n < 0.7 * usual, false) and n_null > 0.01 * n then 'rows,nulls' when coalesce(n < 0.7 * usual, false) then 'rows' else 'nulls' end as wrong from u where coalesce(n < 0.7 * usual, false) or n_null > 0.01 * n")
+query("stale_cells", lambda spark, d: audits.stale_cells(sup(spark, d).select("code", "date", "close", "volume", "amount"), fresh(spark, d), ["close", "volume", "amount"]),
+      f"with {B} select 'close' as column, count(*) as cells, count(*) filter (where code % 11 = 0 and abs(close * 0.01) > 1e-12 + 1e-4 * abs(close)) as stale from b union all select 'volume', count(*), count(*) filter (where extract(day from date) = 2) from b union all select 'amount', count(*), 0 from b")
+drifted = lambda spark, d: sup(spark, d).selectExpr("code", "date", "case when code % 11 = 0 then close * (1 + day(date) * 1e-5D) else close end as close", "case when month(date) = 3 and code % 3 = 0 then null else volume end as volume", "amount * 2 as amount_rank")
+query("staleness_audit", lambda spark, d: audits.staleness_audit(sup(spark, d).selectExpr("code", "date", "close", "volume", "amount as amount_rank"), drifted(spark, d), sup(spark, d).filter("date >= date '1997-03-04' and code % 4 > 0").select("code", "date"), ["close", "volume", "amount_rank"], 25),
+      f"""with {B}, e as (select distinct date from b where date >= (select min(date) from b where date >= date '1997-03-04' and code % 4 > 0)), n as (select date, row_number() over (order by date) - 1 as k, count(*) over () as n from e), s as (select date from n where k % greatest(1, n // 25) = 0 and k < greatest(1, n // 25) * 25),
+      c as (select code, date, code % 11 = 0 and close * extract(day from date) * 1e-5 > 1e-12 + 1e-4 * close as c, extract(month from date) = 3 and code % 3 = 0 as v from b where date in (select date from s) and code % 4 > 0 and date >= date '1997-03-04')
+      select date, count(*) as rows, count(*) filter (where c or v) as drifted_rows, count(distinct case when c or v then code end) as drifted_codes, count(*) filter (where c) as drifted_close, count(*) filter (where v) as drifted_volume from c group by date""")
+# a panel without every 13th, with few rows on its last day, a column that ends in 1998 and one that is never there
+_PANEL = "day(date) <> 13 and (code % 9 > 0 or day(date) > 20) and code % 17 > 0 and (date < date '2001-10-30' or code % 2 = 0)"
+audited = lambda spark, d: sup(spark, d).filter(_PANEL).selectExpr("code", "date", "close", "case when year(date) < 1998 then volume end as volume", "cast(null as double) as empty")
+factored = lambda spark, d: sup(spark, d).selectExpr("code", "date", "case when code % 50 <> 7 then 1.0D end as adj_factor")
+query("integrity_report", lambda spark, d: audits.integrity_report(audited(spark, d), sup(spark, d).select("date").distinct().filter("dayofweek(date) > 1").union(spark.sql("select date '2001-12-03' as date")), factored(spark, d), ["close", "volume", "empty"], ["close", "empty"]),
+      f"""with {B}, p as (select code, date, close, case when extract(year from date) < 1998 then volume end as volume, cast(null as double) as empty from b where {_PANEL.replace('day(date)', 'extract(day from date)')}),
+      c as (select distinct date from b where dayofweek(date) > 0 union select date '2001-12-03'), l as (select max(date) as now from c), pd as (select date, count(*) as n from p group by 1), bd as (select date, count(*) as n from b group by 1),
+      r as (select min(date) as lo, max(date) as hi from pd), w as (select * from p where date in (select date from pd order by date desc limit 250)),
+      dr as (select 'panel drift' as t, n, row_number() over (order by date desc) as k from pd union all select 'bars drift', n, row_number() over (order by date desc) from bd),
+      us as (select t, list_sort(list(n)) as l from dr where k between 2 and 21 group by t), dv as (select dr.t, abs(n - l[len(l) // 2 + 1]) > 0.3 * l[len(l) // 2 + 1] as far from dr join us using (t) where k = 1),
+      k as (select code, count(*) as k from b, r where date between lo and hi group by code), f as (select code, count(*) as f from p group by 1), s as (select count(*) as codes, coalesce(sum(k - coalesce(f, 0)), 0) as lack from k left join f using (code) where coalesce(f, 0) < 0.95 * k)
+      select 'latest day, panel' as "check", 'hard' as severity, (select count(*) from l where now not in (select date from pd) and now in (select date from bd)) as found
+      union all select 'latest day, bars', 'hard', (select count(*) from l where now not in (select date from pd) and now not in (select date from bd))
+      union all select 'holes', 'soft', (select count(*) from bd, r where date >= lo and date not in (select date from pd))
+      union all select t, 'soft', cast(far as int) from dv
+      union all select 'factor nulls', 'soft', (select count(*) from (select count(*) as n, count(*) filter (where code % 50 = 7) as x from b where date = (select now from l)) where x > 0.01 * n)
+      union all select 'panel calendar', 'soft', (select count(*) from c, r where date between lo and hi and date not in (select date from pd))
+      union all select 'bars calendar', 'soft', (select count(*) from c where date between (select min(date) from bd) and (select max(date) from bd) and date not in (select date from bd))
+      union all select 'value health', 'soft', (select case when count(*) = 0 then 0 else cast(count(close) < 0.5 * count(*) as int) + cast(count(empty) < 0.5 * count(*) as int) end from p where date = (select now from l))
+      union all select 'null rate', 'soft', (select cast(count(close) < 0.7 * count(*) as int) + cast(count(volume) < 0.7 * count(*) as int) + cast(count(empty) < 0.7 * count(*) as int) from w)
+      union all select 'short codes', 'soft', codes from s union all select 'short rows', 'soft', lack from s""")
+_thin = "not (day(date) = 9 and code % 3 > 0) and day(date) <> 28"
+query("pull_checks", lambda spark, d: audits.pull_checks(sup(spark, d).filter(_thin).withColumn("adj_factor", F.expr("case when code % 50 <> 7 then 1.0D end")), sup(spark, d).select("date"), "adj_factor"),
+      f"""with {B}, x as (select * from b where {_thin.replace('day(date)', 'extract(day from date)')}), n as (select date, count(*) as n, count(*) filter (where code % 50 = 7) as n_null from x group by 1), a as (select distinct date from b),
+      u as (select a.date, (select median(n) from (select n from n m where m.date < a.date order by m.date desc limit 20)) as usual from a), j as (select date, coalesce(n, 0) as n, usual, n_null from u left join n using (date)),
+      w as (select *, case when n = 0 then 'empty' when n < 0.7 * usual then 'rows' when n_null > 0.01 * n then 'nulls' end as wrong from j) select date, n, round(usual, 6) + 0.0 as usual, wrong from w where wrong is not null""")
 featured = lambda rows: rows.selectExpr("code", "date", f"avg(close) {frame(20)} as past", f"lead(close) {_BYC} as ahead")
-query("look_ahead", lambda spark, d: upkeep.look_ahead(featured(sup(spark, d)), featured(sup(spark, d).filter("date < '1998-01-01'")), ["past", "ahead"]),
+query("look_ahead", lambda spark, d: audits.look_ahead(featured(sup(spark, d)), featured(sup(spark, d).filter("date < '1998-01-01'")), ["past", "ahead"]),
       f"with {B}, c as (select *, lead(date) {_BYC} as nx from b) select 'past' as column, count(*) as cells, 0 as leaks from c where date < date '1998-01-01' union all select 'ahead', count(*), count(*) filter (where nx >= date '1998-01-01') from c where date < date '1998-01-01'")
 
 # -- universes -------------------------------------------------------------------------------------------------------------
@@ -149,11 +165,13 @@ query("safe_error", lambda spark, d: universe.safe_rows(scored(spark, d), masks(
       f"{_scte} select count(abs(score - label)) as n, round(avg(abs(score - label)), 6) + 0.0 as mae from {_slast} where extract(day from date) % 3 = 0 or (code % 7 <> 0 and code % 5 <> 0)")
 
 # -- more columns ----------------------------------------------------------------------------------------------------------
-aged = lambda spark, d: sup(spark, d).join(F.broadcast(listings(spark, d).select("code", "list_date")), "code", "left")
+aged = lambda spark, d: sup(spark, d).join(listings(spark, d).select("code", "list_date"), "code", "left")
 query("factor_age", lambda spark, d: aged(spark, d).select("code", "date", F.expr("case when datediff(date, list_date) > 0 then ln(datediff(date, list_date)) end").alias("ln_age")),
       f"with {B}, {_LISTED} select code, date, round(case when date > list_date then ln(date_diff('day', list_date, date)) end, 6) + 0.0 as ln_age from b left join li using (code)")
-query("size_band", lambda spark, d: sup(spark, d).select(F.year("date").alias("y")).distinct().select(F.col("y").cast("long").alias("year"), F.pow(F.lit(11 / 20), (2026 - F.col("y")) / 11).alias("factor")).withColumns({"low": F.col("factor"), "high": F.col("factor") * 40}),
-      f"with {B} select cast(y as bigint) as year, round(pow(0.55e0, (2026 - y) / 11.0e0), 6) + 0.0 as factor, round(pow(0.55e0, (2026 - y) / 11.0e0), 6) + 0.0 as low, round(40 * pow(0.55e0, (2026 - y) / 11.0e0), 6) + 0.0 as high from (select distinct extract(year from date) as y from b)")
+_BAND = universe.Universe("", (), 1.0, 40.0, 2000, 11 / 20, 11.0, 252)
+_limits = lambda day: [F.round(F.lit(x) * universe.decay(F.col(day), _BAND) * 10000, 0).cast("double") for x in (1.0, 40.0)]
+query("size_band", lambda spark, d: sup(spark, d).select("date").distinct().select("date", universe.decimal_year(F.col("date")).alias("year"), universe.decay(F.col("date"), _BAND).alias("factor"), _limits("date")[0].alias("low"), _limits("date")[1].alias("high")),
+      f"with {B}, y as (select distinct date, extract(year from date) + (extract(doy from date) - 1) / case when extract(year from date) % 4 = 0 and (extract(year from date) % 100 <> 0 or extract(year from date) % 400 = 0) then 366.0e0 else 365.0e0 end as y from b), f as (select date, y, pow(0.55e0, greatest(0, 2000 - y) / 11.0e0) as f from y) select date, round(y, 6) + 0.0 as year, round(f, 6) + 0.0 as factor, round(f * 10000, 0) + 0.0 as low, round(40 * f * 10000, 0) + 0.0 as high from f")
 
 
 def _regressions(spark: SparkSession, d: str) -> DataFrame:

@@ -66,4 +66,4 @@ def encoded(rows: DataFrame, column: str, to: str) -> DataFrame:
 
 def looked_up(rows: DataFrame, codes: DataFrame, key: str, value: str, unknown: int = -1) -> DataFrame:
     """A column from a small table of unique keys; unknown keys get the default."""
-    return rows.join(F.broadcast(codes.select(key, value)), key, "left").withColumn(value, F.coalesce(value, F.lit(unknown).cast(codes.schema[value].dataType)))
+    return rows.join(codes.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(unknown).cast(codes.schema[value].dataType)))
