@@ -121,3 +121,32 @@ def integrity_report(panel: DataFrame, calendar: DataFrame, bars: DataFrame, col
         ("panel calendar", "soft", "p_cal"), ("bars calendar", "soft", "b_cal"), ("value health", "soft", "ill"), ("null rate", "soft", "rare"), ("short codes", "soft", "codes"), ("short rows", "soft", "lack"),
     ]
     return found.crossJoin(short).select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"), F.col(v).cast("long").alias("found")) for c, s, v in named))).alias("r")).select("r.*")
+
+
+# -- leaks of a trained model ----------------------------------------------------------------------------------------------------
+def leak_checks(axis: DataFrame, calendar: DataFrame, predictions: DataFrame, expected: DataFrame, meta: dict, column: str, reach: int, buffer: int, tail: int, test_start: object, test_end: object, crossing: DataFrame | None = None) -> DataFrame:
+    """check, ok of a model's record against what its data say. axis: the training table's dates; calendar: all dates, by whose places a label of `reach` dates
+    ahead is followed; predictions and expected: code, date; crossing: rows left out of training as their label reaches the test period; meta: the record (train_start, train_end, test_start,
+    test_end, far_crossing, slope, median, n_pred). train_end is the first date that isn't trained on, `buffer` dates of the axis before the test."""
+    start, end = F.lit(test_start).cast("date"), F.lit(test_end).cast("date")
+    said = lambda k: F.lit(meta.get(k)).cast("date")
+    lined = lambda rows: rows.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)  # noqa: E731 - one row a date
+    a, c = lined(axis), lined(calendar)
+    train_end = a.join(a.filter(F.col("date") < start).agg(F.greatest(F.count(F.lit(1)) - buffer, F.lit(0)).alias("_p")), F.col("pos") == F.col("_p")).agg(F.max("date").alias("train_end"))
+    used = a.crossJoin(train_end).filter(F.col("date") < F.col("train_end"))
+    facts = used.agg(F.max("date").alias("last_trained"), F.max("train_end").alias("train_end"), F.count(F.lit(1)).alias("n_trained")).crossJoin(a.agg(F.min("date").alias("first_trained")))
+    place = lambda d, to: c.select(F.col("date").alias(d), F.col("pos").alias(to))
+    facts = facts.join(place("last_trained", "_last"), "last_trained", "left").crossJoin(c.filter(F.col("date") >= start).agg(F.min("pos").alias("_test")))
+    p = predictions.agg(F.min("date").alias("p_lo"), F.max("date").alias("p_hi"), F.count(F.lit(1)).alias("n_pred"))
+    keys = lambda rows, n: rows.select(*KEYS).distinct().withColumn(n, F.lit(1))
+    sets = keys(predictions, "_g").join(keys(expected, "_w"), KEYS, "full").agg(F.count(F.when(F.col("_w").isNull(), 1)).alias("extra"), F.count(F.when(F.col("_g").isNull(), 1)).alias("missing"))
+    far = (crossing if crossing is not None else predictions.limit(0)).agg(F.count(F.lit(1)).alias("far"))
+    one = facts.crossJoin(p).crossJoin(sets).crossJoin(far)
+    held = F.least(F.lit(tail), F.col("n_trained"))
+    checks = {
+        "train starts where the axis does": F.col("first_trained") == said("train_start"), "train ends a buffer before the test": F.col("train_end") == said("train_end"),
+        "last label ends before the test": F.col("_last") + reach < F.col("_test"), "buffer covers the label": F.lit(buffer >= reach), "crossing labels were left out": F.col("far") == F.lit(meta.get("far_crossing")),
+        "test period is the record's": (start == said("test_start")) & (end == said("test_end")), "calibration lies in training": held > 0, "record has the calibration": F.lit(meta.get("slope") is not None and meta.get("median") is not None),
+        "scores are there": F.lit(column in predictions.columns), "scores lie in the test": (F.col("p_lo") >= start) & (F.col("p_hi") <= end), "scored rows are those expected": (F.col("extra") == 0) & (F.col("missing") == 0), "count is the record's": F.col("n_pred") == F.lit(meta.get("n_pred")),
+    }
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()))).alias("r")).select("r.*")

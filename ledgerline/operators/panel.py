@@ -253,3 +253,10 @@ def fifo_trips(trades: DataFrame) -> DataFrame:
     both = b.join(s, [F.col("b.code") == F.col("s.code"), F.col("b.lo") < F.col("s.hi"), F.col("s.lo") < F.col("b.hi")])
     shares = F.least("b.hi", "s.hi") - F.greatest("b.lo", "s.lo")
     return both.select("b.code", F.col("b.date").alias("bought"), F.col("s.date").alias("sold"), shares.alias("shares"), F.datediff("s.date", "b.date").alias("days"), (F.col("s.price") / F.col("b.price") - 1).alias("trip_return"))
+
+
+def trip_summary(trips: DataFrame) -> DataFrame:
+    """Trips, the mean and median of the days that they were held, their mean return, how often it was above 0, and its t value: the mean by its standard
+    error, NULL for fewer than two trips or returns that don't vary."""
+    a = trips.agg(F.count(F.lit(1)).alias("n"), F.avg("days").alias("mean_days"), F.median("days").alias("median_days"), F.avg("trip_return").alias("mean_return"), F.avg((F.col("trip_return") > 0).cast("double")).alias("win_rate"), F.stddev_samp("trip_return").alias("_sd"))
+    return a.withColumn("t", sdiv(F.col("mean_return") * F.sqrt("n"), F.col("_sd"))).drop("_sd")

@@ -87,11 +87,14 @@ def candidates(scores: DataFrame, held: DataFrame, st: DataFrame, delisted: Data
     return top_per_date(free.filter(F.col("delist_date").isNull() | (F.col("delist_date") > F.col("date"))), "score", k)
 
 
-def day_levels(parts: dict[str, DataFrame]) -> DataFrame:
-    """date, n_parts, level: full where all parts have a score of the date, else partial. parts: code, date, score."""
+def day_levels(parts: dict[str, DataFrame], dates: DataFrame | None = None) -> DataFrame:
+    """date, n_parts, level: full where all parts have a score of the date, partial where some have, placeholder where none has, of the dates asked for (or
+    else of those that any part has). parts: code, date, score."""
     seen = reduce(DataFrame.unionByName, (p.filter("score is not null").select("date", F.lit(n).alias("part")) for n, p in parts.items()))
     n = seen.groupBy("date").agg(F.count_distinct("part").alias("n_parts"))
-    return n.withColumn("level", F.when(F.col("n_parts") == len(parts), "full").otherwise("partial"))
+    if dates is not None:
+        n = dates.select("date").distinct().join(n, "date", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(0)))
+    return n.withColumn("level", F.when(F.col("n_parts") == len(parts), "full").when(F.col("n_parts") > 0, "partial").otherwise("placeholder"))
 
 
 def target_date(artefacts: list[DataFrame], panel: DataFrame, asked: Column | None = None) -> DataFrame:

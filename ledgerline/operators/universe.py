@@ -135,32 +135,36 @@ def walk_forward(dates: DataFrame, warm_up: int, train_end: Column, start: Colum
 
 # -- benchmark -------------------------------------------------------------------------------------------------------------
 def benchmark(bars: DataFrame, resets: DataFrame, delisted: DataFrame) -> DataFrame:
-    """date, nav of equal weights bought at each reset and held to the next, segments chained.
+    """date, nav of equal weights bought at each reset and held to the next, segments chained, over the first day's; ret, its change from the day before.
 
     bars: code, date, close, is_st; resets: effective_date, code; delisted: code, delist_date. A code enters if its first bar of
     the segment isn't st and has a price, and it isn't delisted by then; without a bar a day it keeps its last close, from its
-    delist date on it is worth 0, and before its first bar it adds nothing."""
-    dates = bars.select("date").distinct()
-    eff = resets.select("effective_date").distinct().withColumn("_next", F.lead("effective_date").over(Window.orderBy("effective_date")))
-    of_day = dates.join(F.broadcast(eff), (F.col("date") >= F.col("effective_date")) & (F.col("_next").isNull() | (F.col("date") < F.col("_next")))).select("date", "effective_date")
-    of_day = of_day.withColumn("_first_day", F.min("date").over(Window.partitionBy("effective_date")))
+    delist date on it is worth 0, and before its first bar it adds nothing. Fewer than two days give no rows.
+
+    Bars are sorted once by segment and code; what they say is summed up by date, and everything after that has one row a date."""
+    eff = resets.select("effective_date").distinct().withColumn("date", F.col("effective_date"))
+    of_day = asof(bars.select("date").distinct(), eff, [], "date", ["effective_date"]).filter("effective_date is not null").withColumn("_first_day", F.min("date").over(Window.partitionBy("effective_date")))
     members = resets.join(delisted.select("code", "delist_date"), "code", "left")
-    own = bars.join(F.broadcast(of_day), "date").join(members, ["effective_date", "code"]).filter(F.col("delist_date").isNull() | (F.col("_first_day") < F.col("delist_date")))
+    own = bars.join(of_day, "date").join(members, ["effective_date", "code"]).filter(F.col("delist_date").isNull() | (F.col("_first_day") < F.col("delist_date")))
     seg = Window.partitionBy("effective_date", "code").orderBy("date")
-    own = own.withColumns({"_base": F.first("close").over(seg), "_st": F.first(F.coalesce("is_st", F.lit(0))).over(seg)}).filter((F.col("_st") != 1) & (F.col("_base") > 0))
-    # a bar is worth its close until the code's next bar, so a day's worth is the running sum of the changes up to it
-    alive = own.filter(F.col("delist_date").isNull() | (F.col("date") < F.col("delist_date"))).withColumn("_v", F.col("close") / F.col("_base"))
-    change = alive.withColumn("_d", F.col("_v") - F.coalesce(F.lag("_v").over(seg), F.lit(0.0)))
-    gone = change.filter("delist_date is not null").groupBy("effective_date", "code", "delist_date").agg((-F.max_by("_v", "date")).alias("_d")).withColumnRenamed("delist_date", "date")
-    per = change.select("effective_date", "date", "_d").unionByName(gone.select("effective_date", "date", "_d")).groupBy("effective_date", "date").agg(F.sum("_d").alias("_d"))
-    picks = own.groupBy("effective_date").agg(F.count_distinct("code").alias("_n"))
+    own = own.withColumns({"_base": F.first("close").over(seg), "_st": F.first(F.coalesce("is_st", F.lit(0))).over(seg), "_k": F.row_number().over(seg)}).filter((F.col("_st") != 1) & (F.col("_base") > 0))
+    # a bar is worth its close until the code's next bar, so a day's worth is the running sum of the changes up to it; the last one before a delisting goes with it
+    worth = F.when(F.col("delist_date").isNull() | (F.col("date") < F.col("delist_date")), F.col("close") / F.col("_base"))
+    own = own.withColumn("_v", worth)
+    change = F.when(F.col("_v").isNotNull(), F.col("_v") - F.coalesce(F.lag("_v").over(seg), F.lit(0.0)))
+    last = F.col("_v").isNotNull() & F.lead("_v").over(seg).isNull() & F.col("delist_date").isNotNull()
+    entry = lambda d, v, n: F.struct(d.alias("date"), v.alias("d"), n.alias("n"))
+    told = own.withColumns({"_d": change, "_last": last})
+    events = told.select("effective_date", F.explode(F.array_compact(F.array(entry(F.col("date"), F.col("_d"), (F.col("_k") == 1).cast("long")), F.when(F.col("_last"), entry(F.col("delist_date"), -F.col("_v"), F.lit(0).cast("long")))))).alias("e"))
+    per = events.groupBy("effective_date", F.col("e.date").alias("date")).agg(F.sum("e.d").alias("_d"), F.sum("e.n").alias("_n"))
     axis = of_day.select("effective_date", "date").withColumn("_day", F.lit(True)).join(per, ["effective_date", "date"], "full")
-    run = Window.partitionBy("effective_date").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    nav = axis.withColumn("_s", F.sum(F.coalesce("_d", F.lit(0.0))).over(run)).filter("_day").join(F.broadcast(picks), "effective_date").select("effective_date", "date", (F.col("_s") / F.col("_n")).alias("_nav"))
-    ends = nav.groupBy("effective_date").agg(F.max_by("_nav", "date").alias("_end"))
-    before = Window.orderBy("effective_date").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment
-    chain = ends.withColumn("_before", F.coalesce(F.product("_end").over(before), F.lit(1.0)))
-    return nav.join(F.broadcast(chain), "effective_date").select("date", (F.col("_nav") * F.col("_before")).alias("nav"))
+    days, whole = Window.partitionBy("effective_date").orderBy("date"), Window.partitionBy("effective_date")
+    worths = axis.withColumns({"_s": F.sum(F.coalesce("_d", F.lit(0.0))).over(days.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_n").over(whole)}).filter("_day and _n > 0").select("effective_date", "date", (F.col("_s") / F.col("_n")).alias("_nav"))
+    ends = worths.withColumn("_end", F.when(F.col("date") == F.max("date").over(whole), F.col("_nav")))
+    every = Window.orderBy("date")  # one row a date
+    nav = ends.withColumn("_nav", F.col("_nav") * F.coalesce(F.product("_end").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    out = nav.withColumns({"nav": F.col("_nav") / F.first("_nav").over(every), "ret": sdiv(F.col("_nav"), F.lag("_nav").over(every)) - 1, "_rows": F.count(F.lit(1)).over(Window.partitionBy())})
+    return out.filter("_rows > 1").select("date", "nav", "ret")
 
 
 # -- reports ---------------------------------------------------------------------------------------------------------------
@@ -172,6 +176,15 @@ def excluded_on(rows: DataFrame, st: DataFrame, delisted: DataFrame, day: Column
     return rows.select("code").distinct().join(both, "code")
 
 
+def excluded_counts(rows: DataFrame, st: DataFrame, delisted: DataFrame, day: Column) -> DataFrame:
+    """How many of the rows' codes each layer takes out, a code in both counting in both, how many go in all and how many stay."""
+    a = st.filter((F.col("date") == day) & (F.col("is_st") == 1)).select("code").distinct().withColumn("_st", F.lit(1))
+    b = delisted.filter(F.col("delist_date") <= day).select("code").distinct().withColumn("_gone", F.lit(1))
+    both = rows.select("code").distinct().join(a, "code", "left").join(b, "code", "left")
+    n = lambda *cs: F.count(F.when(F.coalesce(*cs).isNotNull(), 1))
+    return both.agg(n("_st").alias("st"), n("_gone").alias("delisted"), n("_st", "_gone").alias("excluded"), (F.count(F.lit(1)) - n("_st", "_gone")).alias("kept"))
+
+
 def day_report(scores: DataFrame, names: DataFrame, out: DataFrame, day: Column, zero: float, k: int) -> DataFrame:
     """The day's k best with names, and how many of the day's scores lie above the zero and at or below it."""
     own = scores.filter(F.col("date") == day).join(out.select("code"), "code", "left_anti")

@@ -141,8 +141,8 @@ query("trained_rows", lambda spark, d: universe.trained_rows(sup(spark, d).selec
 query("walk_forward", lambda spark, d: universe.walk_forward(sup(spark, d), 90, _D("1998-01-01"), _D("1998-02-01"), _D("1998-12-31"), 252),
       f"with {B}, c as (select date, row_number() over (order by date) as k from (select distinct date from b)), t as (select date, 'train' as part from c where k > 90 and date < date '1998-01-01') select * from t where (select count(*) from t) >= 252 union all select date, 'test' from c where date between date '1998-02-01' and date '1998-12-31' and (select count(*) from t) >= 252")
 with_st = lambda spark, d: sup(spark, d).select("code", "date", "close", F.expr("case when (code + day(date)) % 13 = 0 then 1 else 0 end").alias("is_st"))
-query("benchmark", lambda spark, d: universe.benchmark(with_st(spark, d).filter("date >= '1996-06-01'"), snapshots(spark, d), delisted(spark, d)),
-      f"""with recursive {B}, {_SNAP}, {_GONE}, v as (select code, date, close, (code + extract(day from date)) % 13 = 0 as st from b where date >= date '1996-06-01'), q as (select distinct date from v),
+query("benchmark", lambda spark, d: universe.benchmark(with_st(spark, d), snapshots(spark, d), delisted(spark, d)),
+      f"""with recursive {B}, {_SNAP}, {_GONE}, v as (select code, date, close, (code + extract(day from date)) % 13 = 0 as st from b), q as (select distinct date from v),
       g as (select effective_date as eff, lead(effective_date) over (order by effective_date) as nx, row_number() over (order by effective_date) as k from (select distinct effective_date from s)),
       x as (select q.date, g.eff, min(q.date) over (partition by g.eff) as d0 from q join g on q.date >= g.eff and (g.nx is null or q.date < g.nx)),
       m as (select x.eff, v.code, arg_min(v.close, v.date) as base, arg_min(v.st, v.date) as st from v join x using (date) join s on s.effective_date = x.eff and s.code = v.code left join de on de.code = v.code where delist_date is null or d0 < delist_date group by all),
@@ -150,7 +150,7 @@ query("benchmark", lambda spark, d: universe.benchmark(with_st(spark, d).filter(
       day as (select x.eff, x.date, p.code, p.base, (select arg_max(v.close, v.date) from v join x y on y.date = v.date and y.eff = x.eff where v.code = p.code and v.date <= x.date) as last from x join p on p.eff = x.eff),
       nav as (select day.eff, day.date, sum(case when delist_date is null or day.date < delist_date then coalesce(last / base, 0) else 0 end) / any_value(n) as nav from day join cnt using (eff) left join de on de.code = day.code group by all),
       fin as (select eff, arg_max(nav, date) as fin, row_number() over (order by eff) as k from nav group by eff), ch as (select eff, k, fin, 1.0::double as before from fin where k = 1 union all select fin.eff, fin.k, fin.fin, ch.before * ch.fin from ch join fin on fin.k = ch.k + 1)
-      select date, round(nav * before, 6) + 0.0 as nav from nav join ch using (eff)""")
+      , held as (select date, nav * before as nav from nav join ch using (eff)) select date, round(nav / first_value(nav) over (order by date), 6) + 0.0 as nav, round(nav / lag(nav) over (order by date) - 1, 6) + 0.0 as ret from held""")
 query("excluded_on", lambda spark, d: universe.excluded_on(sup(spark, d), with_st(spark, d), delisted(spark, d), _D("1999-06-10")),
       f"with {B}, {_GONE} select code, case when exists (select 1 from b x where x.code = c.code and x.date = date '1999-06-10' and (x.code + 10) % 13 = 0) then 'st' else 'delisted' end as layer from (select distinct code from b) c where exists (select 1 from b x where x.code = c.code and x.date = date '1999-06-10' and (x.code + 10) % 13 = 0) or code in (select code from de where delist_date <= date '1999-06-10')")
 query("day_report", lambda spark, d: universe.day_report(scored(spark, d), read(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")), read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("code")), _D("2024-01-20"), 0.0, 10),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import ewm, staged
 from ledgerline.operators import factors, panel
-from ledgerline.plans import catalogue, feeds, market, models, serving, streams, upkeep  # noqa: F401 - registers its queries in the catalogue
+from ledgerline.plans import catalogue, checks, feeds, market, models, serving, streams, upkeep  # noqa: F401 - registers its queries in the catalogue
 from ledgerline.sources import bars
 
 SF = "/root/testdata/sf0.001"
