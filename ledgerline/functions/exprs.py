@@ -79,9 +79,3 @@ def ewm(rows: DataFrame, x: str, span: int, to: str) -> DataFrame:
     back = F.pow(F.lit(decay), F.col("_k") + 1)
     both = grown.join(last, ["code", "_s"], "left").withColumn(to, (F.col("_x") + F.coalesce(F.col("_bx"), F.lit(0.0)) * back) / (F.col("_w") + F.coalesce(F.col("_bw"), F.lit(0.0)) * back))
     return both.select(*rows.columns, to)
-
-
-def decay_linear(x: str, n: int) -> str:
-    """Weights n to 1 from this row back; NULL before n rows."""
-    parts = " + ".join(f"{n - k} * {lag(x, k) if k else x}" for k in range(n))
-    return f"(({parts}) / {n * (n + 1) / 2}D)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ledgerline.functions.exprs import sanitised
 from ledgerline.operators import panel
 from ledgerline.operators.boosting import Rules, out_of_fold
 from ledgerline.operators.selection import correlations, select
-from ledgerline.plans.catalogue import B, query, sup
+from ledgerline.plans.catalogue import _NEW, _OLD, B, U, new_rows, old_rows, query, sup
+from ledgerline.sources import layout
 
 _BYC = "over (partition by code order by date)"
 _FEATURES = {
@@ -32,3 +34,18 @@ query("selected_features", lambda spark, d: select(featured(spark, d), list(_FEA
 # a third of the dates comes before the first segment, so that each table size trains a few models
 _RULES = Rules(loss="l1", rounds=6, depth=3, rate=0.3, bins=32, least=50)
 query("boosted_out_of_fold", lambda spark, d: out_of_fold(featured(spark, d), ["return_1d", "return_5d", "gap", "intraday", "range", "mean_ratio"], "label", first=960, every=800, buffer=6, least=1000, rules=_RULES).select("code", "date", "label", "score"))
+
+
+def _bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """What an upsert into a bucketed table says and leaves; the table goes when that is known."""
+    name = f"panel_{uuid.uuid4().hex}"
+    layout.save(old_rows(spark, d), name, 8)
+    said = layout.upsert(spark, name, new_rows(spark, d))
+    left = spark.table(name).agg(F.count("volume").alias("n_volume"), F.count("extra").alias("n_extra"), F.round(F.sum("close"), 2).alias("total")).first()
+    spark.sql(f"drop table {name}")
+    return spark.createDataFrame([(said.rows, said.inserted, said.updated, *left)], "n_rows long, inserted long, updated long, n_volume long, n_extra long, total double")
+
+
+query("bucketed_upsert", _bucketed,
+      f"""with {U}, {_OLD}, {_NEW}, j as (select code, date, o.code is not null as was, n.code is not null as now, case when n.code is not null then n.close else o.close end as close, volume, extra from o full join n using (code, date))
+      select count(*) as n_rows, count(*) filter (where not was) as inserted, count(*) filter (where was and now) as updated, count(volume) as n_volume, count(extra) as n_extra, round(sum(close), 2) + 0.0 as total from j""")
