@@ -101,9 +101,11 @@ def page_records(number: int, page_id: int | None, url: str | None, html: str |
 
 def write(pages: DataFrame, path: str) -> None:
     """A folder of .gz archives; of equal payloads of LEAST bytes or more, the one with the largest id is stored."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "n": F.octet_length("html")})
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "n": F.octet_length("html"), "number": F.monotonically_increasing_id()})
     copies = rows.filter(F.col("n") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    marked = rows.join(copies, "digest", "left").select(F.monotonically_increasing_id().alias("number"), "page_id", "url", F.when(F.coalesce(F.col("first") == F.col("page_id"), F.col("first").isNull()), F.col("html")).alias("html"), "digest", F.when(~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)), F.col("first")).alias("refers_to"))
+    # small payloads are never revisits; each has a key of its own, so that many alike, such as empty ones, don't meet in one task
+    key = F.when(F.col("n") >= LEAST, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("number").cast("string")))
+    marked = rows.withColumn("key", key).join(copies.withColumnRenamed("digest", "key"), "key", "left").select("number", "page_id", "url", F.when(F.coalesce(F.col("first") == F.col("page_id"), F.col("first").isNull()), F.col("html")).alias("html"), "digest", F.when(~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)), F.col("first")).alias("refers_to"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
