@@ -301,14 +301,17 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document of the least id of each component, once, and all without an id; the columns of docs."""
+    """The document of the least id of each component, once, and all without an id; the columns of docs. Of rows that share the id, the one of the
+    least text stays, of equal texts that of the least hash of all columns."""
     found = linked_documents(docs, words=words, percent=percent)
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     twice = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").join(gone, "doc_id", "left_anti")
     odd = written(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))))
     once = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
-    first = docs.join(odd.filter("not gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    same = docs.join(odd.filter("not gone").select("doc_id"), "doc_id", "left_semi").select("doc_id", row.alias("row"), F.struct(F.col("text"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("at"))
+    first = same.groupBy("doc_id").agg(F.min_by("row", "at").alias("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(first)
 
 
 def query(docs: DataFrame) -> DataFrame:
