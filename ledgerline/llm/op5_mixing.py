@@ -32,6 +32,8 @@ DOCS_A_BLOCK = 64
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SHARDS = 16
+#: A shard has at least so many parts, and one for so many documents of the input over its shards.
+PARTS, DOCS_A_PART = 16, 100_000
 
 
 def words(text: Column) -> Column:
@@ -143,9 +145,11 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHAR
 
 
 def shards(docs: DataFrame, **how) -> DataFrame:
-    """One row for each time the mix takes a document: its own columns, grouped by shard and shuffled within it."""
+    """One row for each time the mix takes a document: its own columns, grouped by shard and shuffled within it. A shard is written in as many parts
+    as its documents need, PARTS at least."""
+    parts = max(PARTS, docs.count() // (how.get("shards", SHARDS) * DOCS_A_PART))
     each = plan(docs, **how).select("row", "mix.order", F.posexplode("mix.shards").alias("copy", "shard")).select("row", "shard", F.xxhash64("order", "copy").alias("at"))
-    return each.repartition(F.col("shard"), F.pmod("at", F.lit(16))).sortWithinPartitions("shard", "at").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return each.repartition(F.col("shard"), F.pmod("at", F.lit(parts))).sortWithinPartitions("shard", "at").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
