@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from ledgerline.llm import op1_mtree, op8_extract
+from ledgerline.llm import op1_mtree, op5_mixing, op6_parity_join, op7_warc, op8_extract
 
 
 def test_vectors_beyond_a_long(spark):
@@ -40,3 +40,29 @@ def test_a_sentence_that_few_pages_quote_stays(spark):
     assert all(("The same quotation here." in got[k]) == (k < 4) for k in got) and not any("Thanks" in t for t in got.values())
     assert got[0] == "Title 0\nOwn words of page 0.\nThe same quotation here.\nMore of 0 to read."
     assert op8_extract.extract([h for *_, h in rows]) == [got[k] for k in range(31)]
+
+
+def test_which_row_of_a_repeated_id_stays(spark):
+    """The least text, whatever the order of the rows; columns and their names come through."""
+    rows = [(7, "beta words", 1, "x"), (7, "alpha words", 2, "y"), (7, "alpha words", 2, "y"), (8, None, 3, "z"), (None, "alpha words", 4, "n"), (None, "alpha words", 5, "n")]
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, row int, at string").repartition(3)
+        got = op6_parity_join.keep_one(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(7, "alpha words", 2, "y"), (8, None, 3, "z"), (None, "alpha words", 4, "n"), (None, "alpha words", 5, "n")], key=str)
+
+
+def test_small_pages_don_t_meet(spark, tmp_path):
+    """Many empty pages and copies of a small one are responses each; copies of a large one are revisits of the largest id."""
+    rows = [(k, None, None) for k in range(40)] + [(100 + k, "u", "small") for k in range(40)] + [(200 + k, "u", "large " * 300) for k in range(5)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in op7_warc.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 85 and {v for k, v in got.items() if k < 200} == {("response", None)} and got[204] == ("response", None) and {got[200 + k] for k in range(4)} == {("revisit", 204)}
+
+
+def test_parts_of_shards_grow(spark, monkeypatch):
+    """With few documents a part there are many parts; the rows are the same."""
+    df = spark.createDataFrame([(k, f"s{k % 3}", "some words here") for k in range(300)], "doc_id long, source string, text string")
+    few = sorted(r.doc_id for r in op5_mixing.shards(df, shards=2).collect())
+    monkeypatch.setattr(op5_mixing, "DOCS_A_PART", 3)
+    many = op5_mixing.shards(df, shards=2)
+    assert sorted(r.doc_id for r in many.collect()) == few and ", 50)" in many._jdf.queryExecution().optimizedPlan().toString()
