@@ -25,7 +25,7 @@ GROUPS: dict[str, tuple[list[dict[str, str]], dict[str, str]]] = {
     "position": ([], {"price_position_252d": position(252, "close", "close"), "price_position_5d": position(5, "low", "high"), "stochastic_k": position(14, "low", "high"), "close_bias_20d": f"{div('close', roll('avg', 'close', 20))} - 1"}),
     "trend": ([], {"trend_strength": f"case when count(close) {frame(20)} = 20 and max(close) {frame(20)} > min(close) {frame(20)} then regr_r2(close, ord) {frame(20)} end"}),
     "liquidity": ([{"am": f"abs(r1) / (volume + {EPS})"}], {"volume_ratio": div("volume", roll("avg", "volume", 20)), "amihud_illiquidity": "am", "amihud_3d": roll("avg", "am", 3), "avg_amount_3d": roll("avg", "amount", 3), "avg_amount_90d": roll("avg", "amount", 90), "amount_shrink_5_60": div(roll("avg", "amount", 5), roll("avg", "amount", 60)), "amount_conc_20d": div(roll("sum", "amount * amount", 20), f"(sum(amount) {frame(20)} * sum(amount) {frame(20)})")}),
-    "turnover": ([{"mv": f"sum(amount) over (partition by code order by date rows between unbounded preceding and current row)"}, {"t1": div(div("amount", "mv"), "10")}, {"t3": roll("avg", "t1", 3)}], {"ln_cap": "case when mv > 0 then ln(mv) end", "turnover_3d": "t3", "turnover_3d_ratio": div("t3", roll("avg", "t3", 20)), "range_efficiency": f"case when t1 > 0 then {div('irange', 't1')} end"}),
+    "turnover": ([{"mv": f"sum(amount) over (partition by code order by date rows between unbounded preceding and current row)"}, {"t1": div(div("amount", "mv"), "10")}, {"t3": roll("avg", "t1", 3)}], {"ln_cap": "case when mv > 0 then ln(mv) end", "turnover_3d": "t3", "turnover_3d_rank": centred_rank("t3"), "turnover_3d_ratio": div("t3", roll("avg", "t3", 20)), "range_efficiency": f"case when t1 > 0 then {div('irange', 't1')} end"}),
     "shadows": ([], {"upper_shadow": "us", "lower_shadow": "ls", "close_pos": "cpos", "open_pos": "opos", "shadow_ratio": f"case when us + ls > 0 then {div('us', 'us + ls')} end", "close_pos_mean_3d": roll("avg", "cpos", 3), "close_pos_mean_20d": roll("avg", "cpos", 20), "close_pos_std_20d": roll("stddev_samp", "cpos", 20), "open_pos_mean_20d": roll("avg", "opos", 20, 10)}),
     "ranks": ([{"r20": f"{div('close', lag('close', 20))} - 1"}], {"return_1d_rank": centred_rank("r1"), "return_20d_rank": centred_rank("r20"), "volume_rank": centred_rank("volume")}),
     "crowding": ([{"hr": centred_rank("high"), "vr": centred_rank("volume"), "sd10": roll("stddev_samp", "high", 10, 10), "hv10": shrunk_corr("high", "volume", 10)}, {"cov5": roll("covar_pop", "hr, vr", 5).replace("count(hr, vr)", "count(hr)")}, {"cov5g": f"case when count(hr) {frame(5)} = 5 then round(cov5, 12) end", "sd10r": "round(sd10, 9)"}], {"high_vol_crowd_5d": f"-({centred_rank('cov5g')})", "high_vol_heat_10d": f"-({centred_rank('sd10r')}) * hv10"}),

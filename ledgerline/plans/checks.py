@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import audits, panel, serving, universe
 from ledgerline.operators.market import Index, index_features
-from ledgerline.plans.catalogue import _scte, _slast, B, query, scored, sup
+from ledgerline.plans.catalogue import _scte, _slast, _SNAP, B, query, r, scored, snapshots, sup
 from ledgerline.plans.serving import _parts
 from ledgerline.plans.upkeep import _D, _GONE, delisted, read, trades, with_st
+from ledgerline.sources import scans
 
 # -- indices ---------------------------------------------------------------------------------------------------------------
 #: Suppliers by nation stand in for what three indices hold; an index's close is the mean of its codes'.
@@ -32,6 +33,10 @@ query("index_family", lambda spark, d: index_features(index_bars(spark, d), _IND
       select a.date, {', '.join(f'round({"asl"[("all", "small", "large").index(_R[i.name])]}.r{n}, 6) + 0.0 as {i.name}_return_{n}d' for i in _INDICES for n in i.returns)}, round(a.v, 6) + 0.0 as broad_volatility_20d, round(s.r20 - l.r20, 6) + 0.0 as size_spread_20d
       from v a left join v s on s.code = 'small' and s.date = a.date left join v l on l.code = 'large' and l.date = a.date where a.code = 'all'""")
 
+# -- labels ----------------------------------------------------------------------------------------------------------------
+query("label_bars", lambda spark, d: scans.label_bars(sup(spark, d), universe.union_codes(snapshots(spark, d), _D("1998-01-01")), _D("1997-06-01"), _D("1995-01-01")),
+      f"with {B}, {_SNAP}, i as (select *, (select min(effective_date) from s t where t.effective_date > s.effective_date) as nx from s) select code, date, {r('open', 'close')} from b where date >= date '1997-06-01' and code in (select code from i where nx is null or nx > date '1998-01-01')")
+
 # -- reports -----------------------------------------------------------------------------------------------------------------
 _ON = "date '1999-06-10'"
 query("excluded_counts", lambda spark, d: universe.excluded_counts(sup(spark, d), with_st(spark, d), delisted(spark, d), _D("1999-06-10")),

@@ -27,6 +27,17 @@ def label_scan(bars: DataFrame, start: Column, end: Column, rows_ahead: int) ->
     return bars.join(F.broadcast(last), (F.col("date") >= start) & (F.col("date") <= F.col("_last"))).select(*KEYS, "open")
 
 
+def label_bars(bars: DataFrame, codes: DataFrame, floor: Column, start: Column | None = None) -> DataFrame:
+    """Opens and closes of the codes from start on, but never from before floor, whatever is asked for."""
+    first = floor if start is None else F.greatest(start, floor)
+    return panel_scan(bars, codes, ["open", "close"], first)
+
+
+def table_or_empty(spark: SparkSession, name: str, schema: T.StructType | str) -> DataFrame:
+    """A table of the catalogue, or, where there is none of the name, no rows: a source that has not come in yet takes nothing out."""
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
+
+
 def market_values(bars: DataFrame, values: DataFrame) -> DataFrame:
     """Bars with total and float market value, NULL where a day has none."""
     return bars.join(values.select(*KEYS, "total_mv", "circ_mv"), KEYS, "left")
