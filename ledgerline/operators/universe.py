@@ -139,7 +139,8 @@ def benchmark(bars: DataFrame, resets: DataFrame, delisted: DataFrame) -> DataFr
 
     bars: code, date, close, is_st; resets: effective_date, code; delisted: code, delist_date. A code enters if its first bar of
     the segment isn't st and has a price, and it isn't delisted by then; without a bar a day it keeps its last close, from its
-    delist date on it is worth 0, and before its first bar it adds nothing. Fewer than two days give no rows.
+    delist date on it is worth 0, and before its first bar it adds nothing. Fewer than two days give no rows; after a worth
+    of 0 a change is NULL.
 
     Bars are sorted once by segment and code; what they say is summed up by date, and everything after that has one row a date."""
     eff = resets.select("effective_date").distinct().withColumn("date", F.col("effective_date"))
@@ -163,7 +164,7 @@ def benchmark(bars: DataFrame, resets: DataFrame, delisted: DataFrame) -> DataFr
     ends = worths.withColumn("_end", F.when(F.col("date") == F.max("date").over(whole), F.col("_nav")))
     every = Window.orderBy("date")  # one row a date
     nav = ends.withColumn("_nav", F.col("_nav") * F.coalesce(F.product("_end").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
-    out = nav.withColumns({"nav": F.col("_nav") / F.first("_nav").over(every), "ret": sdiv(F.col("_nav"), F.lag("_nav").over(every)) - 1, "_rows": F.count(F.lit(1)).over(Window.partitionBy())})
+    out = nav.withColumns({"nav": sdiv(F.col("_nav"), F.first("_nav").over(every)), "ret": sdiv(F.col("_nav"), F.lag("_nav").over(every)) - 1, "_rows": F.count(F.lit(1)).over(Window.partitionBy())})
     return out.filter("_rows > 1").select("date", "nav", "ret")
 
 

@@ -150,7 +150,7 @@ query("benchmark", lambda spark, d: universe.benchmark(with_st(spark, d), snapsh
       day as (select x.eff, x.date, p.code, p.base, (select arg_max(v.close, v.date) from v join x y on y.date = v.date and y.eff = x.eff where v.code = p.code and v.date <= x.date) as last from x join p on p.eff = x.eff),
       nav as (select day.eff, day.date, sum(case when delist_date is null or day.date < delist_date then coalesce(last / base, 0) else 0 end) / any_value(n) as nav from day join cnt using (eff) left join de on de.code = day.code group by all),
       fin as (select eff, arg_max(nav, date) as fin, row_number() over (order by eff) as k from nav group by eff), ch as (select eff, k, fin, 1.0::double as before from fin where k = 1 union all select fin.eff, fin.k, fin.fin, ch.before * ch.fin from ch join fin on fin.k = ch.k + 1)
-      , held as (select date, nav * before as nav from nav join ch using (eff)) select date, round(nav / first_value(nav) over (order by date), 6) + 0.0 as nav, round(nav / lag(nav) over (order by date) - 1, 6) + 0.0 as ret from held""")
+      , held as (select date, nav * before as nav from nav join ch using (eff)) select date, round(nav / nullif(first_value(nav) over (order by date), 0), 6) + 0.0 as nav, round(nav / nullif(lag(nav) over (order by date), 0) - 1, 6) + 0.0 as ret from held""")
 query("excluded_on", lambda spark, d: universe.excluded_on(sup(spark, d), with_st(spark, d), delisted(spark, d), _D("1999-06-10")),
       f"with {B}, {_GONE} select code, case when exists (select 1 from b x where x.code = c.code and x.date = date '1999-06-10' and (x.code + 10) % 13 = 0) then 'st' else 'delisted' end as layer from (select distinct code from b) c where exists (select 1 from b x where x.code = c.code and x.date = date '1999-06-10' and (x.code + 10) % 13 = 0) or code in (select code from de where delist_date <= date '1999-06-10')")
 query("day_report", lambda spark, d: universe.day_report(scored(spark, d), read(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")), read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("code")), _D("2024-01-20"), 0.0, 10),
