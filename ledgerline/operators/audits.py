@@ -123,6 +123,14 @@ def integrity_report(panel: DataFrame, calendar: DataFrame, bars: DataFrame, col
     return found.crossJoin(short).select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"), F.col(v).cast("long").alias("found")) for c, s, v in named))).alias("r")).select("r.*")
 
 
+def coverage(pool: DataFrame, bars: DataFrame, panel: DataFrame, least: float = 0.95) -> DataFrame:
+    """code, due, there: codes of the pool with less than `least` of the rows that they have in bars since the panel's first date; codes without bars are due nothing."""
+    n = lambda rows, to: rows.groupBy("code").agg(F.count(F.lit(1)).alias(to))
+    since = bars.join(panel.agg(F.min("date").alias("_first")), F.col("date") >= F.col("_first"))
+    both = pool.select("code").distinct().join(n(since, "due"), "code", "left").join(n(panel, "there"), "code", "left")
+    return both.select("code", F.coalesce("due", F.lit(0)).alias("due"), F.coalesce("there", F.lit(0)).alias("there")).filter((F.col("due") > 0) & (F.col("there") < least * F.col("due")))
+
+
 # -- leaks of a trained model ----------------------------------------------------------------------------------------------------
 def leak_checks(axis: DataFrame, calendar: DataFrame, predictions: DataFrame, expected: DataFrame, meta: dict, column: str, reach: int, buffer: int, tail: int, test_start: object, test_end: object, crossing: DataFrame | None = None) -> DataFrame:
     """check, ok of a model's record against what its data say. axis: the training table's dates; calendar: all dates, by whose places a label of `reach` dates

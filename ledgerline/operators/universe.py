@@ -133,6 +133,17 @@ def walk_forward(dates: DataFrame, warm_up: int, train_end: Column, start: Colum
     return d.withColumn("_n", n).filter(F.col("_n") >= least).select("date", "part")
 
 
+def walk_forward_rows(rows: DataFrame, excluded: DataFrame, warm_up: int, train_end: Column, start: Column, end: Column, least: int, label: str = "label") -> DataFrame:
+    """rows with part: train before train_end after the warm-up, if labelled and not excluded (code, date); test from start to end, excluded or not and labelled
+    or not. No rows if fewer than `least` distinct dates are left to train on."""
+    axis = date_axis(rows).withColumnRenamed("pos", "_pos")
+    part = F.when((F.col("_pos") >= warm_up) & (F.col("date") < train_end), "train").when((F.col("date") >= start) & (F.col("date") <= end), "test")
+    d = rows.join(axis, "date").withColumn("part", part).filter("part is not null").join(excluded.select("code", "date").distinct().withColumn("_out", F.lit(True)), ["code", "date"], "left")
+    d = d.filter((F.col("part") == "test") | (F.col("_out").isNull() & F.col(label).isNotNull())).drop("_pos", "_out")
+    n = d.filter("part = 'train'").agg(F.count_distinct("date").alias("_n"))
+    return d.crossJoin(n).filter(F.col("_n") >= least).drop("_n")
+
+
 # -- benchmark -------------------------------------------------------------------------------------------------------------
 def benchmark(bars: DataFrame, resets: DataFrame, delisted: DataFrame) -> DataFrame:
     """date, nav of equal weights bought at each reset and held to the next, segments chained, over the first day's; ret, its change from the day before.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import audits, panel, serving, universe
 from ledgerline.operators.market import Index, index_features
-from ledgerline.plans.catalogue import _scte, _slast, _SNAP, B, query, r, scored, snapshots, sup
+from ledgerline.plans.catalogue import _calendar_gaps as calendar_gaps
+from ledgerline.plans.catalogue import _scte, _slast, _SNAP, B, ORACLE_SQL, query, r, scored, snapshots, sup
 from ledgerline.plans.serving import _parts
 from ledgerline.plans.upkeep import _D, _GONE, delisted, read, trades, with_st
 from ledgerline.sources import scans
@@ -33,6 +34,8 @@ query("index_family", lambda spark, d: index_features(index_bars(spark, d), _IND
       select a.date, {', '.join(f'round({"asl"[("all", "small", "large").index(_R[i.name])]}.r{n}, 6) + 0.0 as {i.name}_return_{n}d' for i in _INDICES for n in i.returns)}, round(a.v, 6) + 0.0 as broad_volatility_20d, round(s.r20 - l.r20, 6) + 0.0 as size_spread_20d
       from v a left join v s on s.code = 'small' and s.date = a.date left join v l on l.code = 'large' and l.date = a.date where a.code = 'all'""")
 
+CALENDAR_GAPS = ORACLE_SQL["calendar_gaps_ahead"]
+
 # -- labels ----------------------------------------------------------------------------------------------------------------
 query("label_bars", lambda spark, d: scans.label_bars(sup(spark, d), universe.union_codes(snapshots(spark, d), _D("1998-01-01")), _D("1997-06-01"), _D("1995-01-01")),
       f"with {B}, {_SNAP}, i as (select *, (select min(effective_date) from s t where t.effective_date > s.effective_date) as nx from s) select code, date, {r('open', 'close')} from b where date >= date '1997-06-01' and code in (select code from i where nx is null or nx > date '1998-01-01')")
@@ -73,3 +76,20 @@ query("leak_checks", _leaks,
       union all select 'crossing labels were left out', true union all select 'test period is the record''s', true union all select 'calibration lies in training', (select count(*) from a where date < (select e from e)) > 0
       union all select 'record has the calibration', false union all select 'scores are there', true union all select 'scores lie in the test', (select min(date) >= date '{_FROM}' and max(date) <= date '{_TO}' from p)
       union all select 'scored rows are those expected', not exists (select * from p except select * from w) and not exists (select * from w except select * from p) union all select 'count is the record''s', (select count(*) from p) = 1""")
+
+# -- joins of a panel ----------------------------------------------------------------------------------------------------------
+_THIN = "(day(date) % 20 <> 1 or code % 2 = 0) and date >= date '1996-03-01'"
+query("pool_coverage", lambda spark, d: audits.coverage(read(spark, d, "customer").select(F.col("c_custkey").alias("code")), sup(spark, d), sup(spark, d).filter(_THIN)),
+      f"""with {B}, p as (select * from b where {_THIN.replace('day(date)', 'extract(day from date)')}), k as (select code, count(*) as k from b where date >= (select min(date) from p) group by 1), f as (select code, count(*) as f from p group by 1)
+      select c_custkey as code, k as due, coalesce(f, 0) as there from customer join k on k.code = c_custkey left join f on f.code = c_custkey where coalesce(f, 0) < 0.95 * k""")
+_level = lambda spark, d, least, name, e: sup(spark, d).select("code").distinct().filter(f"code % 7 >= {least}").select("code", F.expr(e).alias(name))
+query("industry_tree", lambda spark, d: scans.with_levels(read(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name")), [_level(spark, d, 0, "vendor", "'v' || code % 9"), _level(spark, d, 1, "level_1", "code % 4"), _level(spark, d, 2, "level_2", "code % 12"), _level(spark, d, 3, "level_3", "code % 36")]),
+      f"with {B}, c as (select distinct code from b) select s_suppkey as code, s_name as name, 'v' || (c.code % 9) as vendor, case when c.code % 7 >= 1 then c.code % 4 end as level_1, case when c.code % 7 >= 2 then c.code % 12 end as level_2, case when c.code % 7 >= 3 then c.code % 36 end as level_3 from supplier left join c on c.code = s_suppkey")
+query("trading_bars", lambda spark, d: scans.trading_bars(sup(spark, d), with_st(spark, d).filter("is_st = 1 or day(date) % 2 = 0"), sup(spark, d).filter("code % 3 > 0").select("code"), _D("1997-01-01"), _D("1998-12-31")).select("code", "date", "open", "close", "is_st"),
+      f"with {B} select code, date, {r('open', 'close')}, cast((code + extract(day from date)) % 13 = 0 as bigint) as is_st from b where code % 3 > 0 and date between date '1997-01-01' and date '1998-12-31' and open > 0")
+_labelled = lambda spark, d: sup(spark, d).select("code", "date", F.expr("case when volume > 10 then close end").alias("label"))
+query("walk_forward_rows", lambda spark, d: universe.walk_forward_rows(_labelled(spark, d), with_st(spark, d).filter("is_st = 1"), 90, _D("1998-01-01"), _D("1998-02-01"), _D("1998-12-31"), 252),
+      f"""with {B}, c as (select date, row_number() over (order by date) - 1 as k from (select distinct date from b)), x as (select code, b.date, case when volume > 10 then close end as label, (code + extract(day from b.date)) % 13 = 0 as st, case when k >= 90 and b.date < date '1998-01-01' then 'train' when b.date between date '1998-02-01' and date '1998-12-31' then 'test' end as part from b join c using (date)),
+      y as (select * from x where part = 'test' or (part = 'train' and not st and label is not null)) select code, date, round(label, 6) + 0.0 as label, part from y where (select count(distinct date) from y where part = 'train') >= 252""")
+query("calendar_features", lambda spark, d: sup(spark, d).select("code", "date").join(calendar_gaps(spark, d), "date", "left").select("code", "date", "days_to_next_trading", "days_to_delivery"),
+      f"with {B}, g as ({CALENDAR_GAPS}) select b.code, b.date, days_to_next_trading, days_to_delivery from b left join g on g.date = b.date")

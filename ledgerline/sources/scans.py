@@ -27,6 +27,23 @@ def label_scan(bars: DataFrame, start: Column, end: Column, rows_ahead: int) ->
     return bars.join(F.broadcast(last), (F.col("date") >= start) & (F.col("date") <= F.col("_last"))).select(*KEYS, "open")
 
 
+def trading_bars(bars: DataFrame, flags: DataFrame, codes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Bars of the codes with a price to open at, from start to end, with is_st of the same day, 0 where no flag says otherwise. Dealt by code, so that what
+    follows a code needs no further exchange."""
+    own = panel_scan(bars, codes, [c for c in bars.columns if c not in KEYS], start, end).filter("open > 0")
+    joined = own.join(flags.select(*KEYS, "is_st"), KEYS, "left").withColumn("is_st", F.coalesce(F.col("is_st").cast("int"), F.lit(0)))
+    return joined.repartition("code").sortWithinPartitions(*KEYS)
+
+
+def with_levels(rows: DataFrame, levels: list[DataFrame], key: str = "code") -> DataFrame:
+    """rows with the columns of each level by the key, NULL where a level lacks it. A level that names a key twice would double rows; it raises."""
+    from ledgerline.sources.layout import unique
+
+    for level in levels:
+        rows = rows.join(unique(level, [key]), key, "left")
+    return rows
+
+
 def label_bars(bars: DataFrame, codes: DataFrame, floor: Column, start: Column | None = None) -> DataFrame:
     """Opens and closes of the codes from start on, but never from before floor, whatever is asked for."""
     first = floor if start is None else F.greatest(start, floor)
