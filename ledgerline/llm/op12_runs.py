@@ -111,7 +111,10 @@ def collapse(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
 
 
 def with_runs(docs: DataFrame, text_col: str = "text", name: str = "found", min_words: int = MIN_WORDS, exponent: int = MIN_EXPONENT) -> DataFrame:
-    """All columns and one more, a struct: n_words, runs (start, length, period), collapsed (the text without repeats)."""
+    """All columns and one more, a struct: n_words, runs (start, length, period), collapsed (the text without repeats). A name that
+    docs has already raises."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name}")
 
     def make(texts: pa.Array) -> pa.Array:
         made = []

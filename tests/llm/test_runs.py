@@ -89,6 +89,8 @@ def test_odd_rows(spark):
     assert op12_runs.query(df.limit(0)).count() == 0
     whole = op12_runs.with_runs(df, name="_found")
     assert whole.columns == [*df.columns, "_found"] and whole.count() == 6
+    with pytest.raises(ValueError):
+        op12_runs.with_runs(df)
 
 
 def test_sql(spark):
