@@ -118,3 +118,18 @@ def test_no_score_knows_its_own_time(rows, monkeypatch):
     out_of_fold(rows, ["a"], "y", first=20, every=10, buffer=3, least=100, frozen_from=DAY + dt.timedelta(35)).count()
     assert saw == [DAY + dt.timedelta(d) for d in (16, 26, 31)]
     assert out_of_fold(rows, ["a"], "y", first=20, every=10, least=10**9).count() == 0
+
+
+def test_queries_of_models(spark):
+    """Every bar from the 960th date on has a score of the expanding walk, and every bar of the half year one of the live model, with one zero."""
+    from ledgerline.plans import models
+
+    sf = "/root/testdata/sf0.001"
+    bars = models.featured(spark, sf).cache()
+    dates = sorted(r.date for r in bars.select("date").distinct().collect())
+    walk = models.QUERIES["boosted_out_of_fold"](spark, sf).collect()
+    assert {(r.code, r.date) for r in walk} == {(r.code, r.date) for r in bars.filter(F.col("date") >= F.lit(dates[960])).collect()} and all(r.gb_gap_1d is not None for r in walk)
+    live = models.QUERIES["boosted_scores"](spark, sf).collect()
+    assert len(live) == bars.filter("date between date '2000-01-01' and date '2000-06-30'").count() and len({r.zero for r in live}) == 1 and all(r.score is not None for r in live)
+    chosen = models.QUERIES["selected_features"](spark, sf).orderBy("rank").collect()
+    assert [r["rank"] for r in chosen] == list(range(1, len(chosen) + 1)) and len({r.cluster for r in chosen}) == len(chosen) and abs(chosen[0].ic) >= abs(chosen[-1].ic)
