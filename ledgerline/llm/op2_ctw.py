@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -362,6 +363,15 @@ def _score(total: int, distinct: int, ends: np.ndarray):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sum of its blocks' counts at ends of texts and of tokens."""
+    total = np.zeros(512, np.int64)
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            total += _unpack(raw, "<i8").ravel()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(512)), pa.array(total)], names=["at", "n"])
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: counts, the unigram base and the model's log10 probability of the text, its end included."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
@@ -370,9 +380,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shards = math.ceil(SHARDS_A_ROOT * math.sqrt(blocks))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     sent = cut(dealt.groupBy("block").applyInArrow(_send(shards), _SENT))
-    ends = np.zeros((2, 256), np.int64)
-    for r in sent.filter("kind = 'end'").select("counts").toLocalIterator():
-        ends += _unpack(bytes(r[0]), "<i8").reshape(2, 256)
+    ends = np.zeros(512, np.int64)
+    for r in sent.filter("kind = 'end'").select("counts").mapInArrow(_summed, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 512 rows at any size
+        ends[r["at"]] = r["n"]
+    ends = ends.reshape(2, 256)
     asked = sent.filter("kind <> 'end'")
     up = asked.groupBy("kind", "shard").applyInArrow(upward, _UP).groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(8))).toPandas()
     words = up[up["key"] == -1]
