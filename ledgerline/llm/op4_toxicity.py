@@ -84,11 +84,15 @@ class Logistic:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, near: Logistic | None = None) -> Logistic:
         """near: a model to start from."""
+        return cls.fit_in_place(np.hstack([x, np.ones((len(x), 1))]), y, near)
+
+    @classmethod
+    def fit_in_place(cls, a: np.ndarray, y: np.ndarray, near: Logistic | None = None) -> Logistic:
+        """a: the rows with a last column of ones, of which no copy is made."""
         share = float(y.mean()) if len(y) else 0.0
         if not 0 < share < 1:
-            return cls(np.zeros(x.shape[1]), 40.0 if share else -40.0)
-        a = np.hstack([x, np.ones((len(x), 1))])
-        w = np.append(near.weights, near.bias) if near else np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
+            return cls(np.zeros(a.shape[1] - 1), 40.0 if share else -40.0)
+        w = np.append(near.weights, near.bias) if near else np.append(np.zeros(a.shape[1] - 1), np.log(share / (1 - share)))
         ridge = np.full(a.shape[1], RIDGE)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -124,9 +128,9 @@ class Chain:
     def fit(cls, categories: tuple[str, ...], vocabulary: dict[str, int], of_fold: list[list[int]], present: list[list[int]], labels: np.ndarray, folds: np.ndarray) -> Chain:
         """vocabulary: the features of the chain, numbered from 0; of_fold: for each fold the numbers of the features chosen
         without it, which present numbers as well; labels: NaN where a document has none for the category."""
-        x = np.zeros((len(present), 1 + max([len(vocabulary) - 1, *(i for own in of_fold for i in own), *(i for p in present for i in p)], default=-1)))
+        x = np.zeros((len(present), 1 + max([len(vocabulary) - 1, *(i for own in of_fold for i in own), *(i for p in present for i in p)], default=-1)), np.uint8)
         for i, p in enumerate(present):
-            x[i, p] = 1.0
+            x[i, p] = 1
         earlier, models, every = np.zeros((len(x), 0)), [], list(range(len(vocabulary)))
         for j in range(len(categories)):
             y = labels[:, j]
@@ -153,10 +157,13 @@ def _fit_alike(x: np.ndarray, columns: list[int], earlier: np.ndarray, y: np.nda
         group, root = group.reshape(-1), np.sqrt(alike)
     else:
         first, group, root = np.zeros(0, int), np.zeros(0, int), np.ones(0)
-    a = np.hstack([own[:, first] * root, earlier])
+    a = np.ones((int(use.sum()), len(first) + earlier.shape[1] + 1))
+    np.multiply(own[np.ix_(use, first)], root, out=a[:, : len(first)])
+    a[:, len(first) : -1] = earlier[use]
+    del own
     if near:
         near = Logistic(np.append(np.bincount(group, near.weights[: len(columns)], len(first)) / root, near.weights[len(columns) :]), near.bias)
-    m = Logistic.fit(a[use], y[use], near)
+    m = Logistic.fit_in_place(a, y[use], near)
     return Logistic(np.append((m.weights[: len(first)] / root)[group], m.weights[len(first) :]), m.bias)
 
 
