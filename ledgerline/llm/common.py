@@ -76,6 +76,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, n)
 
 
+def released() -> None:
+    """Gives what a task has freed back to the system; workers live on, and an executor has several."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[..., pa.Array], needs: list[str], end: Callable[[], None] | None = None) -> DataFrame:
     """All columns and one more, made for each Arrow batch from the columns in needs; end() frees what make keeps in a task."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
@@ -87,6 +100,7 @@ def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, make: Callable
         finally:  # workers live on, with later stages in them
             if end:
                 end()
+            released()
 
     return df.mapInArrow(run, schema)
 
