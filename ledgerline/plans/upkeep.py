@@ -86,7 +86,7 @@ query("stale_cells", lambda spark, d: audits.stale_cells(sup(spark, d).select("c
 drifted = lambda spark, d: sup(spark, d).selectExpr("code", "date", "case when code % 11 = 0 then close * (1 + day(date) * 1e-5D) else close end as close", "case when month(date) = 3 and code % 3 = 0 then null else volume end as volume", "amount * 2 as amount_rank")
 query("staleness_audit", lambda spark, d: audits.staleness_audit(sup(spark, d).selectExpr("code", "date", "close", "volume", "amount as amount_rank"), drifted(spark, d), sup(spark, d).filter("date >= date '1997-03-04' and code % 4 > 0").select("code", "date"), ["close", "volume", "amount_rank"], 25),
       f"""with {B}, e as (select distinct date from b where date >= (select min(date) from b where date >= date '1997-03-04' and code % 4 > 0)), n as (select date, row_number() over (order by date) - 1 as k, count(*) over () as n from e), s as (select date from n where k % greatest(1, n // 25) = 0 and k < greatest(1, n // 25) * 25),
-      c as (select code, date, code % 11 = 0 and close * extract(day from date) * 1e-5 > 1e-12 + 1e-4 * close as c, extract(month from date) = 3 and code % 3 = 0 as v from b where date in (select date from s) and code % 4 > 0 and date >= date '1997-03-04')
+      c as (select code, date, code % 11 = 0 and abs(close - close * (1 + extract(day from date) * 1e-5)) > 1e-12 + 1e-4 * abs(close) as c, extract(month from date) = 3 and code % 3 = 0 as v from b where date in (select date from s) and code % 4 > 0 and date >= date '1997-03-04')
       select date, count(*) as rows, count(*) filter (where c or v) as drifted_rows, count(distinct case when c or v then code end) as drifted_codes, count(*) filter (where c) as drifted_close, count(*) filter (where v) as drifted_volume from c group by date""")
 # a panel without every 13th, with few rows on its last day, a column that ends in 1998 and one that is never there
 _PANEL = "day(date) <> 13 and (code % 9 > 0 or day(date) > 20) and code % 17 > 0 and (date < date '2001-10-30' or code % 2 = 0)"
