@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.panel import rank_ic
+from ledgerline.functions.exprs import dealt, sdiv
+from ledgerline.operators.panel import LEAST, average_rank
 
 
 def correlations(rows: DataFrame, features: list[str], block: int = 4096) -> DataFrame:
@@ -83,23 +84,26 @@ def linkage(distance: np.ndarray, at_most: float) -> list[int]:
     return up
 
 
-def mean_ic(rows: DataFrame, features: list[str], label: str) -> dict[str, float]:
-    """Each feature's mean rank correlation with the label over dates; 0 where it has none."""
-    one = lambda f: rank_ic(rows.select("date", F.col(f).cast("double").alias("_f"), F.col(label).alias("_l")).filter(~F.isnan("_f")), "_f", "_l").agg(F.lit(f).alias("feature"), F.avg("ic").alias("ic"))
-    every = one(features[0])
-    for f in features[1:]:
-        every = every.union(one(f))
-    return {r.feature: r.ic or 0.0 for r in every.collect()}  # one row a feature
+def mean_ic(rows: DataFrame, features: list[str], label: str, parts: int | None = None) -> dict[str, float]:
+    """Each feature's mean rank correlation with the label over dates, as rank_ic has it; 0 where it has none. Rows are dealt by date once, for all features."""
+    narrow = dealt(rows.select("date", F.col(label).alias("_l"), *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features))), "date", parts)
+    both = lambda i, c: F.when(F.col("_l").isNotNull() & ~F.isnan(f"_f{i}"), F.col(c))
+    pairs = narrow.select("date", *(both(i, f"_f{i}").alias(f"_x{i}") for i in range(len(features))), *(both(i, "_l").alias(f"_y{i}") for i in range(len(features))))
+    pairs = pairs.withColumns({f"_y{i}": F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_y{i}")) for i in range(len(features))})
+    ranked = pairs.select("date", *(average_rank(f"_{k}{i}", "date").alias(f"_{k}{i}") for i in range(len(features)) for k in "xy"))
+    ic = lambda i: F.when(F.count(f"_x{i}") >= LEAST, sdiv(F.covar_pop(f"_x{i}", f"_y{i}"), F.stddev_pop(f"_x{i}") * F.stddev_pop(f"_y{i}")))
+    found = ranked.groupBy("date").agg(*(ic(i).alias(f"_{i}") for i in range(len(features)))).agg(*(F.avg(f"_{i}") for i in range(len(features)))).first()
+    return {f: v or 0.0 for f, v in zip(features, found)}
 
 
-def select(rows: DataFrame, features: list[str], label: str, alike: float = 0.7, most: int = 60) -> DataFrame:
+def select(rows: DataFrame, features: list[str], label: str, alike: float = 0.7, most: int = 60, parts: int | None = None) -> DataFrame:
     """feature, cluster (its first feature), ic, rank: the feature of the largest |mean IC| of each cluster of features that correlate by `alike` or more in the
     mean, the `most` best of them. Ties go to the earlier feature; a pair without a correlation counts as 0."""
     at = {f: i for i, f in enumerate(features)}
     distance = np.ones((len(features), len(features)))
     for r in correlations(rows, features).collect():  # one row a pair of features
         distance[at[r.a], at[r.b]] = distance[at[r.b], at[r.a]] = 1 - abs(r["corr"] or 0.0)
-    cluster, ic = linkage(distance, 1 - alike + 1e-12), mean_ic(rows, features, label)
+    cluster, ic = linkage(distance, 1 - alike + 1e-12), mean_ic(rows, features, label, parts)
     best: dict[int, str] = {}
     for f in features:
         k = cluster[at[f]]
