@@ -65,7 +65,9 @@ class ParquetTransport(Transport):
             wanted += [ds.field(at) >= edge(first), ds.field(at) < edge(last + DAY)]
         if key is not None:
             wanted.append(ds.field(self.options["by"]) == key)
-        return rows.to_table(filter=None if not wanted else list(itertools.accumulate(wanted, lambda a, b: a & b))[-1])
+        # batch by batch, none read ahead: what is held is what the call asks for, not the file
+        batches = rows.to_batches(filter=None if not wanted else list(itertools.accumulate(wanted, lambda a, b: a & b))[-1], batch_size=65_536, batch_readahead=0, fragment_readahead=0, use_threads=False, fragment_scan_options=ds.ParquetFragmentScanOptions(pre_buffer=False, use_buffered_stream=True))
+        return pa.Table.from_batches((b for b in batches if b.num_rows), rows.schema)
 
     def days(self, feed: str) -> tuple[dt.date, dt.date] | None:
         """From the statistics in the files' footers; no row is read."""
