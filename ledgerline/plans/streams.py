@@ -100,15 +100,16 @@ _BARS = "code long, date date, close double"
 
 
 def _again(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier bars come in as two files, those of the last year second; what the stream has computed is the whole table."""
+    """Supplier bars come in as two batches of files, those of the last year second, when the stream goes on from its checkpoint; what it has computed is the
+    whole table."""
     folder = _folder(spark)
     rows = sup(spark, d).select("code", "date", "close")
-    for k, part in enumerate(("date < date '2001-01-01'", "date >= date '2001-01-01'")):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k}")
     schema = rows.schema
     history, out = (Table(spark, f"{folder}/{n}", s, ["code", "date"], "date", []) for n, s in (("history", schema), ("out", staged_schema(spark))))
-    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
-    recompute_stream(changes, history, out, 260, _AGAIN, ["return_5d", "mean_20d"], f"{folder}/log").awaitTermination()
+    for k, part in enumerate(("date < date '2001-01-01'", "date >= date '2001-01-01'")):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in/part={k}")
+        changes = spark.readStream.schema(schema).parquet(f"{folder}/in/part=*")
+        recompute_stream(changes, history, out, 260, _AGAIN, ["return_5d", "mean_20d"], f"{folder}/log").awaitTermination()
     return out.read().drop(MONTH)
 
 
