@@ -45,6 +45,14 @@ def test_tasks_hold_no_more_rows_of_larger_tables(spark, lines, monkeypatch):
     assert catalogue.sup(spark, lines).rdd.getNumPartitions() == 36
 
 
+def test_tasks_are_dealt_by_rows_before_a_table_has_more_shares_than_spark_partitions(spark, lines, monkeypatch):
+    monkeypatch.setattr(bars, "ROWS_A_TASK", 1000)
+    assert bars.parts(spark, lines) == 8
+    ranks = staged(catalogue.sup(spark, lines), factors.stages_of("ranks"), bars.parts(spark, lines)).select("code", "date", "volume_rank")
+    ranks.collect()
+    assert ranks.rdd.getNumPartitions() == 8
+
+
 def test_ranks_leave_out_what_has_no_value(spark):
     rows = [(c, DAY, 1.0, 2.0, 0.0, close, 1.0, 1.0) for c, close in enumerate([0.0, 1.0, 2.0, 2.0])]
     got = staged(spark.createDataFrame(rows, BARS), catalogue._simple(catalogue.mean_rank)).select("code", "alpha_033").collect()
