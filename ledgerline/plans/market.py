@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.exprs import div, frame
+from ledgerline.functions.exprs import dealt, div, frame
 from ledgerline.operators import panel, universe
 from ledgerline.operators.asof import asof
 from ledgerline.operators.codewise import Rolling, cost_distribution, cost_factors, entropy_of, euclidean, rolling
 from ledgerline.plans.catalogue import B, calendar, query, r, snapshots, sup, usr
 from ledgerline.plans.catalogue import _CAL, _SNAP, U
 from ledgerline.plans.upkeep import _LISTED, listings, read
+from ledgerline.sources import bars
 
 # -- costs -----------------------------------------------------------------------------------------------------------------
 _TURN = "volume / (volume + 37.3D + code % 7)"
@@ -39,13 +40,16 @@ query("rolling_orders", lambda spark, d: rolling(sup(spark, d).select("code", "d
 def _moments(spark: SparkSession, d: str) -> DataFrame:
     """Excess kurtosis of the volume over 60 rows, entropy of how often the bar opened higher, alike or lower over 60 rows, and how far a bar is from the
     middle of its day in three measures."""
-    w, day = panel.over(60), Window.partitionBy("date")
+    w, day, so_far = panel.over(60), Window.partitionBy("date"), panel.by_code().rowsBetween(Window.unboundedPreceding, 0)
     gap = F.col("open") / F.lag("close").over(panel.by_code()) - 1
+    counted = {"n": F.col("gap").isNotNull(), "up": F.col("gap") > 0.05, "down": F.col("gap") < -0.05, "same": F.abs("gap") <= 0.05}
     b = sup(spark, d).withColumns({"gap": gap, "range": F.expr(div("high - low", "close"))})
-    share = lambda c: F.when(F.count("gap").over(w) == 60, F.avg(F.when(F.col("gap").isNotNull(), F.when(c, 1.0).otherwise(0.0))).over(w))
+    b = b.withColumns({k: F.count(F.when(c, 1)).over(so_far) for k, c in counted.items()})
+    b = b.withColumns({k: F.col(k) - F.coalesce(F.lag(k, 60).over(panel.by_code()), F.lit(0)) for k in counted})  # whole numbers: exact
+    b = b.withColumn("ts_kurt_60", F.when(F.count("volume").over(w) == 60, F.round(F.kurtosis("volume").over(w), 3)))
     z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(day), F.stddev_samp(c).over(day))
-    s = b.withColumns({"up": share(F.col("gap") > 0.05), "down": share(F.col("gap") < -0.05), "same": share(F.abs("gap") <= 0.05)})
-    return s.select("code", "date", F.when(F.count("volume").over(w) == 60, F.round(F.kurtosis("volume").over(w), 3)).alias("ts_kurt_60"), entropy_of([F.col(c) for c in ("up", "same", "down")]).alias("gap_entropy_60"), (-euclidean([z("volume"), z("close"), z("range")])).alias("normality"))
+    s = dealt(b.select("code", "date", "volume", "close", "range", "ts_kurt_60", *(F.when(F.col("n") == 60, F.col(k) / 60).alias(k) for k in ("up", "same", "down"))), "date", bars.parts(spark, d))
+    return s.select("code", "date", "ts_kurt_60", entropy_of([F.col(c) for c in ("up", "same", "down")]).alias("gap_entropy_60"), (-euclidean([z("volume"), z("close"), z("range")])).alias("normality"))
 
 
 _K = "avg(pow(volume, {0})) over w"
