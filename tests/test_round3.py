@@ -7,11 +7,12 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 from ledgerline.functions.exprs import staged
 from ledgerline.operators import alphas, factors, panel
-from ledgerline.plans import catalogue, upkeep  # noqa: F401 - registers its queries
+from ledgerline.plans import catalogue, market, upkeep  # noqa: F401 - registers its queries
 from ledgerline.sources import bars
 
 DAY = dt.date(2000, 7, 10)
@@ -53,6 +54,43 @@ def test_tasks_are_dealt_by_rows_before_a_table_has_more_shares_than_spark_parti
     assert ranks.rdd.getNumPartitions() == 8
 
 
+def longest(stages):
+    """The longest frame of rows that ends at its row and has a start."""
+    return max(int(n) for n in re.findall(r"between (\d+) preceding", str(stages)))
+
+
+def test_long_windows_of_formulas_go_by_blocks(spark):
+    s = alphas.Sheet(True)
+    names = [s.corr(s.open, s.close, 200).sql, s.sum(s.close, 250).sql, s.low_of(s.close, 100).sql, s.mean(s.close, 81).sql]
+    assert longest(s.stages) < 30
+    draw = np.random.default_rng(3)
+    x, y = draw.normal(100, 5, 700).cumsum(), draw.normal(100, 5, 700)
+    x[300:560] = 7.0
+    rows = [(1, DAY + dt.timedelta(k), float(x[k]), 0.0, 0.0, None if k == 20 else float(y[k]), 1.0, 1.0) for k in range(700)]
+    got = staged(spark.createDataFrame(rows, BARS), s.stages).orderBy("date").select(*names).collect()
+    for k in range(700):
+        full = lambda n: k - n >= 20 or n - 1 <= k < 20  # noqa: B023, E731
+        u, v = x[k - 199 : k + 1], y[k - 199 : k + 1]
+        want = [np.corrcoef(u, v)[0, 1] if full(200) and u.min() < u.max() else None, y[k - 249 : k + 1].sum() if full(250) else None, y[k - 99 : k + 1].min() if full(100) else None, y[k - 80 : k + 1].mean() if full(81) else None]
+        assert [g is None for g in got[k]] == [w is None for w in want]
+        assert all(g is None or abs(g - w) < 1e-9 * max(1, abs(w)) for g, w in zip(got[k], want, strict=True))
+
+
+def test_the_position_in_a_year_goes_by_blocks(spark):
+    assert longest(factors.stages_of("position")) < 30
+    x = np.random.default_rng(4).normal(100, 5, 600)
+    rows = [(1, DAY + dt.timedelta(k), 1.0, 2.0, 0.0, float(x[k]), 1.0, 1.0) for k in range(600)]
+    got = staged(spark.createDataFrame(rows, BARS), factors.stages_of("position")).orderBy("date").select("price_position_252d").collect()
+    for k, (g,) in enumerate(got):
+        w = x[max(0, k - 251) : k + 1]
+        assert abs(g - (x[k] - w.min()) / (w.max() - w.min() + 1e-10)) < 1e-12
+
+
+def test_shares_of_gaps_are_differences_of_counts(spark, lines):
+    plan = market._moments(spark, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RowFrame, -59,") <= 2
+
+
 def test_ranks_leave_out_what_has_no_value(spark):
     rows = [(c, DAY, 1.0, 2.0, 0.0, close, 1.0, 1.0) for c, close in enumerate([0.0, 1.0, 2.0, 2.0])]
     got = staged(spark.createDataFrame(rows, BARS), catalogue._simple(catalogue.mean_rank)).select("code", "alpha_033").collect()
