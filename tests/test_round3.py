@@ -127,3 +127,9 @@ def test_a_call_holds_what_it_asks_for(tmp_path):
     code = f"import datetime as dt, pyarrow as pa; from ledgerline.sources.feeds import ParquetTransport as P; r = P({{'path': {d!r}, 'at': 'at', 'feed': 'rows'}}).fetch('rows', None, dt.date(2000, 1, 3), dt.date(2000, 1, 3)); print(len(r), pa.default_memory_pool().max_memory())"
     n, most = map(int, subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split())
     assert n == 1500 and most < 40_000_000
+
+
+def test_the_queries_are_read_in_no_time():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    read = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True, check=True, timeout=60)
+    assert int(read.stdout) > 100
