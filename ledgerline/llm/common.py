@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, n)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends its rows to Python workers 4 MB at a time; as Spark has it, an executor and its workers hold 10,000 rows or 64 MB for each core."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+
+
 def released() -> None:
     """Gives what a task has freed back to the system; workers live on, and an executor has several."""
     import ctypes

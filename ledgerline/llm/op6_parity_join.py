@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, written
+from .common import cut, released, slices, small_batches, written
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -144,6 +144,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_SET.names)
         _words.clear()  # workers live on, with later stages in them
+        met.clear()
+        released()
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, _SET)
 
@@ -218,6 +220,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             b = b.filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
         _words.clear()
+        released()
 
     return texts.select("id", "text", slot.alias("slot")).mapInArrow(digests, "id long, set binary")
 
@@ -226,6 +229,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         found = [np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s, SKETCH_BITS).tobytes() for s in found], pa.binary())], names=["id", "n", "sketch"])
+    released()
 
 
 def within_reach(g: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -246,7 +250,8 @@ def within_reach(g: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
-    every = written(sets(docs, id_col, text_col, words, percent))
+    with small_batches(docs.sparkSession):
+        every = written(sets(docs, id_col, text_col, words, percent))
     classes = every.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("low", "high").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     classes = written(classes)
 
@@ -254,6 +259,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in slices(batches):
             keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys]).astype(np.int64))], names=["key", "id"])
+        released()
 
     # classes go by half of their digest here; should two agree in it, they share a cluster
     keyed = every.filter(F.octet_length("keys") > 0).select("low", "keys").mapInArrow(unpack, "key long, id long")
@@ -273,11 +279,15 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = [np.frombuffer(s, np.uint64) for s in g["set"]]
         sides = g["side"].to_numpy() if "side" in g else None
         links = connect(g["id"].tolist(), found, g["part"].tolist(), sides, percent)
+        if len(g) > BLOCK // 4:  # not after each of many small groups
+            del found, g
+            released()
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     placed = blocks.select("id", "component", F.explode("ats").alias("at"))
     first = sets_of(texts, blocks, words).join(placed, "id").withColumn("part", F.col("id")).groupBy("component", "at").applyInPandas(work, task)
-    links = cut(first)
+    with small_batches(docs.sparkSession):
+        links = cut(first)
     # clusters of several blocks that are still in parts: all pairs of blocks, by sketches of one size, then by the sets of those within reach
     parted = blocks.filter("blocks > 1")
     if parted.take(1):
@@ -286,7 +296,8 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         open_ = state.groupBy("component").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("component")
         state = written(state.join(open_, "component", "left_semi"))
         if state.take(1):
-            own = written(sets_of(texts, state, words).join(state.select("id"), "id", "left_semi"))
+            with small_batches(docs.sparkSession):
+                own = written(sets_of(texts, state, words).join(state.select("id"), "id", "left_semi"))
             mine, other = F.col("block"), F.col("o")
             pairs = state.join(own.mapInArrow(_sketched, "id long, n long, sketch binary"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(mine != other)
             pairs = pairs.select("id", "n", "sketch", "component", "part", F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"), F.col("block").alias("side"))

@@ -133,3 +133,26 @@ def test_the_queries_are_read_in_no_time():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     read = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True, check=True, timeout=60)
     assert int(read.stdout) > 100
+
+
+def test_python_workers_get_small_batches_of_texts(spark, monkeypatch):
+    from ledgerline.llm import op6_parity_join as join
+
+    sizes, made = [], join.sets
+
+    def counted(docs, *more):
+        def run(batches):
+            for b in batches:
+                yield b.from_arrays([[b.nbytes]], names=["n"])
+
+        out = made(docs, *more)
+        sizes.extend(r.n for r in docs.select("text").mapInArrow(run, "n long").collect())
+        return out
+
+    monkeypatch.setattr(join, "sets", counted)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "concat(repeat(concat(id, ' ', id + 1, ' '), 100), id) as text")
+    assert join.linked_documents(docs).count() == 9000
+    assert sum(sizes) > 8_000_000 and max(sizes) < 5_000_000
+    assert spark.conf.get(key) == was
