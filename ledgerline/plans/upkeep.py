@@ -190,7 +190,7 @@ query("xs_more", lambda spark, d: usr(spark, d).withColumn("g", F.col("code") %
 query("xs_skew", lambda spark, d: usr(spark, d).groupBy("date").agg(F.skewness("close").alias("cs_skew"), F.count(F.lit(1)).alias("n")).filter("n >= 3").select("date", "cs_skew"),
       f"with {U}, m as (select date, close - avg(close) over (partition by date) as x from b) select date, round(avg(x * x * x) / pow(avg(x * x), 1.5), 6) + 0.0 as cs_skew from m group by 1 having count(*) >= 3")
 trades = lambda spark, d: read(spark, d, "events").filter("event_type in ('purchase', 'error')").selectExpr("user_id as code", "ts as at", "to_date(ts) as date", "case when event_type = 'purchase' then 'BUY' else 'SELL' end as action", "event_id % 5 + 1 as shares", "value as price").drop("at")
-query("fifo_trips", lambda spark, d: panel.fifo_trips(trades(spark, d)),
+query("fifo_trips", lambda spark, d: panel.fifo_trips(trades(spark, d), endless=True),
       """with t as (select user_id as code, cast(ts as date) as date, event_type = 'purchase' as buy, event_id % 5 + 1 as shares, value as price from events where event_type in ('purchase', 'error')),
       h as (select *, sum(shares) over (partition by code, buy order by date, price, shares rows unbounded preceding) as hi from t)
       select b.code, b.date as bought, s.date as sold, cast(least(b.hi, s.hi) - greatest(b.hi - b.shares, s.hi - s.shares) as bigint) as shares, date_diff('day', b.date, s.date) as days, round(s.price / b.price - 1, 6) + 0.0 as trip_return
