@@ -8,9 +8,10 @@ shingles in each of d + 1 + s words, which a hash deals the shingles to: equal s
 two sketches, and each shingle that is in one set only changes one word, so linked sets agree in s + 1 words at least
 (pigeonhole). So each sketch may leave out its s words of the fewest shingles, which say least (all ties stay in): as
 agreeing words have equally many, linked sets still share one. Where d is small, the same holds for pairs of words, of
-which linked sets share (s + 1) s / 2. Documents that share a word, directly or through others, form a cluster, which
-holds all possible links of its members; within it, pairs are tried by bit sketches, where each shingle flips one bit, so that the Hamming distance is at most the symmetric
-difference; pairs within reach are verified by their sets until what is linked is connected.
+which linked sets share (s + 1) s / 2. Pairs of documents that share a word are tried by bit sketches, where each shingle flips one bit, so that the Hamming distance is at most
+the symmetric difference; what is within reach, directly or through others, forms a cluster, which holds all possible links of its members. (Without the sketches, words that unlike documents
+share would tie ever more of a growing corpus into one cluster.) Several words of the same documents are tried once, and words of more than GROUP documents not at all: these are of one cluster.
+Within it, pairs are tried by longer sketches; pairs within reach are verified by their sets until what is linked is connected.
 
 Clusters are worked on in blocks of BLOCK documents, each with the cluster's same few hub documents; only where that
 leaves a cluster in several parts are pairs of blocks compared, all of them: first by sketches of SKETCH_BITS, then by the
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,8 @@ FILTER_BITS = 1 << 23
 SKETCH_BITS = 1024
 #: Up to this d, keys are of pairs of sketch words.
 PAIRED = 10
+#: Documents of a key that are tried by sketches.
+GROUP = 8192
 
 _words: dict[bytes, int] = {}
 
@@ -118,11 +121,16 @@ def parity(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
-_SET = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("keys", T.BinaryType())])
+def fitting(n: int) -> int:
+    """Bits of a sketch of n shingles that tell it from others: unlike sets differ in about half of them, linked ones in a quarter of n at most."""
+    return 1 << min(13, max(7, (n - 1).bit_length()))
+
+
+_SET = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, n, two halves of a digest of the set, and its sketch keys, left out where the task remembers the set."""
+    """id, n, two halves of a digest of the set, and its sketch keys and sketch of fitting bits, left out where the task remembers the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -136,13 +144,13 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
                 s = shingles(text, n)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 low, high = np.frombuffer(digest, np.int64).tolist()
-                keys = None
+                keys = sketch = None
                 if len(s) and i is not None and digest not in met:
                     met.add(digest)
-                    keys = sketch_keys(s, percent).tobytes()
-                rows.append((i, len(s), low, high, keys))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_SET.names)
+                    keys, sketch = sketch_keys(s, percent).tobytes(), parity(s, fitting(len(s))).tobytes()
+                rows.append((i, len(s), low, high, keys, sketch))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=_SET.names)
         _words.clear()  # workers live on, with later stages in them
         met.clear()
         released()
@@ -248,6 +256,104 @@ def within_reach(g: pd.DataFrame, percent: int) -> pd.DataFrame:
     return g.loc[hit, ["component", "lo", "hi", "id", "part", "side"]]
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, id), sorted: rows (g, id, a) of the documents of each key that several have. g is a number for the set of documents, that two keys share; should
+    two sets agree in it, they are tried together. It is NULL for keys of more than GROUP; a is the least id."""
+    met: set[int] = set()
+
+    def several(key: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1])  # a set may come from two tasks
+        key, i = key[new], i[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        m = np.diff(np.append(starts, len(key)))
+        some = np.repeat(m > 1, m)
+        i, m = i[some], m[m > 1]
+        starts = np.cumsum(m) - m
+        g = _mix(np.add.reduceat(_mix(i.view(np.uint64)), starts) + m.astype(np.uint64)).view(np.int64) if len(m) else np.zeros(0, np.int64)
+        first = np.zeros(len(m), bool)
+        first[np.unique(g, return_index=True)[1]] = True
+        for k in np.flatnonzero(first).tolist():
+            first[k] = int(g[k]) not in met
+        if len(met) > REMEMBERED:
+            met.clear()
+        met.update(g[first].tolist())
+        rows = np.repeat(first, m)
+        g, wide, a = (np.repeat(x, m)[rows] for x in (g, m > GROUP, i[starts]))
+        return pa.RecordBatch.from_arrays([pa.array(g, mask=wide), pa.array(i[rows]), pa.array(a)], names=["g", "id", "a"])
+
+    key = i = np.zeros(0, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, i = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([i, b.column(1).to_numpy()])
+        at = int(np.searchsorted(key, key[-1]))
+        if at:
+            yield several(key[:at], i[:at])
+            key, i = key[at:].copy(), i[at:].copy()
+    if len(key):
+        yield several(key, i)
+    met.clear()
+    released()
+
+
+def within(ids: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what sizes and sketches leave within reach, the smaller id first; sketches are folded to the length of the shortest."""
+    short = min(map(len, sketches))
+    links, out = Links(list(range(len(ids)))), []
+
+    def tie(i: int, j: int) -> None:
+        a, b = links.find(i), links.find(j)
+        if a != b:
+            links.up[max(a, b)] = min(a, b)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+
+    folded = [np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, short // 8), axis=0) for s in sketches]
+    if len(ids) <= 16:
+        bits = [int.from_bytes(x.tobytes(), "little") for x in folded]
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                # 100 |a & b| >= p |a | b| is (100 + p) |a ^ b| <= (100 - p) (|a| + |b|)
+                if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and (100 + percent) * (bits[i] ^ bits[j]).bit_count() <= (100 - percent) * (sizes[i] + sizes[j]):
+                    tie(i, j)
+        return out
+    table, size = np.stack(folded), np.array(sizes)
+    for i in range(len(ids)):
+        labels = links.labels()
+        rest = np.arange(i + 1, len(ids))
+        rest = rest[labels[rest] != labels[i]]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+        apart = np.bitwise_count(table[rest] ^ table[i]).sum(axis=1, dtype=np.int64)
+        for j in rest[(100 + percent) * apart <= (100 - percent) * (size[rest] + size[i])].tolist():
+            tie(i, j)
+    return out
+
+
+def tried(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b of rows (g, id, n, sketch), which are of a group each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def pairs() -> list[tuple[int, int]]:
+            return within(*map(list, zip(*held, strict=True)), percent) if len(held) > 1 else []
+
+        for b in slices(batches):
+            found = []
+            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != now:
+                    found += pairs()
+                    now, held = g, []
+                held.append(row)
+            a = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        a = np.array(pairs(), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        released()
+
+    return rows.select("g", "id", "n", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
     with small_batches(docs.sparkSession):
@@ -263,8 +369,10 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # classes go by half of their digest here; should two agree in it, they share a cluster
     keyed = every.filter(F.octet_length("keys") > 0).select("low", "keys").mapInArrow(unpack, "key long, id long")
-    shared = keyed.withColumn("a", F.min("id").over(Window.partitionBy("key"))).filter("id <> a")
-    near = cut(shared.select("a", F.col("id").alias("b")).distinct())
+    shared = written(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(grouped, "g long, id long, a long"))
+    sketches = every.filter("sketch is not null").select(F.col("low").alias("id"), "n", "sketch").dropDuplicates(["id"])
+    near = tried(shared.filter("g is not null").select("g", "id").distinct().join(sketches, "id"), percent)
+    near = cut(near.unionByName(shared.filter("g is null and id <> a").select("a", F.col("id").alias("b"))).distinct())
     clusters = cut(components(near).join(classes.select(F.col("low").alias("id"), "rep"), "id").select(F.col("rep").alias("id"), "component"))
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     members = clusters.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -93,3 +93,59 @@ def test_a_code_or_date_of_many_batches_is_one_chunk(monkeypatch):
     parts = [t.column(0).to_pylist() for t in grids.chunks(iter(batches), 0)]
     assert [k for p in parts for k in p] == keys
     assert sum(len(set(p)) for p in parts) == 5 and len(parts) > 1
+
+# -- near duplicates -----------------------------------------------------------------------------------------------------
+def test_unlike_documents_that_share_words_are_no_cluster(spark, monkeypatch):
+    from ledgerline.llm import op6_parity_join as join
+
+    wanted, made = [], join.sets_of
+
+    def counted(texts, rows, words):
+        wanted.append(rows.count())
+        return made(texts, rows, words)
+
+    monkeypatch.setattr(join, "sets_of", counted)
+    r = np.random.default_rng(8)
+    passages = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(61)]
+    own = [" ".join(f"d{k}w{j}" for j in r.integers(0, 10**6, 40)) for k in range(60)]
+    texts = [f"{passages[k]} {own[k]} {passages[k + 1]}" for k in range(60)]  # each shares a passage with the next
+    texts += [f"{texts[k]} more words here" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {d: c for d, _, c in join.linked_documents(docs, words=5, percent=80).collect()}
+    sets = [set(join.shingles(t, 5).tolist()) for t in texts]
+    linked = {(a, b) for a in range(63) for b in range(a + 1, 63) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked == {(0, 60), (1, 61), (2, 62)}
+    assert got == {k: k - 60 if k >= 60 else k for k in range(63)}
+    assert sum(wanted) <= 10
+
+
+def test_no_link_is_lost_by_sketches():
+    from ledgerline.llm import op6_parity_join as join
+
+    r = np.random.default_rng(9)
+    for percent in (80, 90):
+        for count in (2, 9, 60):
+            base = r.integers(0, 2**63, 200, dtype=np.uint64)
+            sets = [np.unique(np.where(r.random(200) < r.uniform(0, 0.15), r.integers(0, 2**63, 200, dtype=np.uint64), base)[: int(r.integers(100, 201))]) for _ in range(count)]
+            found = join.within(list(range(count)), [len(s) for s in sets], [join.parity(s, join.fitting(len(s))).tobytes() for s in sets], percent)
+            links = join.Links(list(range(count)))
+            for a, b in found:
+                links.up[max(links.find(a), links.find(b))] = min(links.find(a), links.find(b))
+            assert all(links.find(a) == links.find(b) for a in range(count) for b in range(a) if join.linked(sets[a], sets[b], percent))
+
+
+def test_keys_of_several_documents_are_grouped_once_however_they_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerline.llm import op6_parity_join as join
+
+    monkeypatch.setattr(join, "GROUP", 4)
+    rows = [(1, 7), (2, 5), (2, 6), (2, 6), (3, 5), (3, 6), *((4, k) for k in range(6)), (5, 8), (6, 1), (6, 2), (6, 3)]
+    for size in (1, 2, 5, 99):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size], strict=True)], names=["key", "id"]) for k in range(0, len(rows), size)]
+        got = {}
+        for b in join.grouped(iter(batches)):
+            for g, i, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.setdefault(g, []).append((i, a))
+        assert got.pop(None) == [(k, 0) for k in range(6)]
+        assert sorted(got.values()) == [[(1, 1), (2, 1), (3, 1)], [(5, 5), (6, 5)]]
