@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import op3_bpe, op4_toxicity, op5_mixing, op6_parity_join, op10_quality
-from ledgerline.llm.common import dropped, shared_folder, table
+from ledgerline.llm.common import dropped, shared_folder, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = shared_folder(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:
             dropped(spark, last)

@@ -149,3 +149,19 @@ def test_keys_of_several_documents_are_grouped_once_however_they_are_cut(monkeyp
                 got.setdefault(g, []).append((i, a))
         assert got.pop(None) == [(k, 0) for k in range(6)]
         assert sorted(got.values()) == [[(1, 1), (2, 1), (3, 1)], [(5, 5), (6, 5)]]
+
+
+def test_stages_of_the_pipeline_get_small_batches_of_texts(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    def sizes(spark, docs, sf_dir):
+        def run(batches):
+            for b in batches:
+                yield b.from_arrays([[b.nbytes]], names=["n"])
+
+        return docs.select("text").mapInArrow(run, "n long")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes)])
+    spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "concat(repeat(concat(id, ' ', id + 1, ' '), 100), id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) > 8_000_000 and max(got) < 5_000_000
